@@ -82,3 +82,8 @@ def extension(name: ColumnLike) -> Column:
 
 def stem(name: ColumnLike) -> Column:
     return F.regexp_replace(file_name(name), r"(?<=.)\.[^./]+$", "")
+
+
+def about(field: str):
+    """Predicate for array elements whose ``field`` is the given one."""
+    return lambda element: element["field"] == field

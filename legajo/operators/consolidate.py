@@ -26,7 +26,7 @@ from legajo.fixed_values import (
     PRIORITY_PROFILES,
     REQUIRED_FIELDS,
 )
-from legajo.functions.text import lookup, strip
+from legajo.functions.text import about, lookup, strip
 
 UNKNOWN_PRIORITY = 99
 
@@ -209,7 +209,7 @@ def conflict_options(option_rows: DataFrame, conflict_rows: DataFrame) -> DataFr
 
 def field_value(field: str) -> Column:
     """Value of one field inside the decision array."""
-    return F.filter("decisions", lambda d: d["field"] == field)[0]["value"]
+    return F.get(F.filter("decisions", about(field)), 0)["value"]
 
 
 def wide_cases(consolidated: DataFrame, fields: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:
@@ -344,9 +344,12 @@ def apply_adjustments(decision_rows: DataFrame, adjustments: DataFrame) -> DataF
 
 
 def emergency_values(
-    consolidated: DataFrame, texts: DataFrame, order: Sequence[str] = ("doc_seq",)
+    consolidated: DataFrame,
+    texts: DataFrame,
+    order: Sequence[str] = ("doc_seq",),
+    patterns: Sequence[tuple[str, str, str, float]] = tuple(EMERGENCY_PATTERNS),
 ) -> DataFrame:
-    """For cases where every field is null: three patterns over the raw texts.
+    """For cases where every field is null: patterns over the raw texts.
 
     ``texts`` has case_id, the ordering columns, source_document and raw_text.
     The first document (in order) that matches a pattern supplies the field.
@@ -356,7 +359,7 @@ def emergency_values(
     ).select("case_id")
     place = F.struct(*order)
     aggregates = []
-    for field, pattern, stripped, _ in EMERGENCY_PATTERNS:
+    for field, pattern, stripped, _ in patterns:
         found = F.regexp_extract("raw_text", pattern, 1)
         value = strip(found, stripped) if stripped else strip(found)
         option = F.struct(value.alias("value"), F.col("source_document").alias("source"))
@@ -370,7 +373,7 @@ def emergency_values(
                 F.concat(F.lit("emergencia:"), F.col(field)["source"]).alias("reasoning"),
                 F.lit(confidence).alias("confidence"),
             )
-            for field, _, _, confidence in EMERGENCY_PATTERNS
+            for field, _, _, confidence in patterns
         ]
     )
     return scraped.select("case_id", F.inline(rows)).filter("value IS NOT NULL")

@@ -1 +1,537 @@
-"""Placeholder."""
+"""Extraction and validation over the claims view and the documents table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from legajo.fixed_values import ALLOWED_FIELDS
+from legajo.functions import values as val
+from legajo.operators import consolidate as con
+from legajo.operators import extract as ext
+from legajo.operators import requests as req
+from legajo.operators import validate as chk
+from legajo.plans.bindings import (
+    CLAIM_FIELDS,
+    CLAIM_ORDER,
+    RICH_FIELDS,
+    RICH_SQL,
+    claim_documents,
+    rich_claim_documents,
+    table,
+)
+from legajo.plans.catalog import register
+from legajo.plans.claims_sql import DECIDED
+
+KEYS = ["case_id", "source_document", "document_type"]
+LINE_TERMS = ("nicht", "pour", "para", "with", "token")
+
+
+# --- content ----------------------------------------------------------------------
+@register(
+    "prepared_contents",
+    "F1",
+    """WITH heads AS (SELECT doc_id, left(text, 10000) AS head FROM documents),
+lines AS (SELECT doc_id, head, string_split(head, E'\\n') AS l,
+  list_filter(string_split(head, E'\\n'), lambda x: contains(lower(x), 'nicht') OR contains(lower(x), 'pour')
+    OR contains(lower(x), 'para') OR contains(lower(x), 'with') OR contains(lower(x), 'token')) AS m FROM heads),
+done AS (SELECT doc_id, CASE WHEN length(head) > 5000 THEN
+    array_to_string(list_slice(CASE WHEN len(m) > 10 THEN m ELSE l END, 1, 100), E'\\n') ELSE head END AS content
+  FROM lines)
+SELECT doc_id, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS content_md5 FROM done""",
+)
+def prepared_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model request would hold of each text."""
+    content = ext.prepared_text("text", LINE_TERMS)
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", content.alias("content"))
+        .select("doc_id", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+    )
+
+
+@register(
+    "trimmed_tables",
+    "F2",
+    """WITH t AS (SELECT doc_id, list_slice(string_split(text, E'\\n'), 1, 5) AS ts FROM documents)
+SELECT doc_id, CAST(len(ts) AS INTEGER) AS n_tables,
+  array_to_string(list_transform(ts, lambda p: concat(string_split(p, ' ')[1], ':',
+     array_to_string(list_slice(string_split(p, '. '), 1, 10), '|'))), '~') AS shown FROM t""",
+)
+def trimmed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs as tables and sentences as rows, cut to the request limits."""
+    tables = F.transform(
+        F.split("text", "\n"),
+        lambda p: F.struct(
+            F.array(F.get(F.split(p, " "), 0)).alias("headers"), F.split(p, r"\. ").alias("data_rows")
+        ),
+    )
+    shown = F.transform(
+        "tables",
+        lambda t: F.concat(F.get(t["headers"], 0), F.lit(":"), F.array_join(t["rows"], "|")),
+    )
+    return (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", ext.trimmed_tables(tables).alias("tables"))
+        .select("doc_id", F.size("tables").alias("n_tables"), F.array_join(shown, "~").alias("shown"))
+    )
+
+
+# --- labels to fields ------------------------------------------------------------------
+def _labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    pairs = [
+        (F.when(flag == "A", "Siniestro:").otherwise("No. de  siniestro"), "numero_siniestro"),
+        (F.when(flag == "N", "ASEGURADO :").otherwise("Razón social"), "nombre_asegurado"),
+        (F.when(flag == "R", "Poliza No.").otherwise("Póliza No.:"), "numero_poliza"),
+        (F.lit("Monto reclamado"), "monto_reclamacion"),
+        (F.lit("Valor estimado"), "numero_siniestro"),
+        (F.lit("Fecha del evento"), "fecha_ocurrencia"),
+    ]
+    array = F.array(
+        *[F.struct(k.alias("key"), F.concat(F.lit("  "), F.col(v)).alias("value")) for k, v in pairs]
+    )
+    items = table(spark, sf_dir, "lineitem").select(*CLAIM_ORDER, "l_orderkey", "l_returnflag")
+    documents = claim_documents(spark, sf_dir)
+    flags = items.select(
+        F.col("l_orderkey").cast("string").alias("case_id"), *CLAIM_ORDER, "l_returnflag"
+    )
+    return documents.join(flags, ["case_id", *CLAIM_ORDER]).select(
+        "case_id", "source_document", array.alias("pairs")
+    )
+
+
+@register(
+    "fields_from_labels",
+    "F17 B2 F3",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS case_id,
+  concat('doc_', l_linenumber, '_', l_partkey, '_', l_suppkey, '_', CAST(l_extendedprice AS DECIMAL(18,2)), '.pdf') AS source_document,
+  CASE WHEN l_returnflag = 'A' THEN lpad(CAST(l_orderkey AS VARCHAR), 14, '0') END AS numero_siniestro,
+  concat('CUSTOMER ', o_custkey) AS nombre_asegurado,
+  CASE WHEN l_returnflag <> 'R' THEN concat('POL-', l_suppkey) END AS numero_poliza,
+  CASE WHEN l_returnflag = 'A' THEN lpad(CAST(l_orderkey AS VARCHAR), 14, '0')
+       ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS monto_reclamacion,
+  CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS fecha_ocurrencia
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+)
+def fields_from_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label-value pairs to fields by normalised synonym, first pair wins."""
+    wanted = [
+        "numero_siniestro", "nombre_asegurado", "numero_poliza", "monto_reclamacion",
+        "fecha_ocurrencia",
+    ]
+    found = ext.fields_from_pairs(_labelled_documents(spark, sf_dir), "pairs", wanted)
+    return found.drop("pairs")
+
+
+@register(
+    "ingested_field_answers",
+    "F6 F7",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS case_id, l_linenumber <> 7 AS parsed_ok, count(*) AS n_documents,
+  count(CASE WHEN l_linenumber <> 7 THEN 1 END) AS n_claims,
+  count(CASE WHEN l_linenumber <> 7 AND l_returnflag <> 'A' THEN 1 END) AS n_amounts,
+  count(CASE WHEN l_linenumber <> 7 THEN NULL END) AS n_conclusions
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
+)
+def ingested_field_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers (plain, fenced, cut off) to the known fields, good and rejected counts."""
+    documents = claim_documents(spark, sf_dir)
+    body = F.to_json(F.struct(*CLAIM_FIELDS, F.lit("x").alias("otra_llave")))
+    answer = (
+        F.when(F.col("l_linenumber") == 7, F.substring(body, 1, 30))
+        .when(F.col("l_linenumber") > 3, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .otherwise(body)
+    )
+    answers = documents.select("case_id", answer.alias("answer"))
+    rows = ext.ingest_field_answers(answers)
+    good, bad = ext.split_rejects(rows)
+    return good.unionByName(bad).groupBy("case_id", "parsed_ok").agg(
+        F.count(F.lit(1)).alias("n_documents"),
+        F.count("numero_siniestro").alias("n_claims"),
+        F.count("monto_reclamacion").alias("n_amounts"),
+        F.count("conclusiones").alias("n_conclusions"),
+    )
+
+
+# --- cleaning ---------------------------------------------------------------------------
+@register(
+    "cleaned_extractions",
+    "F9 F10 F11 F14",
+    RICH_SQL
+    + """SELECT case_id, source_document, trim(fecha_ocurrencia) AS fecha_ocurrencia, numero_poliza,
+  CASE l_returnflag WHEN 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2))
+    WHEN 'R' THEN -CAST(l_extendedprice AS DECIMAL(18,2))
+    ELSE CASE WHEN l_linenumber = 1 THEN NULL
+      ELSE CAST(CAST(replace(monto_reclamacion, ',', '') AS DOUBLE) AS DECIMAL(18,2)) END END AS amount
+FROM (SELECT * REPLACE (CASE WHEN l_returnflag = 'N' AND l_linenumber > 1
+   THEN CASE WHEN l_extendedprice < 1000 THEN replace(monto_reclamacion, ',', '')
+     WHEN l_extendedprice < 1000000 THEN replace(monto_reclamacion, ',', '')
+     ELSE replace(replace(monto_reclamacion, '.', ''), ',', '.') END
+   ELSE monto_reclamacion END AS monto_reclamacion) FROM rich)""",
+)
+def cleaned_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null tokens, trimmed dates and both amount passes."""
+    cleaned = ext.clean_extractions(rich_claim_documents(spark, sf_dir), RICH_FIELDS)
+    return cleaned.select(
+        "case_id", "source_document", "fecha_ocurrencia", "numero_poliza",
+        F.col("monto_reclamacion_decimal").alias("amount"),
+    )
+
+
+@register(
+    "guided_extractions",
+    "F12 F13",
+    RICH_SQL
+    + """SELECT case_id, source_document, regexp_replace(numero_siniestro, '\\D', '', 'g') AS numero_siniestro,
+  CASE l_returnflag WHEN 'A' THEN fecha_ocurrencia WHEN 'N' THEN strftime(l_shipdate, '%d/%m/%Y')
+    ELSE strftime(l_shipdate, '%d-%m-%Y') END AS fecha_ocurrencia,
+  strftime(o_orderdate, '%d/%m/%Y') AS fecha_reclamacion,
+  CASE WHEN l_returnflag = 'R' THEN CAST(-CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)
+       WHEN l_returnflag = 'N' AND l_linenumber > 1 AND l_extendedprice < 1000000
+       THEN CAST(CAST(CAST(replace(monto_reclamacion, ',', '') AS DOUBLE) AS DECIMAL(18,2)) AS VARCHAR)
+       ELSE monto_reclamacion END AS monto_reclamacion
+FROM rich""",
+)
+def guided_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guided chain of transforms."""
+    return ext.guided_values(rich_claim_documents(spark, sf_dir), RICH_FIELDS).select(
+        "case_id", "source_document", "numero_siniestro", "fecha_ocurrencia",
+        "fecha_reclamacion", "monto_reclamacion",
+    )
+
+
+@register(
+    "fill_metrics",
+    "F15",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS case_id,
+  concat('doc_', l_linenumber, '_', l_partkey, '_', l_suppkey, '_', CAST(l_extendedprice AS DECIMAL(18,2)), '.pdf') AS source_document,
+  CASE WHEN l_returnflag = 'A' THEN 5 ELSE 6 END AS fields_filled, 6 AS fields_total
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+)
+def fill_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ext.fill_metrics(claim_documents(spark, sf_dir), CLAIM_FIELDS)
+    return rows.select("case_id", "source_document", "fields_filled", "fields_total")
+
+
+_MASK_COUNTS = ", ".join(f"count({f}) AS {f}" for f in CLAIM_FIELDS)
+
+
+def _mask_sql(unknown: bool, empty: bool) -> str:
+    parts = []
+    for field in CLAIM_FIELDS:
+        kinds = [t for t, fs in ALLOWED_FIELDS.items() if field in fs]
+        if empty:
+            kinds += [t for t, fs in ALLOWED_FIELDS.items() if not fs]
+        listed = ", ".join(f"'{t}'" for t in kinds)
+        everything = ", ".join(f"'{t}'" for t in ALLOWED_FIELDS)
+        condition = f"document_type IN ({listed})"
+        if unknown:
+            condition += f" OR document_type NOT IN ({everything})"
+        parts.append(f"count(CASE WHEN {condition} THEN {field} END) AS {field}")
+    return ", ".join(parts)
+
+
+@register(
+    "masked_field_counts",
+    "F8",
+    RICH_SQL
+    + f"""SELECT document_type, 'consolidator' AS variant, {_mask_sql(True, False)} FROM rich GROUP BY document_type
+UNION ALL SELECT document_type, 'validator', {_mask_sql(True, True)} FROM rich GROUP BY document_type
+UNION ALL SELECT document_type, 'guided', {_mask_sql(False, False)} FROM rich GROUP BY document_type""",
+)
+def masked_field_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each variant of the field mask leaves per document type."""
+    documents = rich_claim_documents(spark, sf_dir)
+    variants = {
+        "consolidator": ("all", "none"), "validator": ("all", "all"), "guided": ("none", "none"),
+    }
+    cells = []
+    for variant, (unknown, empty) in variants.items():
+        kept = [
+            F.when(con.may_supply(f, unknown, empty), F.col(f)).alias(f) for f in CLAIM_FIELDS
+        ]
+        cells.append(F.struct(F.lit(variant).alias("variant"), *kept))
+    return (
+        documents.select("document_type", F.inline(F.array(*cells)))
+        .groupBy("document_type", "variant")
+        .agg(*[F.count(f).alias(f) for f in CLAIM_FIELDS])
+    )
+
+
+# --- validation -----------------------------------------------------------------------------
+_DATE = """coalesce(try_strptime(trim({0}), '%Y-%m-%d'), try_strptime(trim({0}), '%d/%m/%Y'),
+   try_strptime(trim({0}), '%d-%m-%Y'), try_strptime(trim({0}), '%Y/%m/%d'), try_strptime(trim({0}), '%m/%d/%Y'))"""
+
+
+def _date_message(field: str) -> str:
+    year = f"year({_DATE.format(field)})"
+    return f"""CASE WHEN {field} = '' THEN 'Fecha vacía'
+      WHEN {year} IS NULL THEN concat('Formato de fecha no reconocido: ', {field})
+      WHEN {year} < 2000 THEN concat('Año muy antiguo: ', {year})
+      WHEN {year} > 2030 THEN concat('Año muy futuro: ', {year}) END"""
+
+
+_ALLOWED = " ".join(
+    f"WHEN '{t}' THEN {fs!r}" for t, fs in ALLOWED_FIELDS.items() if fs
+)
+VALIDATED = (
+    RICH_SQL
+    + f""", cells AS (
+  SELECT case_id, source_document, document_type, field, message FROM (
+    SELECT case_id, source_document, document_type, unnest([
+      {{field: 'numero_siniestro', message: CASE WHEN NOT regexp_matches(left(regexp_replace(numero_siniestro, '\\D', '', 'g'), 14), '^\\d{{14}}$') THEN 'No cumple formato: 14 dígitos exactos' END}},
+      {{field: 'nombre_asegurado', message: CASE WHEN length(nombre_asegurado) < 3 THEN 'Muy corto (mín: 3)' WHEN length(nombre_asegurado) > 120 THEN 'Muy largo (máx: 120)' END}},
+      {{field: 'numero_poliza', message: CASE WHEN NOT regexp_matches(numero_poliza, '^[A-Z0-9\\-\\s]+$') THEN 'No cumple formato: Alfanumérico con guiones y espacios' END}},
+      {{field: 'monto_reclamacion', message: CASE WHEN TRY_CAST(monto_reclamacion AS DOUBLE) IS NULL THEN 'No es un número válido' WHEN TRY_CAST(monto_reclamacion AS DOUBLE) < 0 THEN 'Valor menor al mínimo (0)' END}},
+      {{field: 'fecha_ocurrencia', message: {_date_message('fecha_ocurrencia')}}},
+      {{field: 'fecha_reclamacion', message: {_date_message('fecha_reclamacion')}}},
+      {{field: 'vigencia_inicio', message: {_date_message('vigencia_inicio')}}},
+      {{field: 'vigencia_fin', message: {_date_message('vigencia_fin')}}}
+    ], recursive := true) FROM rich)
+  WHERE CASE document_type {_ALLOWED} END IS NULL
+     OR list_contains(CASE document_type {_ALLOWED} END, field))
+"""
+)
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chk.validate_extractions(rich_claim_documents(spark, sf_dir), RICH_FIELDS)
+
+
+@register(
+    "field_violations",
+    "G1 G4 G5 G6 G7",
+    VALIDATED
+    + "SELECT case_id, source_document, document_type, field, message FROM cells WHERE message IS NOT NULL",
+)
+def field_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per broken field rule."""
+    return chk.violations(_validated(spark, sf_dir), KEYS)
+
+
+@register(
+    "validated_extractions",
+    "G5 G7",
+    RICH_SQL
+    + f"""SELECT case_id, source_document, document_type,
+  CASE WHEN CASE document_type {_ALLOWED} END IS NULL OR list_contains(CASE document_type {_ALLOWED} END, 'numero_siniestro')
+       THEN left(regexp_replace(numero_siniestro, '\\D', '', 'g'), 14) END AS numero_siniestro,
+  CASE WHEN CASE document_type {_ALLOWED} END IS NULL OR list_contains(CASE document_type {_ALLOWED} END, 'bien_reclamado')
+       THEN concat('lote ', l_linenumber, ' de mercancia tarifa') END AS bien_reclamado,
+  CASE WHEN CASE document_type {_ALLOWED} END IS NULL OR list_contains(CASE document_type {_ALLOWED} END, 'numero_poliza')
+       THEN numero_poliza END AS numero_poliza
+FROM rich""",
+)
+def validated_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields after mask, transform and word cap; invalid ones as they came."""
+    return _validated(spark, sf_dir).select(
+        *KEYS, "numero_siniestro", "bien_reclamado", "numero_poliza"
+    )
+
+
+@register(
+    "field_quality",
+    "G7",
+    VALIDATED
+    + """, wanted AS (SELECT field, count(*) AS n_values, count(message) AS n_invalid FROM cells GROUP BY field)
+SELECT field, n_values, n_invalid, round(1 - n_invalid / n_values, 6) AS valid_share FROM wanted""",
+)
+def field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and violations per field over the whole table."""
+    fields = [f for f in RICH_FIELDS if f not in ("bien_reclamado", "tipo_siniestro")]
+    return chk.quality_summary(_validated(spark, sf_dir), fields)
+
+
+@register(
+    "identifier_checks",
+    "G1 G2 G3",
+    """WITH ids AS (SELECT c_custkey, c_name,
+    concat(CASE WHEN c_nationkey < 12 THEN 'ABC' ELSE 'XAXX' END, lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0'), 'A1B') AS rfc,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN c_name WHEN c_mktsegment = 'MACHINERY' THEN 'ABC'
+         ELSE concat('AX-', c_custkey) END AS policy,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN concat('$', CAST(c_acctbal AS DECIMAL(18,2)), ' MXN')
+         WHEN c_mktsegment = 'MACHINERY' THEN 'sin monto' ELSE CAST(CAST(c_acctbal * 1000000 AS DECIMAL(18,2)) AS VARCHAR) END AS amount
+  FROM customer),
+parts AS (SELECT *, substr(rfc, 5, 2) AS yy, substr(rfc, 7, 2) AS mm, substr(rfc, 9, 2) AS dd,
+  TRY_CAST(replace(replace(replace(amount, '$', ''), 'MXN', ''), ',', '') AS DOUBLE) AS number FROM ids)
+SELECT c_custkey,
+  CASE WHEN NOT regexp_matches(rfc, '^[A-ZÑ&]{3,4}\\d{6}[A-Z\\d]{3}$') THEN concat('Formato inválido: ', rfc)
+       WHEN NOT regexp_matches(concat(yy, mm, dd), '^\\d{6}$') THEN 'Fecha no numérica en RFC'
+       WHEN CAST(mm AS INT) NOT BETWEEN 1 AND 12 THEN concat('Mes inválido: ', mm)
+       WHEN CAST(dd AS INT) NOT BETWEEN 1 AND 31 THEN concat('Día inválido: ', dd) END AS rfc_error,
+  CASE WHEN NOT regexp_matches(policy, '\\d') THEN 'No contiene números'
+       WHEN regexp_matches(policy, '[^\\w\\s\\-/]') THEN 'Contiene caracteres no válidos' END AS policy_error,
+  CASE WHEN number IS NULL THEN concat('No se pudo convertir a número: ', amount)
+       WHEN number <= 0 THEN 'Monto debe ser positivo'
+       WHEN number > 1000000000 THEN 'Monto excesivamente alto' END AS amount_error
+FROM parts""",
+)
+def identifier_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tax id, policy number and amount checks over customers."""
+    segment = F.col("c_mktsegment")
+    balance = F.col("c_acctbal")
+    ids = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.concat(
+            F.when(F.col("c_nationkey") < 12, "ABC").otherwise("XAXX"),
+            F.lpad((F.col("c_custkey") % 1000000).cast("string"), 6, "0"), F.lit("A1B"),
+        ).alias("rfc"),
+        F.when(segment == "BUILDING", F.col("c_name"))
+        .when(segment == "MACHINERY", "ABC")
+        .otherwise(F.concat(F.lit("AX-"), "c_custkey"))
+        .alias("policy"),
+        F.when(
+            segment == "BUILDING",
+            F.concat(F.lit("$"), balance.cast("decimal(18,2)"), F.lit(" MXN")),
+        )
+        .when(segment == "MACHINERY", "sin monto")
+        .otherwise((balance * 1000000).cast("decimal(18,2)").cast("string"))
+        .alias("amount"),
+    )
+    return ids.select(
+        "c_custkey",
+        val.rfc_error("rfc").alias("rfc_error"),
+        val.policy_error("policy").alias("policy_error"),
+        val.amount_error("amount").alias("amount_error"),
+    )
+
+
+@register(
+    "normalised_values",
+    "G8 G9 G10",
+    RICH_SQL
+    + """SELECT case_id, source_document,
+  CASE l_returnflag WHEN 'A' THEN 'Colisión / Choque' WHEN 'N' THEN 'Incendio' ELSE 'Robo' END AS loss_type,
+  CASE l_returnflag WHEN 'R' THEN fecha_ocurrencia ELSE strftime(l_shipdate, '%d/%m/%Y') END AS shown_date,
+  concat('$', format('{:,.2f}', CAST(l_extendedprice AS DECIMAL(18,2))), ' MXN') AS shown_amount,
+  strftime(CAST(o_orderdate AS DATE) - 180, '%d/%m/%Y') AS term_start
+FROM rich""",
+)
+def normalised_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss type to the catalogue, dates and amounts to their display form."""
+    term = F.concat(F.lit("del "), "vigencia_inicio", F.lit(" al "), "vigencia_fin")
+    amount = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    return rich_claim_documents(spark, sf_dir).select(
+        "case_id",
+        "source_document",
+        val.loss_type("tipo_siniestro").alias("loss_type"),
+        val.display_date("fecha_ocurrencia").alias("shown_date"),
+        val.display_money(F.concat(F.lit("$ "), amount)).alias("shown_amount"),
+        val.display_date(term).alias("term_start"),
+    )
+
+
+@register(
+    "coherence_violations",
+    "G11",
+    DECIDED("class")
+    + """, wide AS (SELECT case_id, max(CASE WHEN field = 'fecha_ocurrencia' THEN value END) AS occurred,
+    max(CASE WHEN field = 'fecha_reclamacion' THEN value END) AS claimed,
+    max(CASE WHEN field = 'monto_reclamacion' THEN value END) AS amount,
+    max(CASE WHEN field = 'numero_poliza' THEN value END) AS policy,
+    max(CASE WHEN field = 'numero_siniestro' THEN value END) AS claim,
+    max(CASE WHEN field = 'nombre_asegurado' THEN value END) AS insured
+  FROM decided GROUP BY case_id),
+every AS (SELECT DISTINCT c.case_id, w.* EXCLUDE (case_id) FROM cells c LEFT JOIN wide w ON c.case_id = w.case_id)
+SELECT case_id, 'ocurrencia_posterior_a_reclamacion' AS rule FROM every WHERE CAST(occurred AS DATE) > CAST(claimed AS DATE)
+UNION ALL SELECT case_id, 'monto_no_positivo' FROM every WHERE CAST(amount AS DOUBLE) <= 0
+UNION ALL SELECT case_id, 'falta_numero_siniestro' FROM every WHERE claim IS NULL
+UNION ALL SELECT case_id, 'falta_nombre_asegurado' FROM every WHERE insured IS NULL
+UNION ALL SELECT case_id, 'falta_numero_poliza' FROM every WHERE policy IS NULL
+UNION ALL SELECT case_id, 'falta_monto_reclamacion' FROM every WHERE amount IS NULL
+UNION ALL SELECT case_id, 'falta_fecha_ocurrencia' FROM every WHERE occurred IS NULL""",
+)
+def coherence_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules between the decided fields of a case."""
+    cases = con.consolidate(claim_documents(spark, sf_dir), CLAIM_FIELDS, CLAIM_ORDER)
+    return chk.coherence_violations(con.wide_cases(cases, CLAIM_FIELDS))
+
+
+# --- last resort and requests --------------------------------------------------------------------
+@register(
+    "emergency_values",
+    "F16",
+    """WITH docs AS (SELECT d.doc_id, concat(d.source, '/', d.lang) AS case_id,
+    concat(d.source, '_', d.doc_id, '.pdf') AS source_document, d.text, l.toxic
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+empty AS (SELECT case_id FROM docs GROUP BY case_id HAVING count(CASE WHEN toxic = 1 THEN 1 END) = 0),
+found AS (SELECT case_id, doc_id, source_document, 'nombre_asegurado' AS field, 0.2 AS confidence,
+    regexp_extract(text, '(\\S+@\\S+)', 1) AS value FROM docs
+  UNION ALL SELECT case_id, doc_id, source_document, 'numero_poliza', 0.3,
+    regexp_extract(text, 'token = "?([0-9a-f]{8})', 1) FROM docs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id, field ORDER BY doc_id) AS place
+  FROM found WHERE value <> '' AND case_id IN (SELECT case_id FROM empty))
+SELECT case_id, field, trim(value, ' ,.') AS value, concat('emergencia:', source_document) AS reasoning,
+       CAST(confidence AS DOUBLE) AS confidence
+FROM ranked WHERE place = 1""",
+)
+def emergency_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern scrape of the raw texts, only for cases with no value at all."""
+    documents = table(spark, sf_dir, "documents").join(
+        table(spark, sf_dir, "labels"), "doc_id", "left"
+    ).select(
+        F.col("doc_id").alias("doc_seq"),
+        F.concat_ws("/", "source", "lang").alias("case_id"),
+        F.concat("source", F.lit("_"), "doc_id", F.lit(".pdf")).alias("source_document"),
+        F.lit("narracion").alias("document_type"),
+        F.when(F.col("toxic") == 1, F.lit("tóxico")).alias("conclusiones"),
+        F.col("text").alias("raw_text"),
+    )
+    cases = con.consolidate(documents, ["conclusiones"])
+    patterns = [
+        ("numero_poliza", r'token = "?([0-9a-f]{8})', "", 0.3),
+        ("nombre_asegurado", r"(\S+@\S+)", " ,.", 0.2),
+    ]
+    return con.emergency_values(cases, documents, patterns=patterns)
+
+
+@register(
+    "extraction_requests",
+    "F4 F5",
+    RICH_SQL
+    + f""", allowed AS (SELECT *, CASE document_type {_ALLOWED} END AS fields FROM rich)
+SELECT case_id, source_document, document_type, coalesce(len(fields), 0)::INTEGER AS n_fields,
+       CASE WHEN fields IS NOT NULL THEN array_to_string(list_transform(fields, lambda f: concat('✓ ', f)), ' ') END AS field_list
+FROM allowed""",
+)
+def extraction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guided request per document: allowed fields with labels, format and text."""
+    documents = rich_claim_documents(spark, sf_dir).withColumn("text", F.col("bien_reclamado"))
+    rows = req.guided_requests(documents)
+    lines = F.filter(F.split("prompt", "\n"), lambda x: x.startswith("✓ "))
+    return rows.select(
+        *KEYS,
+        "n_fields",
+        F.when(F.col("prompt").isNotNull(), F.array_join(lines, " ")).alias("field_list"),
+    )
+
+
+@register(
+    "conflict_requests",
+    "H11",
+    DECIDED("class")
+    + """, listed AS (SELECT case_id, field, place,
+    concat(place, '. Valor: ''', value, ''' Fuente: ', source_document, ' Tipo: ', document_type) AS line,
+    n_options FROM placed WHERE n_options > 1)
+SELECT case_id, field, n_options, CAST(place AS BIGINT) AS place, line FROM listed""",
+)
+def conflict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered option lines of every conflict, for a resolver outside."""
+    rows = con.options(claim_documents(spark, sf_dir), CLAIM_FIELDS, CLAIM_ORDER)
+    return req.conflict_request_lines(rows, CLAIM_ORDER)
+
+
+@register(
+    "golden_example_choice",
+    "F18",
+    DECIDED("class")
+    + """, ranked AS (SELECT case_id, field, value, reasoning,
+    row_number() OVER (PARTITION BY field ORDER BY case_id) AS place FROM decided WHERE n_options > 1)
+SELECT field, CAST(place AS INTEGER) AS place, case_id, value, reasoning FROM ranked WHERE place <= 3""",
+)
+def golden_example_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First three earlier resolutions of each field."""
+    cases = con.consolidate(claim_documents(spark, sf_dir), CLAIM_FIELDS, CLAIM_ORDER)
+    return req.first_examples(con.conflicts(cases), 3).select(
+        "field", "place", "case_id", "value", "reasoning"
+    )
