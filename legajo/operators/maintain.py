@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,16 +13,24 @@ def orphan_index_rows(index: DataFrame, cases: DataFrame) -> DataFrame:
     return index.join(cases.select("case_id").distinct(), "case_id", "left_anti")
 
 
-def orphan_folders(folders: DataFrame, cases: DataFrame, token: str = r"[^\s/]+") -> DataFrame:
+# fixed values: what can be a case id inside a folder name
+CASE_ID_SHAPES = (r"CASE-\d+-\d{4,}", r"CASE-\d+-\d{4}", r"[^\s/]+")
+
+
+def orphan_folders(
+    folders: DataFrame, cases: DataFrame, shapes: Sequence[str] = CASE_ID_SHAPES
+) -> DataFrame:
     """Folders that contain no known case id.
 
     Only names with '-' outside the index count.  Instead of testing every
-    folder against every case, the tokens of a name are joined to the ids.
+    folder against every case, whatever in a name has the shape of an id is
+    joined to the ids.
     """
     named = folders.filter((F.col("folder") != "case_index") & F.col("folder").contains("-"))
-    tokens = named.select(
-        "folder", F.explode(F.regexp_extract_all("folder", F.lit(f"({token})"))).alias("case_id")
+    candidates = F.array_distinct(
+        F.concat(*[F.regexp_extract_all("folder", F.lit(f"({s})")) for s in shapes])
     )
+    tokens = named.select("folder", F.explode(candidates).alias("case_id"))
     known = tokens.join(cases.select("case_id").distinct(), "case_id", "left_semi")
     return named.join(known.select("folder").distinct(), "folder", "left_anti")
 
