@@ -178,7 +178,8 @@ def confidence_scores(
             for p in ("page", "table", "entity")
         ]
     )
-    overall = F.coalesce("confidence", "page_mean", F.lit(0.0))
+    # rounded so that the order in which page values are summed cannot move a band
+    overall = F.round(F.coalesce("confidence", "page_mean", F.lit(0.0)), 9)
     return documents.join(means, key, "left").select(
         key,
         "text_length",
@@ -289,7 +290,7 @@ def summary_rows(documents: DataFrame, key: str = "document_id") -> DataFrame:
     return documents.select(
         key,
         F.concat(
-            F.substring(text, 1, 200), FXX.otherwise("")
+            F.substring(text, 1, 200), F.when(F.length(text) > 200, "...").otherwise("")
         ).alias("preview"),
         F.length(text).alias("text_length"),
         F.size("tables").alias("n_tables"),

@@ -25,6 +25,7 @@ MODULES = [
     "usage_queries",
     "progress_queries",
     "report_queries",
+    "stream_queries",
 ]
 
 
