@@ -126,9 +126,9 @@ def remaining_ms(averages_us: dict[str, Column]) -> Column:
 
 
 def final_averages(events: DataFrame, piece: Column | None = None) -> DataFrame:
-    """Smoothed seconds per (case, stage) after the last event."""
+    """Smoothed milliseconds per (case, stage) after the last event."""
     averaged = smoothed_times(stage_durations(events, piece), piece)
     return averaged.groupBy("case_id", "stage").agg(
         F.count(F.lit(1)).alias("n_done"),
-        F.round(F.max_by("avg_us", F.struct("ts", "event_id")) / 1e6, 6).alias("avg_seconds"),
+        F.floor(F.max_by("avg_us", F.struct("ts", "event_id")) / 1000).alias("avg_ms"),
     )

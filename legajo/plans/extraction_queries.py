@@ -162,7 +162,7 @@ def ingested_field_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE l_returnflag WHEN 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2))
     WHEN 'R' THEN -CAST(l_extendedprice AS DECIMAL(18,2))
     ELSE CASE WHEN l_linenumber = 1 THEN NULL
-      ELSE CAST(CAST(replace(monto_reclamacion, ',', '') AS DOUBLE) AS DECIMAL(18,2)) END END AS amount
+      ELSE CAST(replace(monto_reclamacion, ',', '') AS DECIMAL(18,2)) END END AS amount
 FROM (SELECT * REPLACE (CASE WHEN l_returnflag = 'N' AND l_linenumber > 1
    THEN CASE WHEN l_extendedprice < 1000 THEN replace(monto_reclamacion, ',', '')
      WHEN l_extendedprice < 1000000 THEN replace(monto_reclamacion, ',', '')
@@ -188,7 +188,7 @@ def cleaned_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
   strftime(o_orderdate, '%d/%m/%Y') AS fecha_reclamacion,
   CASE WHEN l_returnflag = 'R' THEN CAST(-CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)
        WHEN l_returnflag = 'N' AND l_linenumber > 1 AND l_extendedprice < 1000000
-       THEN CAST(CAST(CAST(replace(monto_reclamacion, ',', '') AS DOUBLE) AS DECIMAL(18,2)) AS VARCHAR)
+       THEN CAST(CAST(replace(monto_reclamacion, ',', '') AS DECIMAL(18,2)) AS VARCHAR)
        ELSE monto_reclamacion END AS monto_reclamacion
 FROM rich""",
 )

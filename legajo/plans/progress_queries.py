@@ -53,7 +53,7 @@ averaged AS (SELECT *, CASE WHEN len(ds) > 0 THEN
     "stage_averages",
     "K1",
     _EVENTS
-    + """SELECT case_id, stage, count(d) AS n_done, round(arg_max(avg_us, {t: ts, e: event_id}) / 1000000.0, 6) AS avg_seconds
+    + """SELECT case_id, stage, count(d) AS n_done, CAST(floor(arg_max(avg_us, {t: ts, e: event_id}) / 1000) AS BIGINT) AS avg_ms
 FROM averaged GROUP BY case_id, stage HAVING count(d) > 0""",
 )
 def stage_averages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,8 +65,9 @@ def compare(spark, connection, name: str, sf_dir: str) -> str:
         kinds = dict(zip(columns, [str(d[1]) for d in cursor.description]))
         types = {c: t for c, t in frame.dtypes}
         return f"equal ({len(mine)})" if mine else f"EMPTY {types} {kinds}"
-    gone = [r for r in theirs if r not in set(mine)][:2]
-    extra = [r for r in mine if r not in set(theirs)][:2]
+    known_mine, known_theirs = set(mine), set(theirs)
+    gone = [r for r in theirs if r not in known_mine][:2]
+    extra = [r for r in mine if r not in known_theirs][:2]
     return f"DIFFERENT {len(mine)} vs {len(theirs)}\n   spark {extra}\n   sql   {gone}"
 
 
