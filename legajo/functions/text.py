@@ -27,11 +27,16 @@ def lookup(entries: Mapping[str, object], key: ColumnLike, default=None) -> Colu
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def strip(value: ColumnLike, characters: str | None = None) -> Column:
-    """Trim every kind of white space, or the given characters."""
-    if characters:
-        return F.btrim(as_column(value), F.lit(characters))
-    return F.regexp_replace(as_column(value), r"(?U)^\s+|\s+$", "")
+# fixed values: the characters Unicode calls white space, and the four separators
+WHITE_SPACE = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(value: ColumnLike, characters: str = WHITE_SPACE) -> Column:
+    """Trim every kind of white space, or the given characters (no regex: hot path)."""
+    return F.btrim(as_column(value), F.lit(characters))
 
 
 def squeeze(value: ColumnLike) -> Column:

@@ -185,9 +185,12 @@ def amount_error(value: ColumnLike) -> Column:
     )
 
 
-def date_error(value: ColumnLike, first_year: int = 2000, last_year: int = 2030) -> Column:
+def date_error(
+    value: ColumnLike, first_year: int = 2000, last_year: int = 2030, year: Column | None = None
+) -> Column:
+    """Date check; ``year`` saves reading the date again."""
     column = as_column(value)
-    year = F.year(checked_date(column))
+    year = F.year(checked_date(column)) if year is None else year
     return (
         F.when(is_blank(column), F.lit("Fecha vacía"))
         .when(year.isNull(), F.concat(F.lit("Formato de fecha no reconocido: "), column))
@@ -196,8 +199,10 @@ def date_error(value: ColumnLike, first_year: int = 2000, last_year: int = 2030)
     )
 
 
-def float_error(value: ColumnLike, minimum: float | None = None) -> Column:
-    number = to_number(value)
+def float_error(
+    value: ColumnLike, minimum: float | None = None, number: Column | None = None
+) -> Column:
+    number = to_number(value) if number is None else number
     error = F.when(number.isNull(), F.lit("No es un número válido"))
     if minimum is not None:
         error = error.when(number < minimum, F.lit(f"Valor menor al mínimo ({minimum})"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legajo.fixed_values import FIELD_RULES, REQUIRED_FIELDS
-from legajo.functions.text import about, squeeze
+from legajo.functions.text import squeeze
 from legajo.functions.values import checked_date, date_error, float_error, policy_error, to_number
 from legajo.operators.consolidate import may_supply
 
@@ -36,14 +36,17 @@ def transformed(field: str, value: Column) -> Column:
     return value
 
 
-def field_error(field: str, value: Column) -> Column:
-    """Message of the first broken rule, null when the value is null or valid."""
+def field_error(field: str, value: Column, year: Column, number: Column) -> Column:
+    """Message of the first broken rule, null when the value is null or valid.
+
+    ``year`` and ``number`` are the value read as a date and as a number.
+    """
     rules = FIELD_RULES.get(field, {})
     kind = rules.get("type")
     if kind == "date":
-        error = date_error(value)
+        error = date_error(value, year=year)
     elif kind == "float":
-        error = float_error(value, rules.get("min"))
+        error = float_error(value, rules.get("min"), number=number)
     else:
         tested = transformed(field, value) if "digits" in rules else value
         error = F.lit(None).cast("string")
@@ -70,34 +73,56 @@ def validate_extractions(
     """Masked and validated fields plus ``errors`` (field, message) per document.
 
     Types that are unknown or list nothing are not masked here.  An invalid
-    value stays as it came.
+    value stays as it came.  Readings, messages and values are computed in
+    three projections, so each is evaluated once per row.
     """
     allowed = {f: may_supply(f, on_unknown="all", on_empty="all") for f in fields}
-    messages = {f: F.when(allowed[f], field_error(f, F.col(f))) for f in fields}
-    errors = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    messages[f].isNotNull(),
-                    F.struct(F.lit(f).alias("field"), messages[f].alias("message")),
-                )
-                for f in fields
-            ]
-        )
+    kinds = {f: FIELD_RULES.get(f, {}).get("type") for f in fields}
+    dates = [f for f in fields if kinds[f] == "date"]
+    numbers = [f for f in fields if kinds[f] == "float"]
+    read = extractions.withColumns(
+        {
+            **{f"_year_{f}": F.year(checked_date(f)) for f in dates},
+            **{f"_number_{f}": to_number(f) for f in numbers},
+        }
     )
-    broken = {
-        f: F.exists("errors", about(f)) for f in fields
-    }
-    checked = extractions.withColumn("errors", errors)
-    return checked.withColumns(
+    none = F.lit(None)
+    told = read.withColumns(
         {
-            f: F.when(
+            f"_message_{f}": F.when(
                 allowed[f],
-                F.when(broken[f], F.col(f)).otherwise(transformed(f, F.col(f))),
+                field_error(
+                    f,
+                    F.col(f),
+                    F.col(f"_year_{f}") if f in dates else none,
+                    F.col(f"_number_{f}") if f in numbers else none,
+                ),
             )
             for f in fields
         }
     )
+    messages = F.array(
+        *[
+            F.struct(F.lit(f).alias("field"), F.col(f"_message_{f}").alias("message"))
+            for f in fields
+        ]
+    )
+    values = {
+        f: F.when(
+            allowed[f],
+            F.when(F.col(f"_message_{f}").isNotNull(), F.col(f)).otherwise(
+                transformed(f, F.col(f))
+            ),
+        )
+        for f in fields
+    }
+    return told.withColumns(
+        {**values, "errors": F.filter(messages, lambda e: e["message"].isNotNull())}
+    ).drop(
+        *[f"_year_{f}" for f in dates],
+        *[f"_number_{f}" for f in numbers],
+        *[f"_message_{f}" for f in fields],
+    )
 
 
 def violations(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -115,29 +140,23 @@ def error_texts(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
 def quality_summary(
     validated: DataFrame, fields: Sequence[str] = REQUIRED_FIELDS
 ) -> DataFrame:
-    """Values, violations and share of valid values per field."""
-    cells = F.array(
+    """Values, violations and share of valid values per field.
+
+    One wide aggregate: each input partition sends a single row.
+    """
+    broken = F.col("errors.field")
+    totals = validated.agg(
         *[
             F.struct(
                 F.lit(f).alias("field"),
-                F.col(f).isNotNull().alias("filled"),
-                F.exists("errors", about(f)).alias("broken"),
-            )
+                F.count(F.col(f)).alias("n_values"),
+                F.count_if(F.array_contains(broken, f)).alias("n_invalid"),
+            ).alias(f)
             for f in fields
         ]
     )
-    return (
-        validated.select(F.inline(cells))
-        .groupBy("field")
-        .agg(
-            F.count_if("filled").alias("n_values"),
-            F.count_if("broken").alias("n_invalid"),
-        )
-        .withColumn(
-            "valid_share",
-            F.round(1 - F.coalesce(F.try_divide("n_invalid", "n_values"), F.lit(0.0)), 6),
-        )
-    )
+    share = 1 - F.coalesce(F.try_divide("n_invalid", "n_values"), F.lit(0.0))
+    return totals.select(F.inline(F.array(*fields))).withColumn("valid_share", F.round(share, 6))
 
 
 # --- coherence of a consolidated case -------------------------------------------------

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from legajo.operators.registry import content_hash
 from legajo.schemas import STORED_TABLES
@@ -68,7 +67,7 @@ def write_ocr_store(results: DataFrame, path: str) -> None:
     )
 
 
-def read_ocr_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_ocr_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Stored OCR JSON files, one document each."""
     return (
         spark.read.schema(schema)
@@ -126,13 +125,15 @@ def write_case_index(index: DataFrame, path: str) -> None:
 
 
 def read_case_index(
-    spark: SparkSession, path: str, schema: T.StructType, case_id: str | None = None
+    spark: SparkSession, path: str, schema: str, case_id: str | None = None
 ) -> DataFrame:
     index = spark.read.schema(schema).json(path)
     return index.filter(F.col("case_id") == case_id) if case_id else index
 
 
-def golden_examples(spark: SparkSession, path: str, schema: T.StructType, list_name: str):
+def golden_examples(
+    spark: SparkSession, path: str, schema: str, list_name: str
+) -> DataFrame:
     """Examples of a JSON document whose named list holds them, one row each."""
     document = spark.read.schema(schema).option("multiLine", "true").json(path)
     return document.select(F.inline(list_name))

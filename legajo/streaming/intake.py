@@ -17,6 +17,7 @@ def arriving_files(spark: SparkSession, folder: str, profile: str = "organiser")
     """Supported files as they appear, with the hash of their bytes; case = folder."""
     files = (
         spark.readStream.format("binaryFile")
+        .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
