@@ -121,7 +121,7 @@ def consolidate(
     )
     aggregates = [
         F.count(F.lit(1)).alias("n_documents"),
-        F.array_sort(F.collect_set("document_type")).alias("document_types"),
+        F.sort_array(F.collect_set("document_type")).alias("document_types"),
     ]
     for field in fields:
         value = F.col(f"usable_{field}")
