@@ -26,6 +26,7 @@ MODULES = [
     "progress_queries",
     "report_queries",
     "stream_queries",
+    "store_queries",
 ]
 
 

@@ -16,7 +16,7 @@ from legajo.streaming import intake
 from legajo.streaming import progress as live
 
 
-def _scratch(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
@@ -35,7 +35,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register("streamed_progress_report", "K1 K2 K3 K4 A15 A16", TWINS["progress_report"])
 def streamed_progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The progress report from the stateful stream, equal to the batch form."""
-    folder = _scratch(spark)
+    folder = new_folder(spark)
     report = live.stream_report(progress_events(table_stream(spark, sf_dir, "events")))
     live.write_log(report, f"{folder}/log", f"{folder}/state", every=None).awaitTermination()
     return spark.read.schema(live.REPORT).json(f"{folder}/log")
@@ -48,7 +48,7 @@ def streamed_progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def streamed_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents registered as they stream in, once per case and content."""
-    folder = _scratch(spark)
+    folder = new_folder(spark)
     arrivals = table_stream(spark, sf_dir, "documents").select(
         F.col("source").alias("case_id"),
         content_hash("text").alias("file_hash"),
@@ -66,7 +66,7 @@ def streamed_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def streamed_expiring_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys admitted by the expiring dedupe when the table arrives at once."""
-    folder = _scratch(spark)
+    folder = new_folder(spark)
     events = table_stream(spark, sf_dir, "events").select(
         "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")
     )

@@ -142,3 +142,22 @@ def test_collisions_take_free_suffixes(spark):
     existing = spark.createDataFrame([("A",), ("A_3",)], "folder STRING")
     got = resolve_collisions(wanted, existing, ["o"]).collect()
     assert {r.o: r.final_folder for r in got} == {1: "A_2", 2: "A_4", 3: "A_5", 4: "B"}
+
+
+def test_consolidation_with_one_case_holding_most_documents(spark):
+    from legajo.operators import consolidate as con
+
+    rows = spark.range(30000).select(
+        F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), F.col("id"))).alias(
+            "case_id"
+        ),
+        ((F.col("id") * 7919) % 30011).alias("doc_seq"),
+        F.concat(F.lit("d"), "id").alias("source_document"),
+        F.lit("poliza").alias("document_type"),
+        F.concat(F.lit("v"), F.col("id") % 5).alias("ajuste"),
+    ).repartition(16)
+    decided = con.decisions(con.consolidate(rows, ["ajuste"]))
+    hot = decided.filter("case_id = 'hot'").first()
+    best = min((i * 7919 % 30011, i) for i in range(30000) if i % 3)[1]
+    assert (hot.n_options, hot.source_document, hot.value) == (20000, f"d{best}", f"v{best % 5}")
+    assert decided.count() == 10001
