@@ -159,10 +159,10 @@ def ingested_field_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     "F9 F10 F11 F14",
     RICH_SQL
     + """SELECT case_id, source_document, trim(fecha_ocurrencia) AS fecha_ocurrencia, numero_poliza,
-  CASE l_returnflag WHEN 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2))
+  CAST(CASE l_returnflag WHEN 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2))
     WHEN 'R' THEN -CAST(l_extendedprice AS DECIMAL(18,2))
     ELSE CASE WHEN l_linenumber = 1 THEN NULL
-      ELSE CAST(replace(monto_reclamacion, ',', '') AS DECIMAL(18,2)) END END AS amount
+      ELSE CAST(replace(monto_reclamacion, ',', '') AS DECIMAL(18,2)) END END AS VARCHAR) AS amount
 FROM (SELECT * REPLACE (CASE WHEN l_returnflag = 'N' AND l_linenumber > 1
    THEN CASE WHEN l_extendedprice < 1000 THEN replace(monto_reclamacion, ',', '')
      WHEN l_extendedprice < 1000000 THEN replace(monto_reclamacion, ',', '')
@@ -174,7 +174,7 @@ def cleaned_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = ext.clean_extractions(rich_claim_documents(spark, sf_dir), RICH_FIELDS)
     return cleaned.select(
         "case_id", "source_document", "fecha_ocurrencia", "numero_poliza",
-        F.col("monto_reclamacion_decimal").alias("amount"),
+        F.col("monto_reclamacion_decimal").cast("string").alias("amount"),
     )
 
 
