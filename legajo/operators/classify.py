@@ -41,7 +41,7 @@ class Rule(NamedTuple):
     description: str = ""
 
 
-def reference_lexicon() -> list[Rule]:
+def default_lexicon() -> list[Rule]:
     return [Rule(*entry) for entry in CLASSIFIER_LEXICON]
 
 
@@ -92,7 +92,7 @@ def classify(
     name: str = "filename",
 ) -> DataFrame:
     """Add document_type, confidence and reasons; ties go to the earlier rule."""
-    rules = list(lexicon or reference_lexicon())
+    rules = list(lexicon or default_lexicon())
     low_text, low_name = F.col("_text"), F.col("_name")
     scores = F.array(
         *[

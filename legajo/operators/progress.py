@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from legajo.fixed_values import SMOOTHING, STAGE_SECONDS, STAGES
 from legajo.operators.scaling import running_last
+from legajo.session import ensure_checkpoint_dir
 
 KEEP = 1.0 - SMOOTHING
 # 0.75 ** 160 is far below double precision, so older terms cannot matter
@@ -42,19 +43,23 @@ def stage_durations(events: DataFrame, piece: Column | None = None) -> DataFrame
 
 
 def smoothed_times(durations: DataFrame, piece: Column | None = None) -> DataFrame:
-    """Running smoothed duration after each finished stage.
+    """Adds avg_us, the running smoothed duration, to events that finish a stage.
 
     Inside a piece the average is decay^n * carried + sum of recent terms; the
-    carried average comes from folding the (n, sum) of earlier pieces.
+    carried average comes from folding the (n, sum) of earlier pieces.  Events
+    without a duration ride along in window partitions of their own.
     """
     keys = ["case_id", "stage", "_piece"]
-    done = durations.filter("duration_us IS NOT NULL").withColumn(
-        "_piece", piece if piece is not None else F.to_date("ts")
+    cut = durations.withColumns(
+        {
+            "_piece": piece if piece is not None else F.to_date("ts"),
+            "_done": F.col("duration_us").isNotNull(),
+        }
     )
-    inside = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    inside = Window.partitionBy(*keys, "_done").orderBy("ts", "event_id")
     recent = F.collect_list("duration_us").over(inside.rowsBetween(-(FRAME - 1), 0))
     placed = (
-        done.withColumn("_recent", recent)
+        cut.withColumn("_recent", recent)
         .withColumn("_n", F.row_number().over(inside))
         .withColumn("_first", F.first("duration_us").over(inside))
         .withColumn(
@@ -63,8 +68,14 @@ def smoothed_times(durations: DataFrame, piece: Column | None = None) -> DataFra
         )
         .drop("_recent")
     )
-    ends = placed.groupBy(*keys).agg(
-        F.max("_n").alias("n"), F.max_by("_sum", "_n").alias("sum"), F.first("_first").alias("first")
+    ends = (
+        placed.filter("_done")
+        .groupBy(*keys)
+        .agg(
+            F.max("_n").alias("n"),
+            F.max_by("_sum", "_n").alias("sum"),
+            F.first("_first").alias("first"),
+        )
     )
     before = Window.partitionBy("case_id", "stage").orderBy("_piece").rowsBetween(-FRAME, -1)
     carried = F.aggregate(
@@ -73,24 +84,25 @@ def smoothed_times(durations: DataFrame, piece: Column | None = None) -> DataFra
         lambda acc, p: F.coalesce(acc, p["first"]) * _decay(p["n"]) + p["sum"],
     )
     carries = ends.select(*keys, carried.alias("_carry"))
-    return placed.join(carries, keys).withColumn(
-        "avg_us", F.coalesce("_carry", "_first") * _decay(F.col("_n")) + F.col("_sum")
-    ).drop("_piece", "_n", "_first", "_sum", "_carry")
+    average = F.coalesce("_carry", "_first") * _decay(F.col("_n")) + F.col("_sum")
+    return placed.join(carries, keys, "left").withColumn(
+        "avg_us", F.when(F.col("_done"), average)
+    ).select(*durations.columns, "avg_us")
 
 
 def progress_report(events: DataFrame, piece: Column | None = None) -> DataFrame:
     """Every event with elapsed_ms, avg_stage_ms and eta_ms as they were then."""
-    measured = stage_durations(events, piece)
-    averaged = smoothed_times(measured, piece)
-    rest = measured.filter("duration_us IS NULL").withColumn(
-        "avg_us", F.lit(None).cast("double")
-    )
+    # each step reads its input twice (pieces and rows), so both inputs are
+    # written once instead of being computed again per reader
+    ensure_checkpoint_dir(events.sparkSession)
+    measured = stage_durations(events, piece).checkpoint()
+    averaged = smoothed_times(measured, piece).checkpoint()
     known = {
         f"avg_{s}": F.when(F.col("stage") == s, F.col("avg_us")) for s in STAGES
     }
     # stages outside the list have an average of their own but no place in the order
     with_all = running_last(
-        averaged.unionByName(rest),
+        averaged,
         ["case_id"],
         piece if piece is not None else F.to_date("ts"),
         ["ts", "event_id"],
@@ -128,7 +140,7 @@ def remaining_ms(averages_us: dict[str, Column]) -> Column:
 def final_averages(events: DataFrame, piece: Column | None = None) -> DataFrame:
     """Smoothed milliseconds per (case, stage) after the last event."""
     averaged = smoothed_times(stage_durations(events, piece), piece)
-    return averaged.groupBy("case_id", "stage").agg(
+    return averaged.filter("avg_us IS NOT NULL").groupBy("case_id", "stage").agg(
         F.count(F.lit(1)).alias("n_done"),
         F.floor(F.max_by("avg_us", F.struct("ts", "event_id")) / 1000).alias("avg_ms"),
     )
