@@ -8,8 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.llm import bpe, exact_dedup, orc_tokens, token_counts
-from legajo.llm.common import shared_folder
+from legajo.llm import (
+    bpe,
+    exact_dedup,
+    html_text,
+    language,
+    orc_tokens,
+    quality,
+    token_counts,
+    toxicity,
+)
+from legajo.llm.common import fold, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +51,20 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op2_compression_quality")
+def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by two compression dictionaries."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "size_difference",
+    )
+
+
 @register("op5_token_counts")
 def document_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, each distinct text encoded once."""
@@ -49,6 +72,20 @@ def document_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path)
 
 
+@register("op6_toxic_passages")
+def toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by its significant passages."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 @register("op7_orc_tokens")
 def orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents written and read back."""
@@ -58,6 +95,26 @@ def orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_offsets(orc_tokens.read_token_files(spark, folder))
 
 
+@register("op8_language_spans")
+def language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its labelled spans."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs)).select(
+        "doc_id",
+        (fold("doc_id", 4) == 2).alias("held_out"),
+        "lang_pred",
+        "score",
+        F.size("spans").alias("n_spans"),
+    )
+
+
+@register("op9_main_text")
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
