@@ -18,11 +18,9 @@ token shards are stored; ``octet_length(ids) / 4`` is their number.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import Memo, decode, text_bytes
+from legajo.llm.common import decode, text_bytes
 
 #: Bytes of text after which a block is closed (a longer text is a block of its own).
 BLOCK_BYTES = 48 << 20
 #: Pre-tokens in one packed row of positions.
 CHUNK_TOKENS = 1 << 20
 
-#: A space with white space before it and white space or nothing behind it.
-CROWDED = re.compile(r" (?!\S)(?<=\s )|^ (?!\S)")
-
 PIECES = "block string, sign bigint, bucket int, first int, words array<string>"
 CODES = "block string, sign bigint, chunk int, doc_ids array<{}>, n_words array<int>, codes binary"
 
@@ -71,30 +66,16 @@ class Numbers(dict):
 
 
 class Block:
-    """Documents as numbers of distinct pre-tokens.
-
-    Texts are cut at single spaces first, where no pre-token ends elsewhere, so
-    that the pattern only runs once per distinct piece.
-    """
+    """Documents as numbers of distinct pre-tokens."""
 
     def __init__(self, splitter):
         self.splitter, self.numbers = splitter, Numbers()
-        self.first = Memo(self.codes, 50_000)
-        self.later = Memo(lambda piece: self.codes(" " + piece))
         self.ids, self.docs, self.size = [], [], 0
 
-    def codes(self, text: str) -> bytes:
-        words = self.splitter.findall(text)
-        return np.fromiter(map(self.numbers.__getitem__, words), "<u4", len(words)).tobytes()
-
     def add(self, doc_id, text: str, size: int) -> None:
-        if CROWDED.search(text):
-            packed = self.codes(text)
-        else:
-            head, *rest = text.split(" ")
-            packed = b"".join(chain((self.first[head],), map(self.later.__getitem__, rest)))
+        words = self.splitter.findall(text)
         self.ids.append(doc_id)
-        self.docs.append(np.frombuffer(packed, "<u4"))
+        self.docs.append(np.fromiter(map(self.numbers.__getitem__, words), "<u4", len(words)))
         self.size += size
 
     def ordered(self, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, list[str]]], int]:
@@ -235,7 +216,7 @@ def assemble(codes: DataFrame, words: DataFrame) -> DataFrame:
             ends = np.cumsum(n)
             total = int(ends[-1]) if n.size else 0
             out = ids[np.repeat(starts[held] - (ends - n), n) + np.arange(total)]
-            doc_ends = np.cumsum(row.column("n_words").values.to_numpy())
+            doc_ends = np.cumsum(row.column("n_words").flatten().to_numpy())
             cuts = np.concatenate([[0], np.concatenate([[0], ends])[doc_ends]]).astype(np.int64)
             data = pa.py_buffer(np.ascontiguousarray(out).tobytes())
             packed = pa.BinaryArray.from_buffers(
@@ -243,7 +224,7 @@ def assemble(codes: DataFrame, words: DataFrame) -> DataFrame:
                 len(doc_ends),
                 [None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), data],
             )
-            tables.append(pa.table({"id": row.column("doc_ids").values, "ids": packed}))
+            tables.append(pa.table({"id": row.column("doc_ids").flatten(), "ids": packed}))
         return pa.concat_tables(tables)
 
     keys = ["block", "sign"]

@@ -67,6 +67,22 @@ def file_digest(path: str) -> int:
         return zlib.crc32(file.read())
 
 
+# White space characters of Unicode and of Python.
+WHITE = "".join(
+    map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)))
+) + "\u2028\u2029\u202f\u205f\u3000"
+CROWDED = [" " + c for c in WHITE]
+
+
+def cuts_at_spaces(text: str) -> bool:
+    """Whether every space is single and stands before text.
+
+    Then no match of the pre-token pattern reaches over a space from before it:
+    the text can be cut in front of each space and the parts matched on their own.
+    """
+    return not (text.endswith(" ") or any(pair in text for pair in CROWDED))
+
+
 class Memo(dict):
     """Values by key, computed on first use and emptied at a size bound."""
 

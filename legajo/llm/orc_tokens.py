@@ -9,7 +9,6 @@ through one task, and the rows of a file through a window of their own.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,12 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from legajo.llm.common import Memo, decode, text_bytes
-
-#: Tokens never reach over a space with a non-space before or after it, so texts are
-#: cut there; this finds a space with white space (or a border) on both sides.
-CROWDED = re.compile(r" (?!\S)(?<=\s )|^ (?!\S)")
-
+from legajo.llm.common import Memo, cuts_at_spaces, decode, text_bytes
 
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, with a bounded memo of space-cut pieces."""
@@ -44,7 +38,7 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids, equal to encoding the text at once."""
-        if CROWDED.search(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special) or not cuts_at_spaces(text):
             return self.whole(text)
         pieces = text.split(" ")
         return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
