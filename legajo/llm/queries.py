@@ -15,6 +15,7 @@ from legajo.llm import (
     language,
     orc_tokens,
     quality,
+    simhash,
     token_counts,
     toxicity,
 )
@@ -65,6 +66,12 @@ def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op4_simhash_groups")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.fingerprint_groups(table(spark, sf_dir, "documents"))
+
+
 @register("op5_token_counts")
 def document_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document, each distinct text encoded once."""
