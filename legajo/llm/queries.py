@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from legajo.llm import (
     bpe,
+    decontaminate,
     exact_dedup,
     html_text,
     language,
@@ -66,6 +67,14 @@ def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op3_benchmark_leaks")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 @register("op4_simhash_groups")
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
