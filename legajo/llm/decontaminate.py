@@ -137,9 +137,15 @@ def contaminated(
         "item-shingles",
     )
     rows = hashed(docs, [F.col(id_col).alias("id")], text_col, words)
+    # the outer form: for the inner one the optimiser would evaluate the array twice over
+    places = rows.select(
+        "id",
+        "dkey",
+        F.size("hashes").alias("n_all"),
+        F.posexplode_outer("hashes").alias("pos", "h"),
+    )
     hits = stored(
-        rows.select("id", "dkey", F.size("hashes").alias("n_all"), F.posexplode("hashes").alias("pos", "h"))
-        .join(small_side(item_shingles, BROADCAST_ROWS), "h")
+        places.join(small_side(item_shingles, BROADCAST_ROWS), "h")
         .distinct(),
         "hits",
     )
@@ -157,7 +163,7 @@ def contaminated(
         "n",
         "m",
         "s",
-        F.explode(F.slice("hashes", F.col("s") + 1, F.col("m"))).alias("h"),
+        F.explode_outer(F.slice("hashes", F.col("s") + 1, F.col("m"))).alias("h"),
     )
     prints = fingerprinted(placed, ["id", "dkey", "n", "m", "s"])
     item_prints = fingerprinted(
