@@ -72,6 +72,7 @@ WHITE = "".join(
     map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)))
 ) + "\u2028\u2029\u202f\u205f\u3000"
 CROWDED = [" " + c for c in WHITE]
+CROWDED_ASCII = [pair for pair in CROWDED if pair.isascii()]
 
 
 def cuts_at_spaces(text: str) -> bool:
@@ -80,7 +81,8 @@ def cuts_at_spaces(text: str) -> bool:
     Then no match of the pre-token pattern reaches over a space from before it:
     the text can be cut in front of each space and the parts matched on their own.
     """
-    return not (text.endswith(" ") or any(pair in text for pair in CROWDED))
+    pairs = CROWDED_ASCII if text.isascii() else CROWDED
+    return not (text.endswith(" ") or any([pair in text for pair in pairs]))
 
 
 class Memo(dict):

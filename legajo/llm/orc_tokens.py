@@ -9,6 +9,7 @@ through one task, and the rows of a file through a window of their own.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,30 +20,111 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from legajo.llm.common import Memo, cuts_at_spaces, decode, text_bytes
+from legajo.llm.common import cuts_at_spaces, decode, text_bytes
+
+TOKENS = "doc_id {}, ids array<int>, n_tokens bigint, part int, ordinal bigint"
+#: Marks that are a pre-token of their own between letters and a space or line end.
+MARKS = set(".,;:!?")
+
+
+def atoms(piece: str) -> list[str]:
+    """A space and a piece without white space around it, cut where no token reaches over.
+
+    Letters, a mark behind them and a line feed between two such words are cut;
+    any other piece is left whole for the library.
+    """
+    if piece.isalpha():
+        return [" " + piece]
+    if piece[:-1].isalpha() and piece[-1] in MARKS:
+        return [" " + piece[:-1], piece[-1]]
+    left, feed, right = piece.partition("\n")
+    if feed and right.isalpha():
+        if left.isalpha():
+            return [" " + left, feed, right]
+        if left[:-1].isalpha() and left[-1] in MARKS:
+            return [" " + left[:-1], left[-1], feed, right]
+    return [" " + piece]
+
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, with a bounded memo of space-cut pieces."""
+    """Ids of whole texts by the tokenizers library, with bounded memos of what texts share.
+
+    Texts are cut in front of single spaces, where no token reaches over; each
+    distinct atom of the pieces goes through the library once.
+    """
+
+    LIMIT = 500_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first = Memo(self.whole, 50_000)
-        self.later = Memo(lambda piece: self.whole(" " + piece))
+        self.known: dict[str, bytes] = {}  # by atom
+        self.pieces: dict[str, bytes] = {}
+
+    def learn(self, texts: set[str]) -> None:
+        """Put the ids of texts that are not known yet into ``known``.
+
+        A space with letters is one word to the library wherever it stands, so such
+        texts are encoded as one and told apart by the library's word numbers.
+        """
+        new = [t for t in texts if t not in self.known]
+        words = [t for t in new if t[:1] == " " and t[1:].isalpha()]
+        for low in range(0, len(words), 2_000):
+            some = words[low : low + 2_000]
+            found = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            numbers = np.asarray(found.word_ids, dtype=np.int64)
+            starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+            if len(starts) != len(some):
+                continue  # counted otherwise by the library: each on its own below
+            packed = np.asarray(found.ids, dtype="<u4").tobytes()
+            cuts = [*(starts * 4).tolist(), len(packed)]
+            self.known.update(
+                (text, packed[a:b]) for text, a, b in zip(some, cuts, cuts[1:], strict=False)
+            )
+        rest = [t for t in new if t not in self.known]
+        for text, one in zip(
+            rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True
+        ):
+            self.known[text] = np.asarray(one.ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, equal to encoding it at once."""
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        if len(self.pieces) > self.LIMIT:
+            self.pieces.clear()
+        out: list[bytes | None] = []
+        open_ = []  # (place, head, further pieces, their ids as far as known)
+        missing: set[str] = set()
+        heads: set[str] = set()
+        look_up = self.pieces.get
+        for text in texts:
+            if any(s in text for s in self.special) or not cuts_at_spaces(text):
+                out.append(self.whole(text))
+                continue
+            head, *parts = text.split(" ")
+            found = list(map(look_up, parts))
+            heads.add(head)
+            missing.update(p for p, ids in zip(parts, found, strict=True) if ids is None)
+            open_.append((len(out), head, parts, found))
+            out.append(None)
+        apart = {piece: atoms(piece) for piece in missing}
+        self.learn(heads.union(*apart.values()))
+        for piece, cut in apart.items():
+            self.pieces[piece] = b"".join(map(self.known.__getitem__, cut))
+        for place, head, parts, found in open_:
+            if None in found:
+                found = map(self.pieces.__getitem__, parts)
+            out[place] = self.known[head] + b"".join(found)
+        return out
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids, equal to encoding the text at once."""
-        if any(s in text for s in self.special) or not cuts_at_spaces(text):
-            return self.whole(text)
-        pieces = text.split(" ")
-        return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
-
 
 @lru_cache(2)
 def load_encoder(path: str) -> PieceEncoder:
@@ -57,7 +139,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
-    """Encode every whole text and write (doc_id, ids, part, ordinal) in ascending id order.
+    """Encode every whole text and write (doc_id, ids, n_tokens, part, ordinal) in ascending id order.
 
     A null text has the end id only (no id at all with ``end_id=None``).  Null
     ids come first; rows with one id stay together in an order of their own.
@@ -72,17 +154,19 @@ def write_token_files(
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 cut = batch.slice(low, 500)
-                packed = [encoder.encode(decode(t)) + end for t in cut.column(1).to_pylist()]
+                texts = [decode(t) for t in cut.column(1).to_pylist()]
+                packed = [ids + end for ids in encoder.encode(texts)]
                 offsets = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
                 ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         cut.column(0),
                         pa.ListArray.from_arrays(pa.array(offsets), ids),
+                        pa.array(np.diff(offsets).astype(np.int64)),
                         pa.array(np.full(cut.num_rows, part, dtype=np.int32)),
                         pa.array(np.arange(ordinal, ordinal + cut.num_rows, dtype=np.int64)),
                     ],
-                    names=["doc_id", "ids", "part", "ordinal"],
+                    names=["doc_id", "ids", "n_tokens", "part", "ordinal"],
                 )
                 ordinal += cut.num_rows
 
@@ -90,7 +174,7 @@ def write_token_files(
         docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id")
-        .mapInArrow(encoded, f"doc_id {id_type}, ids array<int>, part int, ordinal bigint")
+        .mapInArrow(encoded, TOKENS.format(id_type))
         .write.option("orc.compress", "ZSTD")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -103,9 +187,7 @@ def write_token_files(
 
 def read_token_files(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
     """The stored rows; filters on doc_id prune files, stripes and row groups."""
-    return spark.read.schema(
-        f"doc_id {id_type}, ids array<int>, part int, ordinal bigint"
-    ).orc(folder)
+    return spark.read.schema(TOKENS.format(id_type)).orc(folder)
 
 
 def token_offsets(tokens: DataFrame) -> DataFrame:
@@ -134,7 +216,7 @@ def token_offsets(tokens: DataFrame) -> DataFrame:
         f"doc_id {id_type}, part int, ordinal bigint, n_tokens bigint, ids_crc32 bigint",
     )
     until = Window.unboundedPreceding
-    files = tokens.groupBy("part").agg(F.sum(F.size("ids")).alias("_tokens"))
+    files = tokens.groupBy("part").agg(F.sum("n_tokens").alias("_tokens"))
     before = F.sum("_tokens").over(Window.orderBy("part").rowsBetween(until, -1))
     files = files.select("part", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.sum("n_tokens").over(
