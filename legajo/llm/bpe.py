@@ -68,15 +68,18 @@ class Numbers(dict):
 class Block:
     """Documents as numbers of distinct pre-tokens."""
 
-    def __init__(self, splitter):
-        self.splitter, self.numbers = splitter, Numbers()
-        self.ids, self.docs, self.size = [], [], 0
+    def __init__(self, splitter, keep_codes: bool):
+        self.splitter, self.keep_codes, self.numbers = splitter, keep_codes, Numbers()
+        self.ids, self.docs, self.size, self.texts = [], [], 0, 0
 
     def add(self, doc_id, text: str, size: int) -> None:
         words = self.splitter.findall(text)
-        self.ids.append(doc_id)
-        self.docs.append(np.fromiter(map(self.numbers.__getitem__, words), "<u4", len(words)))
+        codes = np.fromiter(map(self.numbers.__getitem__, words), "<u4", len(words))
+        if self.keep_codes:
+            self.ids.append(doc_id)
+            self.docs.append(codes)
         self.size += size
+        self.texts += 1
 
     def ordered(self, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, list[str]]], int]:
         """New number of each old one, (bucket, first number, words) per bucket, and a sign."""
@@ -86,7 +89,7 @@ class Block:
         new = np.empty(len(words), "<u4")
         new[order] = np.arange(len(words), dtype="<u4")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows, sign = [], len(self.docs)
+        rows, sign = [], self.texts
         for b in range(buckets):
             if cuts[b] < cuts[b + 1]:
                 held = [words[i] for i in order[cuts[b] : cuts[b + 1]]]
@@ -106,16 +109,15 @@ def split_blocks(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch], splitter) -> Iterator[Block]:
-        block = Block(splitter)
+        block = Block(splitter, kind == "codes")
         for batch in batches:
-            for doc_id, data in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True
-            ):
-                block.add(doc_id, decode(data), len(data))
+            for doc_id, cell in zip(batch.column(0), batch.column(1), strict=True):
+                data = cell.as_py()  # one text at a time
+                block.add(doc_id.as_py(), decode(data), len(data))
                 if block.size >= BLOCK_BYTES:
                     yield block
-                    block = Block(splitter)
-        if block.docs:
+                    block = Block(splitter, kind == "codes")
+        if block.texts:
             yield block
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +126,7 @@ def split_blocks(
         part = TaskContext.get().partitionId()
         for place, block in enumerate(blocks(batches, regex.compile(pattern))):
             new, rows, sign = block.ordered(buckets)
+            block.numbers.clear()
             name = f"{part}-{place}"
             if kind == "words":
                 for b, first, words in rows:
@@ -151,6 +154,7 @@ def split_blocks(
                     schema=codes_schema,
                 )
                 low, chunk = high, chunk + 1
+        pa.default_memory_pool().release_unused()  # workers are used again
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -280,15 +284,18 @@ def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> Dat
         for token, rank in ranks.items():
             table[rank] = token
         for batch in batches:
-            texts = [
-                None
-                if ids is None
-                else b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                for ids in batch.column(place).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.binary())],
-                names=[*batch.schema.names, "decoded"],
-            )
+            for low in range(0, batch.num_rows, 500):
+                cut = batch.slice(low, 500)
+                texts = [
+                    None
+                    if ids is None
+                    else b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                    for ids in cut.column(place).to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*cut.columns, pa.array(texts, pa.binary())],
+                    names=[*cut.schema.names, "decoded"],
+                )
+        pa.default_memory_pool().release_unused()
 
     return encoded.mapInArrow(decoded, f"{ddl}, `decoded` binary")

@@ -157,7 +157,8 @@ def fit(
         return Model({}, calibration=(0.0, math.log(share / (1 - share))))
     a1 = F.lit(prior) * (F.col("toxic") + F.col("clean")) / (n1 + n0)
     toxic, clean = F.col("toxic") + a1, F.col("clean") + a1
-    delta = F.log(toxic / (n1 + prior - toxic)) - F.log(clean / (n0 + prior - clean))
+    # half a document more without the unit: it may be in all of a class
+    delta = F.log(toxic / (n1 + prior - toxic + 0.5)) - F.log(clean / (n0 + prior - clean + 0.5))
     rows = (
         unit_counts(sample)
         .filter("toxic + clean >= 2")
