@@ -5,7 +5,7 @@ negative on the whole; the weight of each, by the element that holds it, is the
 log-odds of lying inside the content region, learned from labelled pages.  One
 linear scan finds the contiguous run with the highest sum.  Elements that are
 never main text (scripts, menus, headers, footers, sidebars, forms, adverts,
-notices, comments of readers) weigh against the run and are left out of it.
+notices, comments of readers) weigh next to nothing and are left out of the text.
 """
 
 from __future__ import annotations
@@ -55,9 +55,12 @@ MARKUP = re.compile(
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 #: Weights without labelled pages: words by the block that holds them, tags by name.
-WORDS = {"p": 1.0, "h1": 1.0, "h2": 1.0, "h3": 1.0, "li": -0.2, "a": -1.0, "side": -2.0}
-TAGS = {"p": -0.2, "h1": -0.2, "a": -1.5, "li": -1.0, "nav": -6.0, "footer": -6.0}
+WORDS = {"p": 1.0, "h1": 1.0, "h2": 1.0, "h3": 1.0, "li": 0.5, "a": -1.0}
+TAGS = {"p": -0.2, "h1": -0.2, "a": -1.5, "li": -0.5}
 OTHER_WORD, OTHER_TAG = 0.5, -0.5
+#: Side elements are left out in any case; they weigh little, so that an advert or a
+#: form in the middle of an article does not cut it in two.
+SIDE_WEIGHT = -0.02
 
 
 class Piece:
@@ -85,7 +88,7 @@ def pieces(page: str) -> list[Piece]:
         if raw:
             side = stack[-1][1] if stack else False
             holder = next((n for n, _ in reversed(stack) if n in BLOCKS or n == "a"), "")
-            out.append(Piece(html.unescape(raw), "side" if side else holder, False, side))
+            out.append(Piece(html.unescape(raw), holder, False, side))
 
     def close(name: str) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -125,6 +128,8 @@ def pieces(page: str) -> list[Piece]:
 
 def weigh(piece: Piece, weights: tuple[dict[str, float], dict[str, float]]) -> float:
     words, tags = weights
+    if piece.side:
+        return SIDE_WEIGHT * (len(piece.text.split()) or 1)
     if not piece.text:
         return tags.get(piece.kind, OTHER_TAG)
     return words.get(piece.kind, OTHER_WORD) * len(piece.text.split())
@@ -188,6 +193,8 @@ def fit(
                     if piece.kind == "article" and not piece.text:
                         inside = 1 - inside
                         continue
+                    if piece.side:
+                        continue
                     kind = "word" if piece.text else "tag"
                     counts[kind, piece.kind, inside] += len(piece.text.split()) or 1
             yield pa.RecordBatch.from_pydict(
