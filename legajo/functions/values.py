@@ -51,6 +51,24 @@ def guided_amount(value: ColumnLike) -> Column:
     return to_number(F.replace(F.replace(column, F.lit(","), F.lit("")), F.lit("$"), F.lit("")))
 
 
+def number_text(value: ColumnLike) -> Column:
+    """A double as the shortest text that reads back: 1234.5, 1234.0, 1e+16, 5e-05."""
+    number = as_column(value)
+    shown = number.cast("string")
+    plain = F.regexp_replace(
+        F.regexp_replace(shown.try_cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", ".0"
+    )
+    mantissa = F.regexp_replace(F.regexp_extract(shown, r"^([^E]+)", 1), r"\.0$", "")
+    power = F.regexp_extract(shown, r"E(-?)(\d+)$", 2)
+    sign = F.when(shown.contains("E-"), "-").otherwise("+")
+    scientific = F.concat(
+        mantissa, F.lit("e"), sign, F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power)
+    )
+    size = F.abs(number)
+    ordinary = (number == 0) | ((size >= 1e-4) & (size < 1e16))
+    return F.when(number.isNotNull(), F.when(ordinary, plain).otherwise(scientific))
+
+
 def money(value: ColumnLike) -> Column:
     return as_column(value).try_cast("decimal(18,2)")
 

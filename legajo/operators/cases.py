@@ -89,11 +89,12 @@ def resolve_cases(arrivals: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def list_cases(
-    cases: DataFrame, limit: int = 50, status: str | None = None, at: str = "created_at"
+    cases: DataFrame, limit: int | None = None, status: str | None = None, at: str = "created_at"
 ) -> DataFrame:
-    """Newest cases first; the limit is part of the listing."""
+    """Newest cases first, all of them unless a limit is given."""
     chosen = cases.filter(F.col("status") == status) if status else cases
-    return chosen.orderBy(F.desc(at), F.desc("case_id")).limit(limit)
+    ordered = chosen.orderBy(F.desc(at), F.desc("case_id"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def update_status(

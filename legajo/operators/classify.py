@@ -203,9 +203,13 @@ def type_guide(lexicon: Sequence[Rule]) -> str:
 
 def fallback_requests(
     classified: DataFrame, lexicon: Sequence[Rule], key: str, text: str = "text",
-    name: str = "filename", sample: int = 1500,
+    name: str = "filename", sample: int | None = None,
 ) -> DataFrame:
-    """Requests for documents the rules left as 'otro'; the call is made outside."""
+    """Requests for documents the rules left as 'otro'; the call is made outside.
+
+    They hold the whole text, or its first ``sample`` characters.
+    """
+    shown = F.col(text) if sample is None else F.substring(F.col(text), 1, sample)
     return classified.filter(F.col("document_type") == OTHER).select(
         key,
         F.concat_ws(
@@ -214,15 +218,20 @@ def fallback_requests(
             F.lit(type_guide(lexicon)),
             F.concat(F.lit("Archivo: "), F.col(name)),
             F.lit("Contenido (muestra):"),
-            F.substring(F.col(text), 1, sample),
+            shown,
         ).alias("prompt"),
     )
 
 
 def ingest_answers(
-    answers: DataFrame, valid_types: Sequence[str], key: str, answer: str = "answer"
+    answers: DataFrame, valid_types: Sequence[str], key: str, answer: str = "answer",
+    max_reasons: int | None = None,
 ) -> DataFrame:
-    """Model answers to (type, confidence, up to three reasons)."""
+    """Model answers to (type, confidence, reasons).
+
+    Text that is no JSON, and an answer without type, confidence or reasons, give
+    'otro' with confidence 0 and one reason.
+    """
     body = strip(
         F.replace(F.replace(F.col(answer), F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))
     )
@@ -230,11 +239,21 @@ def ingest_answers(
         body, "document_type STRING, confidence DOUBLE, reasons ARRAY<STRING>"
     )
     known = F.col("_a.document_type").isin([*valid_types, OTHER])
-    failed = F.col("_a.document_type").isNull()
+    broken = F.try_parse_json(body).isNull()
+    failed_of = (
+        broken
+        | F.col("_a.document_type").isNull()
+        | F.col("_a.confidence").isNull()
+        | F.col("_a.reasons").isNull()
+    )
     reasons = F.when(known, F.col("_a.reasons")).otherwise(
         F.array_append("_a.reasons", F.lit(UNKNOWN_TYPE_REASON))
     )
-    return answers.withColumn("_a", parsed).select(
+    kept = reasons if max_reasons is None else F.slice(reasons, 1, max_reasons)
+    error = F.when(F.col("_broken"), "Error parsing LLM").otherwise("Error LLM")
+    failed = F.col("_failed")
+    flagged = answers.withColumn("_a", parsed).withColumns({"_broken": broken, "_failed": failed_of})
+    return flagged.select(
         key,
         F.when(known & ~failed, F.col("_a.document_type"))
         .otherwise(F.lit(OTHER))
@@ -243,8 +262,8 @@ def ingest_answers(
         .when(known, F.col("_a.confidence"))
         .otherwise(F.col("_a.confidence") * 0.5)
         .alias("confidence"),
-        F.when(failed, F.array(F.lit("Error parsing LLM")))
-        .otherwise(F.slice(reasons, 1, 3))
+        F.when(failed, F.array(error))
+        .otherwise(kept)
         .alias("reasons"),
     )
 

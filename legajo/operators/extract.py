@@ -29,35 +29,77 @@ from legajo.functions.text import (
 )
 from legajo.functions.values import (
     clean_amount,
+    first_pass_amount,
     guided_amount,
     money,
     null_if_token,
+    number_text,
     slashed_date,
 )
 from legajo.operators.ocr import normal_key, normal_value
 
 
 # --- content preparation -----------------------------------------------------------
-def relevant_sections(text: Column, terms: Sequence[str] = tuple(RELEVANT_LINE_TERMS)) -> Column:
-    """At most 100 lines: those with a term when more than ten have one, else the first."""
+def relevant_sections(
+    text: Column,
+    terms: Sequence[str] = tuple(RELEVANT_LINE_TERMS),
+    max_lines: int | None = None,
+    enough: int = 10,
+) -> Column:
+    """The lines with a term when more than ``enough`` have one, else all lines."""
     lines = F.split(text, "\n")
     marked = F.filter(lines, lambda line: contains_any(F.lower(line), terms))
-    chosen = F.when(F.size(marked) > 10, marked).otherwise(lines)
-    return F.array_join(F.slice(chosen, 1, 100), "\n")
+    chosen = F.when(F.size(marked) > enough, marked).otherwise(lines)
+    return F.array_join(first_of(chosen, max_lines), "\n")
 
 
-def prepared_text(text: ColumnLike, terms: Sequence[str] = tuple(RELEVANT_LINE_TERMS)) -> Column:
-    """What a model request may hold: 10,000 characters, condensed above 5,000."""
-    head = F.substring(F.coalesce(as_column(text), F.lit("")), 1, 10_000)
-    return F.when(F.length(head) > 5_000, relevant_sections(head, terms)).otherwise(head)
+def first_of(array: Column, n: int | None) -> Column:
+    """The first n elements; all without a limit."""
+    return array if n is None else F.slice(array, 1, n)
 
 
-def trimmed_tables(tables: ColumnLike, n_tables: int = 5, n_rows: int = 10) -> Column:
-    """First tables with their first rows (structs with headers and data_rows)."""
+def first_characters(text: Column, n: int | None) -> Column:
+    return text if n is None else F.substring(text, 1, n)
+
+
+def prepared_text(
+    text: ColumnLike,
+    terms: Sequence[str] = tuple(RELEVANT_LINE_TERMS),
+    limit: int | None = None,
+    condense_above: int | None = None,
+    max_lines: int | None = None,
+) -> Column:
+    """What a model request holds: the whole text unless a limit is given.
+
+    ``limit`` cuts at a number of characters; texts longer than
+    ``condense_above`` keep their relevant lines, ``max_lines`` of them at most.
+    """
+    head = first_characters(F.coalesce(as_column(text), F.lit("")), limit)
+    if condense_above is None:
+        return head
+    condensed = relevant_sections(head, terms, max_lines)
+    return F.when(F.length(head) > condense_above, condensed).otherwise(head)
+
+
+def text_chunks(documents: DataFrame, size: int, text: str = "text") -> DataFrame:
+    """One row per piece of ``size`` characters with ``chunk_no`` from 0; no character is lost.
+
+    An empty or null text is one empty piece.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    last = F.greatest(F.ceil(F.length(whole) / size) - 1, F.lit(0)).cast("int")
+    rows = documents.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumn(text, F.substring(whole, F.col("chunk_no") * size + 1, F.lit(size)))
+
+
+def trimmed_tables(
+    tables: ColumnLike, n_tables: int | None = None, n_rows: int | None = None
+) -> Column:
+    """Tables with their rows (structs with headers and data_rows), the first ones if limited."""
     return F.transform(
-        F.slice(as_column(tables), 1, n_tables),
+        first_of(as_column(tables), n_tables),
         lambda t: F.struct(
-            t["headers"].alias("headers"), F.slice(t["data_rows"], 1, n_rows).alias("rows")
+            t["headers"].alias("headers"), first_of(t["data_rows"], n_rows).alias("rows")
         ),
     )
 
@@ -171,16 +213,20 @@ def split_rejects(extractions: DataFrame, good: str = "parsed_ok") -> tuple[Data
 def clean_extractions(
     extractions: DataFrame, fields: Sequence[str] = REQUIRED_FIELDS
 ) -> DataFrame:
-    """Null tokens, trimmed dates and amounts as text plus DECIMAL."""
+    """Null tokens, trimmed dates, and amounts as the text of the number plus DECIMAL.
+
+    The decimal is null where the number does not fit; the text always stays.
+    """
     columns = {}
     for field in fields:
         value = F.col(field)
         if field in DATE_FIELDS:
             columns[field] = null_if_token(strip(value))
         elif field == AMOUNT_FIELD:
-            amount = money(clean_amount(null_if_token(value)))
-            columns[field] = amount.cast("string")
-            columns[f"{field}_decimal"] = amount
+            given = null_if_token(value)
+            amount = clean_amount(given)
+            columns[field] = F.coalesce(number_text(amount), first_pass_amount(given)["text"])
+            columns[f"{field}_decimal"] = money(amount)
         else:
             columns[field] = null_if_token(value)
     return extractions.withColumns(columns)
@@ -199,7 +245,7 @@ def guided_values(extractions: DataFrame, fields: Sequence[str] = REQUIRED_FIELD
         elif rules.get("type") == "date":
             columns[field] = F.when(value == "", value).otherwise(slashed_date(value))
         elif rules.get("type") == "float":
-            columns[field] = F.coalesce(money(guided_amount(value)).cast("string"), value)
+            columns[field] = F.coalesce(number_text(guided_amount(value)), value)
     return extractions.withColumns(columns)
 
 
@@ -214,6 +260,5 @@ def fill_metrics(extractions: DataFrame, fields: Sequence[str] = REQUIRED_FIELDS
 
 
 def reuse_key(name: ColumnLike, text: ColumnLike) -> Column:
-    """Key under which an extraction may be reused: name and first 1000 characters."""
-    head = F.substring(F.coalesce(as_column(text), F.lit("")), 1, 1000)
-    return F.md5(F.concat_ws("\x1f", as_column(name), head))
+    """Key under which an extraction may be reused: name and whole text."""
+    return F.md5(F.concat_ws("\x1f", as_column(name), F.coalesce(as_column(text), F.lit(""))))

@@ -24,11 +24,11 @@ def split_payloads(
 ) -> tuple[DataFrame, DataFrame]:
     """Items of clean payloads, and items of payloads with any bad item."""
     bad = items.groupBy(*payload).agg(F.bool_and(valid_item()).alias("_ok")).filter("NOT _ok")
-    keys = bad.select(*payload)
-    return (
-        items.join(keys, list(payload), "left_anti"),
-        items.join(keys, list(payload), "left_semi"),
-    )
+    keys = bad.select(*[F.col(p).alias(f"_bad_{p}") for p in payload])
+    same = F.lit(True)
+    for p in payload:  # a null key is a payload of its own
+        same = same & F.col(p).eqNullSafe(F.col(f"_bad_{p}"))
+    return items.join(keys, same, "left_anti"), items.join(keys, same, "left_semi")
 
 
 # --- storage ------------------------------------------------------------------------

@@ -60,12 +60,21 @@ def affected_documents(option_rows: DataFrame, found: DataFrame) -> DataFrame:
 
 # --- answers ----------------------------------------------------------------------------
 def normal_answers(answers: DataFrame, answer: str = "answer") -> DataFrame:
-    """Analyst answers with safe defaults; a score that is not a number counts 0."""
-    parsed = F.from_json(answer, ANSWER)
-    says_true = F.col(answer).rlike(r'"fraud_score"\s*:\s*true')
-    return answers.withColumn("_a", parsed).select(
+    """Analyst answers with safe defaults.
+
+    Text that is no whole JSON value counts as empty; a score counts when it is a
+    JSON number or truth value, and 0 otherwise.
+    """
+    whole = F.try_parse_json(answer)
+    parsed = F.when(whole.isNotNull(), F.from_json(answer, ANSWER))
+    kind = F.schema_of_variant(F.try_variant_get(whole, "$.fraud_score", "variant"))
+    number = F.try_variant_get(whole, "$.fraud_score", "double")
+    score = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), number).when(
+        kind == "BOOLEAN", F.try_variant_get(whole, "$.fraud_score", "boolean").cast("double")
+    )
+    return answers.withColumns({"_score": score, "_a": parsed}).select(
         *[c for c in answers.columns if c != answer],
-        F.coalesce("_a.fraud_score", F.when(says_true, 1.0), F.lit(0.0)).alias("fraud_score"),
+        F.coalesce("_score", F.lit(0.0)).alias("fraud_score"),
         *[
             F.coalesce(f"_a.{name}", F.array()).alias(name)
             for name in ("fraud_indicators", "inconsistencies", "external_validations")
@@ -103,8 +112,8 @@ def risk_rows(analyses: DataFrame, key: str = "case_id") -> DataFrame:
 
 
 # --- document analyses ---------------------------------------------------------------------
-def report_points(content: str) -> Column:
-    """First ten texts longer than 20 characters, from texts and list items in order.
+def report_points(content: str, longer_than: int = 0, most: int | None = None) -> Column:
+    """Texts and list items in order, those longer than a length and the first if limited.
 
     ``content`` is an array of (name, text, items).
     """
@@ -116,7 +125,8 @@ def report_points(content: str) -> Column:
             ),
         )
     )
-    return F.slice(F.filter(texts, lambda t: F.length(t) > 20), 1, 10)
+    kept = F.filter(texts, lambda t: F.length(t) > longer_than)
+    return kept if most is None else F.slice(kept, 1, most)
 
 
 def alerts(anomalies: str, visual: str, contextual: str) -> Column:

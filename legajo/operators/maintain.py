@@ -13,25 +13,31 @@ def orphan_index_rows(index: DataFrame, cases: DataFrame) -> DataFrame:
     return index.join(cases.select("case_id").distinct(), "case_id", "left_anti")
 
 
-# fixed values: what can be a case id inside a folder name
-CASE_ID_SHAPES = (r"CASE-\d+-\d{4,}", r"CASE-\d+-\d{4}", r"[^\s/]+")
-
-
-def orphan_folders(
-    folders: DataFrame, cases: DataFrame, shapes: Sequence[str] = CASE_ID_SHAPES
-) -> DataFrame:
-    """Folders that contain no known case id.
+def orphan_folders(folders: DataFrame, cases: DataFrame) -> DataFrame:
+    """Folders that contain no known case id anywhere in their name.
 
     Only names with '-' outside the index count.  Instead of testing every
-    folder against every case, whatever in a name has the shape of an id is
-    joined to the ids.
+    folder against every case, the parts of a name that have the length of some
+    id are joined to the ids.
     """
     named = folders.filter((F.col("folder") != "case_index") & F.col("folder").contains("-"))
-    candidates = F.array_distinct(
-        F.concat(*[F.regexp_extract_all("folder", F.lit(f"({s})")) for s in shapes])
+    known_ids = cases.select("case_id").filter("case_id <> ''").distinct()
+    # one row: the few lengths ids have
+    lengths = known_ids.agg(F.collect_set(F.length("case_id")).alias("_lengths"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("folder"))
+    parts = F.flatten(
+        F.transform(
+            fitting,
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.length("folder") - n + 1),
+                lambda start: F.substring(F.col("folder"), start, n),
+            ),
+        )
+    )
+    tokens = named.crossJoin(F.broadcast(lengths)).select(
+        "folder", F.explode(F.array_distinct(parts)).alias("case_id")
     )
-    tokens = named.select("folder", F.explode(candidates).alias("case_id"))
-    known = tokens.join(cases.select("case_id").distinct(), "case_id", "left_semi")
+    known = tokens.join(known_ids, "case_id", "left_semi")
     return named.join(known.select("folder").distinct(), "folder", "left_anti")
 
 
@@ -65,8 +71,13 @@ def store_statistics(index: DataFrame, folders: DataFrame, files: DataFrame) ->
     )
 
 
-def store_dashboard(listing: DataFrame, statistics: DataFrame, newest: int = 5) -> DataFrame:
-    """Store totals, mean documents per case and the newest cases, as rows."""
+def store_dashboard(
+    listing: DataFrame, statistics: DataFrame, newest: int | None = None, title: int | None = None
+) -> DataFrame:
+    """Store totals, mean documents per case and the cases, newest first, as rows.
+
+    ``newest`` limits the cases and ``title`` the characters of their titles.
+    """
     totals = listing.agg(F.round(F.avg("document_count"), 1).alias("mean_documents"))
     facts = statistics.crossJoin(F.broadcast(totals)).select(
         F.inline(
@@ -80,14 +91,10 @@ def store_dashboard(listing: DataFrame, statistics: DataFrame, newest: int = 5)
             )
         )
     )
-    recent = (
-        listing.orderBy(F.desc("processed_at"), "case_id")
-        .limit(newest)
-        .select(
-            F.concat(F.lit("case "), "case_id", F.lit(": "), F.substring("title", 1, 50)).alias(
-                "item"
-            ),
-            F.col("document_count").cast("double").alias("number"),
-        )
+    ordered = listing.orderBy(F.desc("processed_at"), "case_id")
+    shown = F.col("title") if title is None else F.substring("title", 1, title)
+    recent = (ordered if newest is None else ordered.limit(newest)).select(
+        F.concat(F.lit("case "), "case_id", F.lit(": "), shown).alias("item"),
+        F.col("document_count").cast("double").alias("number"),
     )
     return facts.unionByName(recent)

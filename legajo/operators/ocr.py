@@ -284,16 +284,29 @@ def case_header(cases: DataFrame, case_id: str) -> DataFrame:
     return found.crossJoin(F.broadcast(missing)).drop("_n")
 
 
-def summary_rows(documents: DataFrame, key: str = "document_id") -> DataFrame:
-    """Preview of 200 characters, lengths and counts; tables only when few."""
+def summary_rows(
+    documents: DataFrame,
+    key: str = "document_id",
+    preview: int | None = None,
+    most_tables: int | None = None,
+) -> DataFrame:
+    """Text, lengths, counts and tables.
+
+    ``preview`` shortens the text to so many characters and "..."; documents with
+    more than ``most_tables`` tables show none.
+    """
     text = F.coalesce("text", F.lit(""))
+    shown, tables = text, F.col("tables")
+    if preview is not None:
+        more = F.when(F.length(text) > preview, "...").otherwise("")
+        shown = F.concat(F.substring(text, 1, preview), more)
+    if most_tables is not None:
+        tables = F.when(F.size("tables") <= most_tables, tables)
     return documents.select(
         key,
-        F.concat(
-            F.substring(text, 1, 200), F.when(F.length(text) > 200, "...").otherwise("")
-        ).alias("preview"),
+        shown.alias("preview"),
         F.length(text).alias("text_length"),
         F.size("tables").alias("n_tables"),
         F.size("key_value_pairs").alias("n_pairs"),
-        F.when(F.size("tables") <= 3, F.col("tables")).alias("tables"),
+        tables.alias("tables"),
     )

@@ -165,8 +165,6 @@ def resolve_collisions(
     taken = (
         parts.select("_base", "_taken")
         .union(parts.select("_whole", F.lit(1)))
-        # beyond 100 a collision is an error, so more is never looked at
-        .filter("_taken <= 100")
         .groupBy("_base")
         .agg(F.array_sort(F.collect_set("_taken")).alias("_taken"))
     )
@@ -180,9 +178,7 @@ def resolve_collisions(
     unique = F.when(F.col("_slot") == 1, F.col(name)).otherwise(
         F.concat(F.col(name), F.lit("_"), F.col("_slot"))
     )
-    return joined.withColumn(
-        "final_folder", F.when(F.col("_slot") <= 100, unique)
-    ).select(*folders.columns, "final_folder")
+    return joined.withColumn("final_folder", unique).select(*folders.columns, "final_folder")
 
 
 def reorganised_path(insured: ColumnLike, claim: ColumnLike, document_path: ColumnLike) -> Column:

@@ -80,15 +80,18 @@ def guided_requests(
 
 
 def open_requests(
-    documents: DataFrame, text: str = "text", name: str = "source_document"
+    documents: DataFrame,
+    text: str = "text",
+    name: str = "source_document",
+    limit: int | None = None,
 ) -> DataFrame:
-    """Requests without guide: every field, 3,000 characters of text."""
+    """Requests without guide: every field and the whole text, or ``limit`` characters of it."""
     prompt = F.concat_ws(
         "\n",
         F.concat(F.lit("DOCUMENTO: "), F.col(name)),
         F.concat(F.lit("TIPO: "), document_type()),
         F.lit("CAMPOS: " + ", ".join(REQUIRED_FIELDS)),
-        F.substring(F.coalesce(F.col(text), F.lit("")), 1, 3000),
+        prepared_text(text, limit=limit),
     )
     return documents.withColumn("prompt", prompt)
 

@@ -96,7 +96,14 @@ def running_last(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    result = cut.join(carries, [*keys, "_bucket"])
+    named = carries.select(
+        *[F.col(k).alias(f"_key_{k}") for k in (*keys, "_bucket")],
+        *[f"_carry_{n}" for n in values],
+    )
+    same = F.lit(True)
+    for k in (*keys, "_bucket"):  # null keys are a group too
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    result = cut.join(named, same)
     for name in values:
         result = result.withColumn(
             name,

@@ -75,10 +75,10 @@ def resolved_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     "listed_cases",
     "D5",
     """SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS case_id, o_orderdate AS created_at FROM orders
-WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') DESC LIMIT 50""",
+WHERE o_orderstatus = 'O'""",
 )
 def listed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 newest open cases."""
+    """The open cases, newest first."""
     rows = table(spark, sf_dir, "orders").select(
         F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("case_id"),
         F.col("o_orderstatus").alias("status"),
@@ -244,11 +244,10 @@ stats AS (SELECT greatest((SELECT count(DISTINCT source) FROM documents), (SELEC
 SELECT 'total_cases' AS item, CAST(a AS DOUBLE) AS number FROM stats
 UNION ALL SELECT 'total_cached_files', b FROM stats UNION ALL SELECT 'cache_size_mb', c FROM stats
 UNION ALL SELECT 'mean_documents', round(avg(total_documents), 1) FROM listed
-UNION ALL SELECT * FROM (SELECT concat('case ', case_id, ': ', left(title, 50)), CAST(total_documents AS DOUBLE) FROM listed
-  ORDER BY day DESC, case_id LIMIT 5)""",
+UNION ALL SELECT * FROM (SELECT concat('case ', case_id, ': ', title), CAST(total_documents AS DOUBLE) FROM listed)""",
 )
 def store_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of the store and its five newest cases."""
+    """Totals of the store and its cases."""
     return mnt.store_dashboard(_listing(spark, sf_dir), store_statistics(spark, sf_dir))
 
 
@@ -262,7 +261,7 @@ every AS (SELECT DISTINCT c.case_id, insured, claim FROM cells c LEFT JOIN wide
 named AS (SELECT case_id, concat(coalesce(upper(insured), 'DESCONOCIDO'), ' - ',
     CASE WHEN claim IS NULL THEN '20240101000000' ELSE left(claim, 20) END) AS folder FROM every),
 taken AS (SELECT folder FROM named GROUP BY folder HAVING count(*) > 2)
-SELECT case_id, folder, CASE WHEN slot = 1 THEN folder WHEN slot <= 100 THEN concat(folder, '_', slot) END AS final_folder
+SELECT case_id, folder, CASE WHEN slot = 1 THEN folder ELSE concat(folder, '_', slot) END AS final_folder
 FROM (SELECT case_id, folder, row_number() OVER (PARTITION BY folder ORDER BY case_id)
       + CASE WHEN folder IN (SELECT folder FROM taken) THEN 1 ELSE 0 END AS slot FROM named)""",
 )

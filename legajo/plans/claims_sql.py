@@ -21,7 +21,7 @@ _VALUES = {
     "fecha_reclamacion": "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)",
 }
 
-DOCUMENTS = f"""WITH docs AS (
+DOCUMENTS = f"""WITH docs AS MATERIALIZED (
   SELECT CAST(l_orderkey AS VARCHAR) AS case_id, l.*, o_custkey, o_orderdate,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
              l_quantity, l_extendedprice, l_shipdate) AS ordinal,
@@ -30,11 +30,13 @@ DOCUMENTS = f"""WITH docs AS (
          {_KIND} AS document_type
   FROM lineitem l JOIN orders ON l_orderkey = o_orderkey)"""
 
-ALL_CELLS = DOCUMENTS + ",\ncells AS (" + " UNION ALL ".join(
-    f"SELECT case_id, ordinal, source_document, document_type, {i} AS field_order, "
-    f"'{f}' AS field, {_VALUES[f]} AS value FROM docs"
+_CELLS = ", ".join(
+    f"{{'field_order': {i}, 'field': '{f}', 'value': {_VALUES[f]}}}"
     for i, f in enumerate(CLAIM_FIELDS)
-) + ")"
+)
+ALL_CELLS = DOCUMENTS + f""",
+cells AS MATERIALIZED (SELECT case_id, ordinal, source_document, document_type, c.field_order, c.field, c.value
+  FROM (SELECT case_id, ordinal, source_document, document_type, unnest([{_CELLS}]) AS c FROM docs))"""
 
 
 def _allowed() -> str:
@@ -59,14 +61,14 @@ def _rank(profile: str) -> str:
 
 def OPTIONS(profile: str) -> str:  # noqa: N802
     return ALL_CELLS + f""",
-options AS (SELECT *, {_rank(profile)} AS priority FROM cells
+options AS MATERIALIZED (SELECT *, {_rank(profile)} AS priority FROM cells
             WHERE value IS NOT NULL AND {_allowed()})
 """
 
 
 def DECIDED(profile: str) -> str:  # noqa: N802
     return OPTIONS(profile) + """,
-placed AS (SELECT *, count(*) OVER (PARTITION BY case_id, field) AS n_options,
+placed AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY case_id, field) AS n_options,
                   row_number() OVER (PARTITION BY case_id, field ORDER BY priority, ordinal) AS place
            FROM options),
 decided AS (SELECT case_id, field, value, source_document, n_options,

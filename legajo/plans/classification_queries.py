@@ -148,7 +148,7 @@ def recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     CLASSIFIED
     + "SELECT doc_id, md5(array_to_string(['TIPOS PERMITIDOS:', "
     + "'" + cls.type_guide(DOCUMENT_LEXICON).replace("'", "''") + "'"
-    + """, concat('Archivo: ', filename), 'Contenido (muestra):', left(text, 1500)], E'\\n')) AS prompt_md5
+    + """, concat('Archivo: ', filename), 'Contenido (muestra):', text], E'\\n')) AS prompt_md5
 FROM classified WHERE document_type = 'otro'""",
 )
 def fallback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,14 +167,14 @@ _TYPES = [r.type_name for r in DOCUMENT_LEXICON]
     (50 + 50 * l.quality - 25 * l.toxic) / 100.0::DOUBLE AS conf, source, lang
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 checked AS (SELECT *, list_contains({_list([*_TYPES, 'otro'])}, kind) AS known,
-    source = 'src5' AS broken FROM answers)
+    source = 'src5' AS broken, source IN ('src7', 'src9') AS lacking FROM answers)
 SELECT doc_id,
-  CASE WHEN known AND NOT broken THEN kind ELSE 'otro' END AS document_type,
-  round(CASE WHEN broken THEN 0.0 WHEN known THEN conf ELSE conf * 0.5 END, 6) AS confidence,
-  CASE WHEN broken THEN 'Error parsing LLM'
-       WHEN known AND quality = 1 THEN concat('idioma ', lang, ' | fuente ', source, ' | calidad')
+  CASE WHEN known AND NOT broken AND NOT lacking THEN kind ELSE 'otro' END AS document_type,
+  round(CASE WHEN broken OR lacking THEN 0.0 WHEN known THEN conf ELSE conf * 0.5 END, 6) AS confidence,
+  CASE WHEN broken THEN 'Error parsing LLM' WHEN lacking THEN 'Error LLM'
+       WHEN known AND quality = 1 THEN concat('idioma ', lang, ' | fuente ', source, ' | calidad | cuarta')
        WHEN known THEN concat('idioma ', lang, ' | fuente ', source)
-       WHEN quality = 1 THEN concat('idioma ', lang, ' | fuente ', source, ' | calidad')
+       WHEN quality = 1 THEN concat('idioma ', lang, ' | fuente ', source, ' | calidad | cuarta | {UNKNOWN_TYPE_REASON.replace("'", "''")}')
        ELSE concat('idioma ', lang, ' | fuente ', source, ' | {UNKNOWN_TYPE_REASON.replace("'", "''")}') END AS reasons
 FROM checked""",
 )
@@ -196,8 +196,10 @@ def ingested_type_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(
         F.struct(
             kind.alias("document_type"),
-            ((50 + 50 * F.col("quality") - 25 * F.col("toxic")) / 100.0).alias("confidence"),
-            reasons.alias("reasons"),
+            F.when(
+                F.col("source") != "src7", (50 + 50 * F.col("quality") - 25 * F.col("toxic")) / 100.0
+            ).alias("confidence"),
+            F.when(F.col("source") != "src9", reasons).alias("reasons"),
         )
     )
     answer = (

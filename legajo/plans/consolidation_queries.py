@@ -77,7 +77,7 @@ def field_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """
 SELECT o.case_id, o.field, o.value, o.source_document, o.document_type, o.priority,
        d.value AS selected, d.reasoning
-FROM options o JOIN decided d ON o.case_id = d.case_id AND o.field = d.field
+FROM placed o JOIN decided d ON o.case_id = d.case_id AND o.field = d.field
 WHERE d.n_options > 1""",
 )
 def conflict_options(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ ruled AS (SELECT *, CASE
   WHEN field = 'monto_reclamacion' AND contains(lower(source_document), 'peritaje') THEN 3
   END AS rule
   FROM (SELECT * REPLACE (concat(document_type, '_', source_document) AS source_document) FROM options)),
-ranked AS (SELECT *, count(*) OVER g AS n_options, count(*) OVER v AS n_value,
+ranked AS MATERIALIZED (SELECT *, count(*) OVER g AS n_options, count(*) OVER v AS n_value,
     min(ordinal) OVER v AS first_ordinal,
     row_number() OVER (PARTITION BY case_id, field ORDER BY rule NULLS LAST, ordinal) AS rule_place
   FROM ruled

@@ -31,35 +31,29 @@ LINE_TERMS = ("nicht", "pour", "para", "with", "token")
 @register(
     "prepared_contents",
     "F1",
-    """WITH heads AS (SELECT doc_id, left(text, 10000) AS head FROM documents),
-lines AS (SELECT doc_id, head, string_split(head, E'\\n') AS l,
-  list_filter(string_split(head, E'\\n'), lambda x: contains(lower(x), 'nicht') OR contains(lower(x), 'pour')
-    OR contains(lower(x), 'para') OR contains(lower(x), 'with') OR contains(lower(x), 'token')) AS m FROM heads),
-done AS (SELECT doc_id, CASE WHEN length(head) > 5000 THEN
-    array_to_string(list_slice(CASE WHEN len(m) > 10 THEN m ELSE l END, 1, 100), E'\\n') ELSE head END AS content
-  FROM lines)
-SELECT doc_id, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS content_md5 FROM done""",
+    """SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, CAST(length(piece) AS INTEGER) AS n_chars, md5(piece) AS content_md5
+FROM (SELECT doc_id, k, substring(text, k * 5000 + 1, 5000) AS piece FROM (SELECT doc_id, coalesce(text, '') AS text,
+  unnest(range(greatest(CAST(ceil(length(coalesce(text, '')) / 5000.0) AS BIGINT), 1))) AS k FROM documents))""",
 )
 def prepared_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a model request would hold of each text."""
+    """What model requests hold of each text, whole, in pieces of 5,000 characters."""
     content = ext.prepared_text("text", LINE_TERMS)
-    return (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", content.alias("content"))
-        .select("doc_id", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+    whole = table(spark, sf_dir, "documents").select("doc_id", content.alias("text"))
+    return ext.text_chunks(whole, 5_000).select(
+        "doc_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("content_md5")
     )
 
 
 @register(
     "trimmed_tables",
     "F2",
-    """WITH t AS (SELECT doc_id, list_slice(string_split(text, E'\\n'), 1, 5) AS ts FROM documents)
+    """WITH t AS (SELECT doc_id, string_split(text, E'\\n') AS ts FROM documents)
 SELECT doc_id, CAST(len(ts) AS INTEGER) AS n_tables,
   array_to_string(list_transform(ts, lambda p: concat(string_split(p, ' ')[1], ':',
-     array_to_string(list_slice(string_split(p, '. '), 1, 10), '|'))), '~') AS shown FROM t""",
+     array_to_string(string_split(p, '. '), '|'))), '~') AS shown FROM t""",
 )
 def trimmed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs as tables and sentences as rows, cut to the request limits."""
+    """Paragraphs as tables and sentences as rows."""
     tables = F.transform(
         F.split("text", "\n"),
         lambda p: F.struct(
@@ -159,10 +153,10 @@ def ingested_field_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     "F9 F10 F11 F14",
     RICH_SQL
     + """SELECT case_id, source_document, trim(fecha_ocurrencia) AS fecha_ocurrencia, numero_poliza,
-  CAST(CASE l_returnflag WHEN 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2))
+  CAST(CAST(CASE l_returnflag WHEN 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2))
     WHEN 'R' THEN -CAST(l_extendedprice AS DECIMAL(18,2))
     ELSE CASE WHEN l_linenumber = 1 THEN NULL
-      ELSE CAST(replace(monto_reclamacion, ',', '') AS DECIMAL(18,2)) END END AS VARCHAR) AS amount
+      ELSE CAST(replace(monto_reclamacion, ',', '') AS DOUBLE) END END AS DOUBLE) AS VARCHAR) AS amount
 FROM (SELECT * REPLACE (CASE WHEN l_returnflag = 'N' AND l_linenumber > 1
    THEN CASE WHEN l_extendedprice < 1000 THEN replace(monto_reclamacion, ',', '')
      WHEN l_extendedprice < 1000000 THEN replace(monto_reclamacion, ',', '')
@@ -174,7 +168,7 @@ def cleaned_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = ext.clean_extractions(rich_claim_documents(spark, sf_dir), RICH_FIELDS)
     return cleaned.select(
         "case_id", "source_document", "fecha_ocurrencia", "numero_poliza",
-        F.col("monto_reclamacion_decimal").cast("string").alias("amount"),
+        F.col("monto_reclamacion").alias("amount"),
     )
 
 
@@ -186,9 +180,9 @@ def cleaned_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE l_returnflag WHEN 'A' THEN fecha_ocurrencia WHEN 'N' THEN strftime(l_shipdate, '%d/%m/%Y')
     ELSE strftime(l_shipdate, '%d-%m-%Y') END AS fecha_ocurrencia,
   strftime(o_orderdate, '%d/%m/%Y') AS fecha_reclamacion,
-  CASE WHEN l_returnflag = 'R' THEN CAST(-CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)
+  CASE WHEN l_returnflag = 'R' THEN CAST(CAST(-CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS VARCHAR)
        WHEN l_returnflag = 'N' AND l_linenumber > 1 AND l_extendedprice < 1000000
-       THEN CAST(CAST(replace(monto_reclamacion, ',', '') AS DECIMAL(18,2)) AS VARCHAR)
+       THEN CAST(CAST(replace(monto_reclamacion, ',', '') AS DOUBLE) AS VARCHAR)
        ELSE monto_reclamacion END AS monto_reclamacion
 FROM rich""",
 )

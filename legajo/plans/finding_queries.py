@@ -82,7 +82,12 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',"inconsistencies":'), inconsistency,
         F.lit(',"external_validations":[{"type":"repuve","description":"x","result":"ok","is_critical":false}]}'),
     )
-    answer = F.when(F.col("o_orderpriority") == "5-LOW", F.substring(body, 1, 15)).otherwise(body)
+    answer = (
+        F.when(F.col("o_orderpriority") == "5-LOW", F.substring(body, 1, 15))
+        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.substring(body, 1, 40))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.replace(body, shown, F.lit('"NaN"')))
+        .otherwise(body)
+    )
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("case_id"), answer.alias("answer")
     )
@@ -92,7 +97,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     "risk_bands",
     "I2 I7",
     """WITH scored AS (SELECT CAST(o_orderkey AS VARCHAR) AS case_id,
-    CASE WHEN o_orderpriority = '5-LOW' THEN 0.0 WHEN o_orderstatus = 'F' THEN CAST(CAST(round(o_totalprice / 500000, 4) AS DECIMAL(10,4)) AS DOUBLE)
+    CASE WHEN o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED', '3-MEDIUM') THEN 0.0 WHEN o_orderstatus = 'F' THEN CAST(CAST(round(o_totalprice / 500000, 4) AS DECIMAL(10,4)) AS DOUBLE)
          WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END::DOUBLE AS fraud_score FROM orders)
 SELECT case_id, fraud_score, CASE WHEN fraud_score < 0.3 THEN 'BAJO' WHEN fraud_score < 0.6 THEN 'MEDIO' ELSE 'ALTO' END AS risk_level,
   CASE WHEN fraud_score < 0.3 THEN 'bajo' WHEN fraud_score < 0.6 THEN 'medio' ELSE 'alto' END AS risk_label FROM scored""",
@@ -106,7 +111,7 @@ def risk_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     "answer_findings",
     "I3",
     """WITH usable AS (SELECT CAST(o_orderkey AS VARCHAR) AS case_id, o_orderpriority, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day
-  FROM orders WHERE o_orderpriority <> '5-LOW')
+  FROM orders WHERE o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED'))
 SELECT case_id, 'indicator' AS kind, concat('prioridad ', o_orderpriority) AS detail, unnest([0, 2]) AS doc_index FROM usable WHERE o_orderpriority = '1-URGENT'
 UNION ALL SELECT case_id, 'inconsistency', concat('fecha alta ', day), 1 FROM usable
 UNION ALL SELECT case_id, 'validation', 'repuve ok', NULL FROM usable""",
@@ -145,8 +150,8 @@ def case_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     "document_analyses",
     "I5 I6 I8",
     """WITH lines AS (SELECT doc_id, text, string_split(text, E'\\n') AS l, lang FROM documents),
-points AS (SELECT doc_id, lang, text, list_slice(list_filter(list_concat(l[1:1], CASE WHEN len(l) > 1 THEN l[2:] ELSE [] END),
-    lambda t: length(t) > 20), 1, 10) AS p, list_filter(l, lambda t: contains(t, '$')) AS a FROM lines)
+points AS (SELECT doc_id, lang, text, list_filter(list_concat(l[1:1], CASE WHEN len(l) > 1 THEN l[2:] ELSE [] END),
+    lambda t: length(t) > 0) AS p, list_filter(l, lambda t: contains(t, '$')) AS a FROM lines)
 SELECT doc_id, CAST(len(p) AS INTEGER) AS n_points, md5(array_to_string(p, '|')) AS points_md5,
   array_to_string(list_concat(list_concat(list_transform(a, lambda x: 'content/medium'),
     CASE WHEN contains(lower(text), 'nicht') THEN ['visual/high'] ELSE [] END),

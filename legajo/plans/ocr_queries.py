@@ -272,12 +272,12 @@ def case_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "document_summaries",
     "B16",
-    """SELECT doc_id AS document_id, concat(left(text, 200), CASE WHEN length(text) > 200 THEN '...' ELSE '' END) AS preview,
+    """SELECT doc_id AS document_id, coalesce(text, '') AS preview,
   CAST(length(text) AS INTEGER) AS text_length, CAST(len(string_split(text, E'\\n')) AS INTEGER) AS n_tables, 1 AS n_pairs,
-  CASE WHEN len(string_split(text, E'\\n')) <= 3 THEN md5(text) END AS tables_md5 FROM documents""",
+  md5(text) AS tables_md5 FROM documents""",
 )
 def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preview, lengths and counts; tables only when there are few."""
+    """Whole text, lengths, counts and tables."""
     documents = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("document_id"), "text", F.split("text", "\n").alias("tables"),
         F.create_map(F.lit("k"), F.col("source")).alias("key_value_pairs"),

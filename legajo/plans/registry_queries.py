@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.operators import extract as ext
@@ -122,7 +122,7 @@ def last_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "reuse_groups",
     "C8",
-    """SELECT md5(concat(source, '.pdf', chr(31), left(text, 1000))) AS reuse_key, min(doc_id) AS first_id,
+    """SELECT md5(concat(source, '.pdf', chr(31), coalesce(text, ''))) AS reuse_key, min(doc_id) AS first_id,
   count(*) AS n_documents FROM documents GROUP BY 1""",
 )
 def reuse_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,13 +200,18 @@ def reorganised_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _case_id(number: str) -> Column:
+    return F.concat(F.lit("C"), F.lpad(F.col(number).cast("string"), 7, "0"))
+
+
 @register(
     "orphans",
     "C16",
-    """WITH valid AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS case_id FROM orders WHERE o_orderstatus = 'F'),
-folders AS (SELECT concat(c_name, ' - ', c_custkey) AS folder, CAST(c_custkey AS VARCHAR) AS case_id FROM customer)
+    """WITH valid AS (SELECT DISTINCT concat('C', lpad(CAST(o_custkey AS VARCHAR), 7, '0')) AS case_id FROM orders WHERE o_orderstatus = 'F'),
+folders AS (SELECT concat('ACME_', 'C', lpad(CAST(c_custkey AS VARCHAR), 7, '0'), '-final') AS folder,
+  concat('C', lpad(CAST(c_custkey AS VARCHAR), 7, '0')) AS case_id FROM customer)
 SELECT 'index' AS kind, case_id AS item FROM folders WHERE case_id NOT IN (SELECT case_id FROM valid)
-UNION ALL SELECT 'folder', folder FROM folders WHERE case_id NOT IN (SELECT case_id FROM valid)""",
+UNION ALL SELECT 'folder', folder FROM folders WHERE NOT EXISTS (SELECT 1 FROM valid WHERE contains(folder, valid.case_id))""",
 )
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index rows and folders of customers without a finished order."""
@@ -214,10 +219,12 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = (
         table(spark, sf_dir, "orders")
         .filter("o_orderstatus = 'F'")
-        .select(F.col("o_custkey").cast("string").alias("case_id"))
+        .select(_case_id("o_custkey").alias("case_id"))
+    )
+    index = customers.select(_case_id("c_custkey").alias("case_id"))
+    folders = index.select(
+        F.concat(F.lit("ACME_"), "case_id", F.lit("-final")).alias("folder")
     )
-    index = customers.select(F.col("c_custkey").cast("string").alias("case_id"))
-    folders = customers.select(F.concat("c_name", F.lit(" - "), "c_custkey").alias("folder"))
     rows = mnt.orphan_index_rows(index, cases).select(
         F.lit("index").alias("kind"), F.col("case_id").alias("item")
     )
