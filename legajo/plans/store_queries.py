@@ -50,17 +50,20 @@ def stored_ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     "delimited_documents",
     "A3",
     """SELECT c_custkey, 'id|señal|nombre' AS headers, concat(c_custkey, '|',
-    CASE WHEN c_nationkey < 5 THEN '' ELSE c_mktsegment END, '|', c_name) AS first_row, 1 AS row_count, 3 AS column_count
+    CASE WHEN c_nationkey < 5 THEN '' ELSE c_mktsegment END, '|',
+    CASE WHEN c_nationkey % 2 = 0 THEN concat(c_name, ';,1 "q"', chr(10), 'end') ELSE c_name END) AS first_row, 1 AS row_count, 3 AS column_count
 FROM customer""",
 )
 def delimited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delimited file contents (two encodings, two separators) as documents."""
+    """Delimited file contents (two encodings, two separators, some quoted) as documents."""
     european = F.col("c_nationkey") < 12
     separator = F.when(european, ";").otherwise(",")
     segment = F.when(F.col("c_nationkey") < 5, "").otherwise(F.col("c_mktsegment"))
+    quoted = F.concat(F.lit('"'), "c_name", F.lit(';,1 ""q""\nend"'))
+    name = F.when(F.col("c_nationkey") % 2 == 0, quoted).otherwise(F.col("c_name"))
     body = F.concat(
         F.array_join(F.array(F.lit("id"), F.lit("señal"), F.lit("nombre")), "\x01"), F.lit("\n"),
-        F.concat_ws("\x01", F.col("c_custkey").cast("string"), segment, "c_name"), F.lit("\n"),
+        F.concat_ws("\x01", F.col("c_custkey").cast("string"), segment, name), F.lit("\n"),
     )
     text = F.replace(body, F.lit("\x01"), separator)
     content = F.when(european, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))

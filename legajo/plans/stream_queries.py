@@ -62,10 +62,13 @@ def streamed_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "streamed_expiring_keys",
     "C9 K6",
-    "SELECT DISTINCT user_id, event_type FROM events",
+    """WITH RECURSIVE stored AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2
+  UNION ALL SELECT s.user_id, s.event_type, min(e.ts) FROM stored s JOIN events e
+    ON e.user_id = s.user_id AND e.event_type = s.event_type AND e.ts > s.ts + INTERVAL 24 HOUR GROUP BY 1, 2)
+SELECT user_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS stored_us FROM stored""",
 )
 def streamed_expiring_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys admitted by the expiring dedupe when the table arrives at once."""
+    """Entries the expiring dedupe stores over the whole stream."""
     folder = new_folder(spark)
     events = table_stream(spark, sf_dir, "events").select(
         "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")
@@ -80,4 +83,6 @@ def streamed_expiring_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         .awaitTermination()
     )
     rows = spark.read.schema("user_id BIGINT, event_type STRING, ts TIMESTAMP")
-    return rows.parquet(f"{folder}/rows").select("user_id", "event_type")
+    return rows.parquet(f"{folder}/rows").select(
+        "user_id", "event_type", F.unix_micros("ts").alias("stored_us")
+    )

@@ -86,23 +86,44 @@ def sniffed_separator(line: Column) -> Column:
 
 def _unquoted(cell: Column) -> Column:
     bare = strip(cell)
-    return F.nullif(
-        F.when(bare.rlike('^".*"$'), F.regexp_replace(bare, '^"|"$', "")).otherwise(bare),
-        F.lit(""),
+    inner = F.replace(F.regexp_replace(bare, '^"|"$', ""), F.lit('""'), F.lit('"'))
+    return F.nullif(F.when(bare.rlike('(?s)^".*"$'), inner).otherwise(bare), F.lit(""))
+
+
+#: A quoted part, which may hold separators, line breaks and doubled quotes.
+QUOTED = r'"(?:[^"]++|"")*+"'
+
+
+def records(text: Column, separator: Column) -> Column:
+    """The non-empty records of a text; line breaks inside quoted cells do not end one."""
+    starts = F.concat(F.lit(r"(?<![^\Q"), separator, F.lit(r"\E\r\n])"))
+    pattern = F.concat(F.lit("(?:"), starts, F.lit(QUOTED + r'|[^"\r\n]++|")++'))
+    return F.regexp_extract_all(text, pattern, F.lit(0))
+
+
+def record_cells(record: Column, separator: Column) -> Column:
+    """The cells of a record as written; separators inside quoted cells do not end one."""
+    other = F.concat(F.lit(r"[^\Q"), separator, F.lit(r"\E"))
+    pattern = F.concat(
+        F.lit("((?:(?<!"), other, F.lit("])" + QUOTED + "|"), other, F.lit('"]++|")*+)\\Q'),
+        separator, F.lit(r"\E"),
     )
+    return F.regexp_extract_all(F.concat(record, separator), pattern, F.lit(1))
 
 
 def delimited_documents(files: DataFrame, content: str = "content") -> DataFrame:
-    """Each delimited file as one document: text and one table; empty cells are null."""
-    lines = F.filter(F.split(decoded(content), r"\r\n|\n|\r"), lambda x: x != "")
-    split = files.withColumn("_lines", lines).withColumn(
-        "_sep", sniffed_separator(F.get("_lines", 0))
+    """Each delimited file as one document: text and one table; empty cells are null.
+
+    Cells may be quoted and then hold separators, line breaks and doubled quotes.
+    """
+    first_line = F.regexp_extract("_text", r"([^\r\n]+)", 1)
+    split = (
+        files.withColumn("_text", decoded(content))
+        .withColumn("_sep", sniffed_separator(first_line))
+        .withColumn("_lines", records(F.col("_text"), F.col("_sep")))
     )
     cells = F.transform(
-        "_lines",
-        lambda row: F.transform(
-            F.split(row, F.concat(F.lit("\\Q"), F.col("_sep"), F.lit("\\E"))), _unquoted
-        ),
+        "_lines", lambda row: F.transform(record_cells(row, F.col("_sep")), _unquoted)
     )
     return (
         split.withColumn("_cells", cells)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from legajo.operators.cases import latest_status
@@ -79,10 +81,34 @@ def _stored(spark: SparkSession, store: str, before: int) -> DataFrame | None:
 
 
 def expiring_dedupe(
-    events: DataFrame, keys: Sequence[str], at: str = "ts", keep: str = "24 hours"
+    events: DataFrame, keys: Sequence[str], at: str = "ts", hours: float = 24
 ) -> DataFrame:
-    """Drop repeats of a key inside the time a stored entry stays valid."""
-    return events.withWatermark(at, keep).dropDuplicatesWithinWatermark(list(keys))
+    """(keys, at) of the events that find no valid entry of their key and store a new one.
+
+    An entry is valid for ``hours`` from the event that stored it.  State is the
+    time of the last stored entry per key; null keys are keys too.  The events of a
+    key must come in time order from one micro-batch to the next (inside one they
+    are ordered here, times only, so ``maxFilesPerTrigger`` bounds the memory); an
+    event older than the entry in force counts as a repeat.  Null times never store.
+    """
+    valid = pd.Timedelta(hours=hours)
+    schema = events.select(*keys, at).schema
+
+    def admit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState):
+        times = sorted(t for part in parts for t in part[at].dropna())
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        stored = []
+        for time in times:
+            if last is None or time - last > valid:
+                stored.append(time)
+                last = time
+        if stored:
+            state.update((last.value // 1000,))
+            yield pd.DataFrame([(*key, time) for time in stored], columns=[*keys, at])
+
+    return events.groupBy(*keys).applyInPandasWithState(
+        admit, schema, "last bigint", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def live_status(states: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
