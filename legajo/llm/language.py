@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,20 +60,34 @@ def features(word: str) -> list[str]:
 @dataclass
 class Model:
     languages: list[str]
-    weights: dict[str, list[float]]  # per feature a log-probability per language
-    unseen: list[float]
+    features: dict[str, int]  # rows of the weights; unknown features have the last row
+    weights: np.ndarray  # log-probability per feature and language
     scripts: dict[str, list[bool]] = field(default_factory=dict)
     penalty: float = 12.0
 
-    def word_scores(self, word: str) -> np.ndarray:
-        whole, *grams = features(word)
-        total = np.sum([self.weights.get(g, self.unseen) for g in grams], axis=0)
-        if whole in self.weights:
-            total = total + np.asarray(self.weights[whole]) - np.mean(self.weights[whole])
-        seen = self.scripts.get(script_of(word))
-        if seen and any(seen):
-            total = np.where(seen, total, total + OUTSIDE)
-        return total - total.max()
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Scores of words, the best language of each at zero."""
+        rows: list[int] = []
+        starts, whole = [], []
+        unknown = len(self.features)
+        known = self.features.get
+        for word in words:
+            starts.append(len(rows))
+            edged = f"^{word}$"
+            rows.extend([known(edged[i : i + 3], unknown) for i in range(len(edged) - 2)])
+            whole.append(known(f"={word}", -1))
+        total = np.add.reduceat(self.weights[rows], starts, axis=0)
+        place = np.asarray(whole)
+        own = self.weights[place[place >= 0]]
+        total[place >= 0] += own - own.mean(1, keepdims=True)
+        allowed = {
+            name: np.where(seen, 0.0, OUTSIDE) if any(seen) else 0.0
+            for name, seen in self.scripts.items()
+        }
+        for i, name in enumerate(map(script_of, words)):
+            if name in allowed:
+                total[i] += allowed[name]
+        return total - total.max(1, keepdims=True)
 
 
 class WordTable:
@@ -85,50 +100,63 @@ class WordTable:
         self.empty()
 
     def empty(self) -> None:
-        table = self
-
         class Rows(dict):
             def __missing__(self, token):
-                number = self[token] = len(table.scores)
-                words = LETTERS.findall(token)
-                score = sum(map(table.model.word_scores, words), table.none)
-                table.scores.append(score)
-                table.letters.append(sum(map(len, words)))
+                number = self[token] = len(self)
                 return number
 
-        self.none = np.zeros(len(self.model.languages))
-        self.scores, self.letters, self.rows = [], [], Rows()
+        self.rows = Rows()
+        self.scores = np.empty((0, len(self.model.languages)), np.float32)
+        self.letters = np.empty(0, np.int64)
 
     def numbers(self, text: str) -> np.ndarray:
         tokens = text.lower().split()
         return np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        width = len(self.model.languages)
-        return np.asarray(self.scores, np.float32).reshape(-1, width), np.asarray(self.letters)
+        """Scores and letters of all tokens so far; a token without letters scores zero."""
+        fresh = list(islice(self.rows, len(self.letters), None))
+        found = [[t] if t.isalpha() else LETTERS.findall(t) for t in fresh]
+        words = [w for f in found for w in f]
+        counts = np.asarray([len(f) for f in found], np.int64)
+        owner = np.repeat(np.arange(len(fresh)), counts)
+        scores = np.zeros((len(fresh), len(self.model.languages)), np.float32)
+        if words:
+            np.add.at(scores, owner, self.model.word_scores(words).astype(np.float32))
+        letters = np.bincount(owner, [len(w) for w in words], len(fresh)).astype(np.int64)
+        self.scores = np.concatenate([self.scores, scores])
+        self.letters = np.concatenate([self.letters, letters])
+        return self.scores, self.letters
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """Best label of every word of documents side by side: (document, word)."""
-    n, words, _ = scores.shape
-    held = scores[:, 0].copy()
-    stay = np.empty((words, n, scores.shape[2]), bool)
-    best = np.empty((words, n), np.int16)
+    n, words, width = scores.shape
+    order = np.argsort(-lengths, kind="stable")  # longest first: those still running are in front
+    running = np.searchsorted(-lengths[order], -np.arange(words), side="left")
+    steps = np.ascontiguousarray(scores[order].transpose(1, 0, 2))
+    held = steps[0].copy()
+    stay = np.ones((words, n, width), bool)
+    best = np.zeros((words, n), np.int16)
     for t in range(1, words):
-        best[t] = held.argmax(1)
-        change = np.take_along_axis(held, best[t][:, None].astype(np.int64), 1) - penalty
-        stay[t] = held >= change
-        moved = np.where(stay[t], held, change) + scores[:, t]
-        running = (t < lengths)[:, None]
-        stay[t] |= ~running  # a finished document keeps its end label
-        held = np.where(running, moved, held)
-    labels = np.empty((n, words), np.int16)
+        a = running[t]
+        front = held[:a]
+        best[t, :a] = front.argmax(1)
+        change = front.max(1, keepdims=True) - penalty
+        np.greater_equal(front, change, out=stay[t, :a])
+        np.maximum(front, change, out=front)
+        front += steps[t, :a]
+    labels = np.empty((words, n), np.int16)
     at, rows = held.argmax(1), np.arange(n)
     for t in range(words - 1, -1, -1):
-        labels[:, t] = at
+        labels[t] = at
         if t:
-            at = np.where(stay[t][rows, at], at, best[t])
-    return labels
+            a = running[t]
+            kept = stay[t, rows[:a], at[:a]]
+            at[:a] = np.where(kept, at[:a], best[t, :a])
+    out = np.empty((n, words), np.int16)
+    out[order] = labels.T
+    return out
 
 
 def label_documents(
@@ -220,7 +248,7 @@ def fit(
     )
     languages = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
     if not languages:
-        return Model([], {}, [])
+        return Model([], {}, np.zeros((1, 0)))
     at = {lang: i for i, lang in enumerate(languages)}
     is_script = F.col("feature").startswith("script ")
     scripts: dict[str, list[bool]] = {}
@@ -240,14 +268,13 @@ def fit(
         for lang, n in r["by"]:
             table[row, at[lang]] = n
     whole = np.asarray([r["feature"].startswith("=") for r in top], bool)
-    logs = np.zeros_like(table)
-    unseen = np.zeros(len(languages))
+    weights = np.zeros((len(top) + 1, len(languages)))
     for kind in (whole, ~whole):
         sums = table[kind].sum(0) + 0.5 * (kind.sum() + 1)
-        logs[kind] = np.log((table[kind] + 0.5) / sums)
-        unseen = np.log(0.5 / sums)  # of the trigrams, which come second
-    weights = {r["feature"]: logs[row].tolist() for row, r in enumerate(top)}
-    return Model(languages, weights, unseen.tolist(), scripts)
+        weights[:-1][kind] = np.log((table[kind] + 0.5) / sums)
+        weights[-1] = np.log(0.5 / sums)  # of the trigrams, which come second
+    places = {r["feature"]: row for row, r in enumerate(top)}
+    return Model(languages, places, weights, scripts)
 
 
 def identify(
