@@ -284,6 +284,15 @@ def case_header(cases: DataFrame, case_id: str) -> DataFrame:
     return found.crossJoin(F.broadcast(missing)).drop("_n")
 
 
+def case_headers(cases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The row of every wanted case; an unknown one is an error when it is evaluated."""
+    ids = wanted.select("case_id").distinct()
+    found = ids.join(cases.withColumn("_found", F.lit(True)), "case_id", "left")
+    message = F.concat(F.lit("case_id no encontrado: "), "case_id")
+    known = F.when(F.col("_found"), True).otherwise(F.raise_error(message).cast("boolean"))
+    return found.filter(known).drop("_found")
+
+
 def summary_rows(
     documents: DataFrame,
     key: str = "document_id",

@@ -84,16 +84,18 @@ def short_alias(kind: ColumnLike) -> Column:
 
 
 def file_alias(kind: ColumnLike) -> Column:
-    """Upper-case alias used in file names, else the first 15 letters of the type."""
+    """Upper-case alias used in file names, else the type itself."""
     column = as_column(kind)
     aliases = {v: k for k, v in FILE_TYPE_ALIASES.items()}
-    return F.coalesce(lookup(aliases, column), F.substring(column, 1, 15))
+    return F.coalesce(lookup(aliases, column), column)
 
 
 # --- staging -----------------------------------------------------------------------
-def staged_part(name: ColumnLike, size: int = 50) -> Column:
+def staged_part(name: ColumnLike, size: int | None = None) -> Column:
+    """A name made safe for files, whole unless a size is given."""
     safe = F.regexp_replace(as_column(name), UNSAFE, "_")
-    return F.substring(F.regexp_replace(safe, r"(?U)\s+", "_"), 1, size)
+    part = F.regexp_replace(safe, r"(?U)\s+", "_")
+    return part if size is None else F.substring(part, 1, size)
 
 
 def staging_plan(
@@ -120,7 +122,7 @@ def staging_plan(
             "staged_name": F.concat(
                 F.concat_ws(
                     "__", padded, file_alias("document_type"), label,
-                    staged_part(F.substring(stem(name), 1, 50)),
+                    staged_part(stem(name)),
                 ),
                 suffix,
             ),
@@ -129,19 +131,26 @@ def staging_plan(
 
 
 # --- final folders ------------------------------------------------------------------
-def folder_name(insured: ColumnLike, claim: ColumnLike, stamp: Column, limit: int = 100) -> Column:
-    """`<INSURED> - <claim>`; the claim survives truncation, a stamp replaces a missing one."""
+def folder_name(
+    insured: ColumnLike, claim: ColumnLike, stamp: Column, limit: int | None = None
+) -> Column:
+    """`<INSURED> - <claim>`; a stamp replaces a missing claim.
+
+    With a limit the insured is shortened so that the name fits; the claim stays whole.
+    """
     insured, claim = as_column(insured), as_column(claim)
     squeezed = F.trim(F.regexp_replace(F.regexp_replace(insured, UNSAFE, ""), r"(?U)\s+", " "))
     who = F.when(is_blank(insured), F.lit(UNKNOWN_FOLDER)).otherwise(
-        F.substring(F.upper(squeezed), 1, 50)
+        F.upper(squeezed)
     )
     digits = F.regexp_replace(claim, r"\D", "")
     number = (
         F.when(is_blank(claim), stamp)
         .when(F.length(digits) == 14, digits)
-        .otherwise(F.substring(F.regexp_replace(claim, UNSAFE, ""), 1, 20))
+        .otherwise(F.regexp_replace(claim, UNSAFE, ""))
     )
+    if limit is None:
+        return F.concat(who, F.lit(" - "), number)
     room = F.greatest(F.lit(limit) - F.length(number) - 3, F.lit(0))
     return F.concat(F.substring(who, F.lit(1), room), F.lit(" - "), number)
 

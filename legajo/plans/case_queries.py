@@ -259,7 +259,7 @@ def store_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     max(CASE WHEN field = 'monto_reclamacion' THEN value END) AS claim FROM decided GROUP BY case_id),
 every AS (SELECT DISTINCT c.case_id, insured, claim FROM cells c LEFT JOIN wide w ON c.case_id = w.case_id),
 named AS (SELECT case_id, concat(coalesce(upper(insured), 'DESCONOCIDO'), ' - ',
-    CASE WHEN claim IS NULL THEN '20240101000000' ELSE left(claim, 20) END) AS folder FROM every),
+    CASE WHEN claim IS NULL THEN '20240101000000' ELSE claim END) AS folder FROM every),
 taken AS (SELECT folder FROM named GROUP BY folder HAVING count(*) > 2)
 SELECT case_id, folder, CASE WHEN slot = 1 THEN folder ELSE concat(folder, '_', slot) END AS final_folder
 FROM (SELECT case_id, folder, row_number() OVER (PARTITION BY folder ORDER BY case_id)

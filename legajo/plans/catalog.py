@@ -27,6 +27,7 @@ MODULES = [
     "report_queries",
     "stream_queries",
     "store_queries",
+    "lookup_queries",
 ]
 
 

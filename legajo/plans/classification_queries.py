@@ -10,7 +10,7 @@ from legajo.operators import classify as cls
 from legajo.operators import organise as org
 from legajo.plans.bindings import table
 from legajo.plans.catalog import register
-from legajo.plans.test_lexicon import (
+from legajo.plans.document_lexicon import (
     DOCUMENT_DETECTOR,
     DOCUMENT_LEXICON,
     DOCUMENT_NAME_DETECTOR,
@@ -325,7 +325,7 @@ SELECT source AS batch, filename, position, sub_number,
   CASE WHEN sub_number IS NULL THEN document_type ELSE concat(document_type, '_', sub_number) END AS display_type,
   concat(CASE WHEN position < 1000 THEN lpad(CAST(position AS VARCHAR), 3, '0') ELSE CAST(position AS VARCHAR) END,
     '__', CASE document_type WHEN 'guias_y_facturas' THEN 'GUIA' WHEN 'reporte_gps' THEN 'REPORTE'
-                   WHEN 'otro' THEN 'OTROS' ELSE left(document_type, 15) END,
+                   WHEN 'otro' THEN 'OTROS' ELSE document_type END,
     '__OCR__', regexp_replace(filename, '\\.pdf$', ''), '.pdf') AS staged_name
 FROM staged"""
 )

@@ -200,7 +200,7 @@ def decisions_without_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """,
 adjustments AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS case_id, 'nombre_asegurado' AS field,
                        c_name AS new_value
-                FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000)
+                FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT d.case_id, d.field,
        CASE WHEN d.value IS NOT NULL AND a.new_value IS NOT NULL THEN a.new_value ELSE d.value END AS value,
        d.confidence
@@ -209,7 +209,7 @@ FROM decided d LEFT JOIN adjustments a ON d.case_id = a.case_id AND d.field = a.
 def adjusted_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions with an optional table of adjustments applied."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_acctbal > 5000")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     adjustments = orders.join(customers, orders.o_custkey == customers.c_custkey).select(
         F.col("o_orderkey").cast("string").alias("case_id"),
         F.lit("nombre_asegurado").alias("field"),

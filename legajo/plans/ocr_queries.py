@@ -259,14 +259,18 @@ def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "case_header",
     "B15",
-    "SELECT CAST(c_custkey AS VARCHAR) AS case_id, c_name, c_mktsegment FROM customer WHERE c_custkey = 7",
+    """SELECT CAST(c_custkey AS VARCHAR) AS case_id, c_name, c_mktsegment FROM customer
+WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
 )
 def case_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The row of one case; asking for an unknown case fails."""
+    """The row of every case an order asks for; an unknown case fails."""
     cases = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("case_id"), "c_name", "c_mktsegment"
     )
-    return ocr.case_header(cases, "7")
+    wanted = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("case_id")
+    )
+    return ocr.case_headers(cases, wanted)
 
 
 @register(
