@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from legajo.llm import (
     token_counts,
     toxicity,
 )
-from legajo.llm.common import fold, shared_folder
+from legajo.llm.common import fold, shared_folder, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +29,12 @@ ORACLES: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def add(function):
-        QUERIES[name] = function
+        @wraps(function)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = query
         if sql:
             ORACLES[name] = sql
         return function
