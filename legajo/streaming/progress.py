@@ -33,7 +33,7 @@ def _remaining_ms(stage: str, status: str, averages: dict[str, float]) -> int |
 
 
 def _report_case(
-    key: tuple[str], pieces: Iterator[pd.DataFrame], state: GroupState
+    key: tuple[str], pieces: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None
 ) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
@@ -63,8 +63,9 @@ def _report_case(
             )
         )
     state.update((first, started, averages))
-    watermark = state.getCurrentWatermarkMs()
-    state.setTimeoutTimestamp(max(watermark, int(rows["at_us"].iloc[-1]) // 1000) + IDLE_MS)
+    if idle_ms is not None:
+        watermark = state.getCurrentWatermarkMs()
+        state.setTimeoutTimestamp(max(watermark, int(rows["at_us"].iloc[-1]) // 1000) + idle_ms)
     table = pd.DataFrame(report, columns=COLUMNS)
     yield table.astype({"elapsed_ms": "Int64", "avg_stage_ms": "Int64", "eta_ms": "Int64"})
 
@@ -72,23 +73,30 @@ def _report_case(
 # executors get this module's functions with the job and need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# a case without events for thirty days leaves the state
-IDLE_MS = 30 * 24 * 3600 * 1000
 
-
-def stream_report(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+def stream_report(
+    events: DataFrame, idle_days: float | None = None, lateness: str = "10 minutes"
+) -> DataFrame:
     """Report rows of a stream of events (case_id, event_id, stage, status, ts).
 
+    Every row is reported and every case keeps its state, which has a constant
+    size.  With ``idle_days`` a case without events for so long leaves the state,
+    which takes a watermark: rows later than ``lateness`` are then dropped.
+
     Rows of a case are ordered inside a micro-batch; its size, and with it what
     one case can hold in memory, is set by the source (maxFilesPerTrigger).
     """
+    idle_ms = None if idle_days is None else int(idle_days * 24 * 3600 * 1000)
+
+    def report(key, pieces, state):
+        return _report_case(key, pieces, state, idle_ms)
+
+    marked = events if idle_ms is None else events.withWatermark("ts", lateness)
+    timeout = GroupStateTimeout.EventTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return (
-        events.withWatermark("ts", lateness)
-        .withColumn("at_us", F.unix_micros("ts"))
+        marked.withColumn("at_us", F.unix_micros("ts"))
         .groupBy("case_id")
-        .applyInPandasWithState(
-            _report_case, REPORT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .applyInPandasWithState(report, REPORT, STATE, "append", timeout)
     )
 
 
