@@ -7,8 +7,10 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,10 +111,18 @@ def cuts_at_spaces(text: str) -> bool:
     return not (text.endswith(" ") or any([pair in text for pair in pairs]))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in small cuts, so that few texts are held at once; gives memory back at the end."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+    pa.default_memory_pool().release_unused()
+
+
 class Memo(dict):
     """Values by key, computed on first use and emptied at a size bound."""
 
-    def __init__(self, compute, limit: int = 400_000):
+    def __init__(self, compute, limit: int = 200_000):
         super().__init__()
         self.compute, self.limit = compute, limit
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import decode, text_bytes
+from legajo.llm.common import decode, slices, text_bytes
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -247,7 +247,7 @@ def extract(
     ddl = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(decode(h), weights) for h in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

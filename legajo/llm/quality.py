@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import fold, stored, text_bytes
+from legajo.llm.common import fold, slices, stored, text_bytes
 from legajo.llm.fitting import fit_logistic, labelled_sample, logistic
 
 
@@ -118,7 +118,7 @@ def fit(
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(model)
-        for batch in batches:
+        for batch in slices(batches):
             features = packer.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict(
                 {
@@ -152,7 +152,7 @@ def score(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(model)
-        for batch in batches:
+        for batch in slices(batches):
             features = packer.features(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [

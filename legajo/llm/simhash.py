@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import small_side, stored, text_bytes
+from legajo.llm.common import slices, small_side, stored, text_bytes
 
 #: Reference fingerprints; each distance takes one byte of a packed long.
 PIVOTS = 8
@@ -94,7 +94,7 @@ def fingerprints(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data in batch.column(1).to_pylist():
                 hashes = shingle_hashes(data or b"", words)
@@ -303,7 +303,7 @@ def similar_pairs(
     asked = docs.join(small_side(ids, ASKED_BROADCAST), F.col(id_col) == F.col("_id"), "left_semi")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [
                 np.unique(shingle_hashes(t or b"", words)).view(np.int64)
                 for t in batch.column(1).to_pylist()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import Memo, decode, file_digest, shared_folder, text_bytes
+from legajo.llm.common import Memo, decode, file_digest, shared_folder, slices, text_bytes
 from legajo.llm.exact_dedup import BLOCKS, flag_repeated, repeated_bits
 
 CACHE = "content string, tokenizer bigint, n_tokens bigint"
@@ -80,7 +80,7 @@ def encode_counts(contents: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load_counter(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             counts = [counter.count(decode(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64())], names=["content", "n_tokens"]

@@ -18,13 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import Memo, decode, stored, text_bytes
+from legajo.llm.common import Memo, decode, slices, stored, text_bytes
 from legajo.llm.fitting import fit_logistic, labelled_sample, logistic
 
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -103,7 +102,7 @@ def unit_counts(sample: DataFrame) -> DataFrame:
     """(unit, toxic, clean): documents of each class that hold the unit."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 5_000):
             held = (Counter(), Counter())
             for label, data in zip(
                 batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True
@@ -171,7 +170,7 @@ def fit(
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for data in batch.column("text").to_pylist():
                 scores = scorer.scores(decode(data))
@@ -253,7 +252,7 @@ def score(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             found = [
                 model.segments(scorer.scores(decode(t))) for t in batch.column(1).to_pylist()
             ]
@@ -283,13 +282,13 @@ def keep_clean(
     docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text"
 ) -> DataFrame:
     """The rows of docs that score below the threshold, all columns as they were."""
-    names = docs.columns
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def probability(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for part in texts:
-            sums = [sum(s for _, _, s in model.segments(scorer.scores(decode(t)))) for t in part]
-            yield pd.Series(model.probability(np.asarray(sums, float)))
+        for batch in slices(batches):
+            texts = batch.column(place).cast(pa.binary()).to_pylist()
+            sums = [sum(s for _, _, s in model.segments(scorer.scores(decode(t)))) for t in texts]
+            yield batch.filter(pa.array(model.probability(np.asarray(sums, float)) < threshold))
 
-    return docs.filter(probability(text_bytes(text_col)) < threshold).select(*names)
+    return docs.mapInArrow(clean, docs.schema)
