@@ -188,7 +188,7 @@ def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     batch.column("block"),
                     batch.column("sign"),
                     batch.column("first"),
-                    pa.array(lengths, pa.list_(pa.int16())),
+                    pa.array(lengths, pa.list_(pa.int32())),
                     pa.array(ids, pa.list_(pa.int32())),
                 ],
                 names=["block", "sign", "first", "lengths", "ids"],
@@ -196,7 +196,7 @@ def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     return words.mapInArrow(
         encoded,
-        "block string, sign bigint, first int, lengths array<smallint>, ids array<int>",
+        "block string, sign bigint, first int, lengths array<int>, ids array<int>",
     )
 
 

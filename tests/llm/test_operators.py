@@ -105,6 +105,26 @@ def test_bpe_blocks(docs, monkeypatch):
     assert rows(decoded) == Counter((i, t or "") for i, t in TEXTS)
 
 
+def test_bpe_one_long_run(spark):
+    import tiktoken
+
+    path = tokenizers_of.path("byte_bpe_multi_50k.tiktoken")
+    known = tiktoken.Encoding(
+        "t", pat_str=tokenizers_of.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={}
+    )
+    digits = "".join(map(str, np.random.default_rng(1).integers(0, 10, 200_000)))
+    texts = {1: digits, 2: " " * 200_000, 3: "a word, then " + digits[:70_000] + " and more"}
+    folder = shared_folder(spark, "test-runs")
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(folder)
+    encoded = bpe.encode(spark.read.parquet(folder), path, tokenizers_of.PATTERN)
+    got = {r["doc_id"]: r for r in bpe.decode_ids(encoded, path).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        ids = np.frombuffer(bytes(got[i]["ids"]), "<u4").tolist()
+        assert len(ids) > 32_767 and ids == known.encode_ordinary(text)
+        assert bytes(got[i]["decoded"]) == text.encode()
+
+
 def test_token_counts(spark, docs, empty):
     import sentencepiece
 
