@@ -14,6 +14,11 @@ Large groups never give all their pairs.  Under each key first only the smallest
 fingerprint is compared with the others; the links found are reduced to
 components; then only pairs under one key in different components are compared.
 That finds the same components, as a link inside a component changes nothing.
+
+Near-duplicates by Jaccard similarity meet by a prefix filter instead, which misses
+no pair: in one order of all shingles, two sets of similarity t share one of their
+first n - ceil(t n) + 1 shingles (n: the size of the set).  Any order will do; rare
+shingles come first, so that common passages bring few strangers together.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +39,10 @@ from legajo.llm.common import slices, small_side, stored, text_bytes
 PIVOTS = 8
 #: Ids of a join side that is broadcast; a larger side is shuffled.
 ASKED_BROADCAST = 1_000_000
+#: Counters of shingles, and how many travel in one row.
+CELLS, CHUNK = 1 << 22, 1 << 13
+#: Shingles counted at once in a task.
+COUNTED = 1 << 18
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -152,18 +162,6 @@ def block_keys(head: Column, radius: int, count: int) -> Column:
     return F.array(*keys)
 
 
-def sampled_keys(fp: Column, longs: int, count: int, tables: int) -> Column:
-    """Keys of log2(count) bits (16 at least) of one long each, the bits drawn by a fixed rule."""
-    width = min(max(16, ceil(log2(max(count, 2)))), 48)
-    keys = []
-    for t in range(tables):
-        order = np.argsort(mixed(np.arange(64, dtype=np.uint64), t + 1))
-        mask = sum(1 << int(b) for b in order[:width])
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(t), fp[t % longs].bitwiseAND(F.lit(signed))))
-    return F.array(*keys)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (left, right): root is the smallest node reached.
 
@@ -211,30 +209,43 @@ def link_groups(
     meet under a key, pass the pivot table and differ in at most ``radius`` bits
     are linked if ``verify``, which gets and returns pairs (left, right), keeps them.
     """
-    verify = verify or (lambda pairs: pairs)
     met = points.select(
         "node", "head", pivot_distances(F.col("head")).alias("distances"), F.explode(keys).alias("key")
     )
+    verify = verify or (lambda pairs: pairs)
+    return met_groups(met, ["head", "distances"], lambda a, b: close(a, b, radius), verify)
+
+
+def met_groups(
+    met: DataFrame,
+    held: list[str],
+    near: Callable[[dict[str, Column], dict[str, Column]], Column],
+    verify: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """(node, root) of all linked nodes of the rows (key, node, held columns).
+
+    Nodes that meet under a key are linked if ``near``, of the held columns of
+    both, and then ``verify`` keep the pair.
+    """
     firsts = met.groupBy("key").agg(
         F.min("node").alias("first"),
         F.max("node").alias("last"),
-        F.min_by("head", "node").alias("first_head"),
-        F.min_by("distances", "node").alias("first_distances"),
+        *[F.min_by(c, "node").alias(f"first_{c}") for c in held],
     )
     shared = stored(met.join(firsts.filter("first <> last").drop("last"), "key"), "shared-keys")
 
     def columns(prefix: str) -> dict[str, Column]:
-        return {c: F.col(f"{prefix}{c}") for c in ("head", "distances")}
+        return {c: F.col(f"{prefix}{c}") for c in held}
 
     stars = (
-        shared.filter((F.col("node") != F.col("first")) & close(columns(""), columns("first_"), radius))
+        shared.filter((F.col("node") != F.col("first")) & near(columns(""), columns("first_")))
         .select(F.col("first").alias("left"), F.col("node").alias("right"))
         .distinct()
     )
     links = stored(verify(stored(stars, "pairs")), "verified")
     groups = components(links)
     rooted = stored(
-        shared.select("key", "node", "head", "distances")
+        shared.select("key", "node", *held)
         .join(groups, "node", "left")
         .withColumn("root", F.coalesce("root", "node")),
         "rooted",
@@ -246,13 +257,13 @@ def link_groups(
         .select("key")
     )
     open_ = rooted.join(mixed_keys, "key", "left_semi")
-    other = open_.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "head", "distances", "root")])
+    other = open_.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", *held, "root")])
     across = (
         open_.join(
             other,
             (open_["key"] == other["key"])
             & (F.col("root") < F.col("other_root"))
-            & close(columns(""), columns("other_"), radius),
+            & near(columns(""), columns("other_")),
         )
         .select(F.col("node").alias("left"), F.col("other_node").alias("right"))
         .distinct()
@@ -331,36 +342,122 @@ def similar_pairs(
     )
 
 
+def shingle_levels(docs: DataFrame, words: int, cells: int, text_col: str) -> bytes:
+    """How common the shingles are: a byte per counter, growing with the log of its count.
+
+    A shingle belongs to the counter of its last bits.  The table has the same
+    size for any number of documents.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = np.zeros(cells, np.uint32), [], 0
+
+        def add() -> None:
+            if held:
+                places = (np.concatenate(held) & np.uint64(cells - 1)).astype(np.uint32)
+                places, times = np.unique(places, return_counts=True)
+                counts[places] += times.astype(np.uint32)
+                held.clear()
+
+        for batch in slices(batches):
+            for data in batch.column(0).to_pylist():
+                held.append(np.unique(shingle_hashes(data or b"", words)))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    add()
+                    size = 0
+        add()
+        for place, part in enumerate(counts.reshape(-1, CHUNK)):
+            if part.any():
+                packed = zstandard.compress(part.tobytes(), 1)
+                yield pa.RecordBatch.from_pydict({"place": [place], "counts": [packed]}, schema=schema)
+
+    def summed(parts: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int64)
+        for data in parts.column("counts"):
+            total += np.frombuffer(zstandard.decompress(data.as_py()), np.uint32)
+        levels = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
+        return pa.table({"place": parts.column("place")[:1], "levels": [levels.tobytes()]})
+
+    schema = pa.schema([("place", pa.int32()), ("counts", pa.binary())])
+    rows = (
+        docs.select(text_bytes(text_col).alias("text"))
+        .mapInArrow(counted, "place int, counts binary")
+        .groupBy("place")
+        .applyInArrow(summed, "place int, levels binary")
+        .collect()  # a byte per counter
+    )
+    table = bytearray(cells)
+    for r in rows:
+        table[r["place"] * CHUNK : (r["place"] + 1) * CHUNK] = r["levels"]
+    return bytes(table)
+
+
+def prefixes(
+    docs: DataFrame, levels: bytes, words: int, similarity: float, id_col: str, text_col: str
+) -> DataFrame:
+    """(node, n, prefix): per row of docs the size of its set of shingles and the first of them.
+
+    Of two sets with the similarity one holds at least ``similarity`` times the
+    shingles of the larger, so the prefixes have one in common.  Texts without
+    words share the prefix zero.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(levels, np.uint8)
+        for batch in slices(batches):
+            sizes, firsts = [], []
+            for data in batch.column(1).to_pylist():
+                found = np.unique(shingle_hashes(data or b"", words))
+                n = len(found)
+                sizes.append(n)
+                order = np.argsort(level[found & np.uint64(len(level) - 1)], kind="stable")
+                first = found[order[: n - ceil(similarity * n - 1e-9) + 1]]
+                firsts.append(first.view(np.int64) if n else np.zeros(1, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(firsts, pa.list_(pa.int64())),
+                ],
+                names=["node", "n", "prefix"],
+            )
+
+    return docs.select(id_col, text_bytes(text_col).alias("text")).mapInArrow(
+        cut, f"node {id_type}, n int, prefix array<bigint>"
+    )
+
+
 def near_groups(
     docs: DataFrame,
     words: int = 5,
     similarity: float = 0.8,
-    longs: int = 4,
-    tables: int = 32,
-    radius: int = 22,
+    cells: int = CELLS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """(node, root) of the documents linked by near-duplicate texts.
 
-    Links are pairs with a Jaccard similarity of at least ``similarity`` on sets
-    of word shingles, verified on the texts.  Candidates agree in one of
-    ``tables`` samples of their SimHash bits (``longs`` times 64) and differ in at
-    most ``radius`` bits of the first 64.  Rows of one id count as one document; null
-    ids are left out.
+    Links are all pairs with a Jaccard similarity of at least ``similarity`` on sets
+    of word shingles, verified on the texts.  Rows of one id count as one document,
+    which is linked by any of its texts; null ids are left out.  ``cells`` is the
+    number of counters of shingles, a power of two; it does not change the result.
     """
-    prints = stored(
-        fingerprints(docs.filter(F.col(id_col).isNotNull()), words, longs, id_col, text_col)
-        .withColumnRenamed("id", "node")
-        .dropDuplicates(["node"]),
-        "fingerprints",
-    )
-    points = prints.select("node", "fp", F.col("fp")[0].alias("head"))
-    keys = sampled_keys(F.col("fp"), longs, prints.count(), tables)
-    return link_groups(
-        points,
-        keys,
-        radius,
+    docs = docs.filter(F.col(id_col).isNotNull())
+    levels = shingle_levels(docs, words, cells, text_col)
+    points = stored(prefixes(docs, levels, words, similarity, id_col, text_col), "prefixes")
+    met = points.select("node", "n", F.posexplode("prefix").alias("place", "key"))
+
+    def near(a: dict[str, Column], b: dict[str, Column]) -> Column:
+        # common shingles from the first one on, which is this key for one key of the pair
+        left = F.least(a["n"] - a["place"], b["n"] - b["place"])
+        return left * (1 + similarity) >= similarity * (a["n"] + b["n"]) - 1e-6
+
+    return met_groups(
+        met,
+        ["n", "place"],
+        near,
         lambda pairs: similar_pairs(pairs, docs, words, similarity, id_col, text_col),
     )
 

@@ -248,6 +248,36 @@ def test_near_duplicates(docs, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"cells": 1 << 13}])
+def test_near_duplicates_at_the_bound(spark, options):
+    rng = np.random.default_rng(8)
+    passage = [f"common{i}" for i in range(30)]
+    texts = {}
+    for i in range(400):
+        words = [f"w{w}" for w in rng.integers(0, 10**6, rng.integers(60, 200))]
+        words += passage * (i % 3 == 0)
+        copy = list(words)
+        for at in rng.choice(len(words), max(1, len(words) // 45), replace=False):
+            copy[at] = f"new{at}"
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(copy)
+    texts[900] = " ".join([*texts[0].split(), *texts[1].split()[:40] * 50])  # a part many times
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts.items()}
+
+    def similarity(a, b):
+        return len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+
+    planted = [similarity(2 * i, 2 * i + 1) for i in range(400)]
+    assert sum(0.8 <= s < 0.85 for s in planted) > 50 and sum(s < 0.8 for s in planted) > 20
+    root = {i: i for i in texts}
+    pairs = [(a, b) for a in texts for b in texts if a < b and similarity(a, b) >= 0.8]
+    for _ in range(3):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["node"]: r["root"] for r in simhash.near_groups(docs, **options).collect()}
+    assert got == {i: root[i] for pair in pairs for i in pair}
+
+
 def test_benchmark_items(spark, docs, empty):
     items = spark.createDataFrame(
         [
