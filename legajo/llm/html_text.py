@@ -35,18 +35,28 @@ BLOCKS = set(
 )
 ENDS_PARAGRAPH = set("div h1 h2 h3 h4 h5 h6 ol p pre section table ul".split())
 RAW = "script|style|textarea|title|noscript|template|iframe|svg|math"
-#: Words in class, id or role that mark what is not main text.
+#: Elements of the main text's own frame: what their class, id or role says does not hide them.
+FRAME = set("html body main article".split())
+#: A whole name in class, id or role that marks what is not main text: a word, or
+#: words of which one is of the first list and all others of either.
+MARKING = (
+    "ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|"
+    "sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|repl(?:y|ies)|respond|"
+    "cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|share|sharing|social|related|"
+    "recommend(?:ed|ations)?|footer|header|masthead|widget|pagination|pager|toolbar|"
+    "contentinfo|complementary|search|login|signup|alert"
+)
+NEUTRAL = (
+    "site|page|global|main|primary|secondary|top|bottom|left|right|box|bar|list|links?|buttons?|"
+    "slot|unit|form|items?|icons?|thread|posts|articles|stories|inner|outer|[0-9]+"
+)
 SIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|"
-    r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|repl(?:y|ies)|respond|"
-    r"cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|share|sharing|social|related|"
-    r"recommend(?:ed|ations)?|footer|header|masthead|widget|pagination|pager|toolbar|"
-    r"contentinfo|complementary|search|login|signup|alert)(?:$|[\s_-])",
-    re.I,
+    rf"(?:(?:{NEUTRAL})[_-]+)*(?:{MARKING})(?:[_-]+(?:{MARKING}|{NEUTRAL}))*", re.I
 )
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b(?P<rawattrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<void>svg|math)(?=[\s/>])(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+    rf"|<(?P<raw>{RAW})(?=[\s/>])(?P<rawattrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",
@@ -75,7 +85,10 @@ class Piece:
 def is_side(name: str, attrs: str) -> bool:
     if name in HIDDEN:
         return True
-    return any(SIDE.search(a or b or c) for a, b, c in MARKS.findall(attrs)) if attrs else False
+    if not attrs or name in FRAME:
+        return False
+    names = (n for a, b, c in MARKS.findall(attrs) for n in (a or b or c).split())
+    return any(map(SIDE.fullmatch, names))
 
 
 def pieces(page: str) -> list[Piece]:
@@ -99,10 +112,10 @@ def pieces(page: str) -> list[Piece]:
     for m in MARKUP.finditer(page):
         text(page[at : m.start()])
         at = m.end()
-        name = (m["name"] or m["name2"] or m["raw"] or "").lower()
+        name = (m["name"] or m["name2"] or m["raw"] or m["void"] or "").lower()
         if not name:
             continue
-        if m["raw"]:
+        if m["raw"] or m["void"]:
             out.append(Piece("", name, name == "title", True))
             continue
         closing = bool(m["close"] or m["close2"])

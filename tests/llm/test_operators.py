@@ -466,3 +466,29 @@ def test_long_page_without_end():
     page = "<article><p>" + "word <i class='x>" * 2000
     assert isinstance(html_text.main_text(page), str)
     assert regex.fullmatch(r"(a )*a", html_text.main_text("<p>" + "a <br>" * 50_000))
+
+
+ARTICLE = "<p>One paragraph of the text.</p><p>Two more words here.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html class='has-header'><body class='no-sidebar'>{}</body></html>",
+        "<body class='with-sidebar'><main id='search'>{}</main></body>",
+        "<body class='menu'><div class='post header-dark'>{}</div></body>",
+        "<article class='post has-comments'>{}</article>",
+        "<article class='share'>{}</article>",
+        "<div class='sidebar'>Side words</div>{}<div id='site-footer'>Foot</div>",
+        "<div role='navigation'>Side words</div>{}<ul class='x comment-list'><li>No</li></ul>",
+        "<svg class='i'/>{}",
+        "<math/>{}",
+        "<svg-icon>{}",
+        "<svg><text>drawn</text></svg>{}",
+        "<svg viewBox='0 0 1 1' ><path d='x'/></svg>{}<template-x>",
+        "<script src='a>b/'>no()</script>{}",
+    ],
+)
+def test_frames_and_foreign_elements(page):
+    want = "One paragraph of the text.\nTwo more words here."
+    assert html_text.main_text(page.format(ARTICLE)) == want
