@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import tempfile
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +83,42 @@ def _stored(spark: SparkSession, store: str, before: int) -> DataFrame | None:
     )
 
 
+#: Times of one key that are held in memory at once; more are sorted in pieces on disk.
+HELD_TIMES = 1 << 20
+
+
+def sorted_runs(parts: Iterable[np.ndarray], file, held: int) -> list[np.ndarray]:
+    """The times of all parts as sorted arrays: what exceeds ``held`` is kept in the file."""
+    waiting: list[np.ndarray] = []
+    sizes: list[int] = []
+    n = 0
+    for part in parts:
+        waiting.append(part)
+        n += len(part)
+        if n >= held:
+            run = np.sort(np.concatenate(waiting))
+            file.write(run.tobytes())
+            sizes.append(n)
+            waiting, n = [], 0
+    runs = [np.sort(np.concatenate(waiting))] if n else []
+    if sizes:
+        file.flush()
+        whole = np.memmap(file, np.int64, "r")
+        runs += np.split(whole, np.cumsum(sizes)[:-1])
+    return runs
+
+
+def storing_times(runs: list[np.ndarray], last: int | None, valid: int) -> Iterator[int]:
+    """The times that store an entry: each is the first more than ``valid`` behind the one before."""
+    while True:
+        behind = [0 if last is None else run.searchsorted(last + valid, "right") for run in runs]
+        later = [int(run[i]) for run, i in zip(runs, behind, strict=True) if i < len(run)]
+        if not later:
+            return
+        last = min(later)
+        yield last
+
+
 def expiring_dedupe(
     events: DataFrame, keys: Sequence[str], at: str = "ts", hours: float = 24
 ) -> DataFrame:
@@ -88,23 +127,22 @@ def expiring_dedupe(
     An entry is valid for ``hours`` from the event that stored it.  State is the
     time of the last stored entry per key; null keys are keys too.  The events of a
     key must come in time order from one micro-batch to the next (inside one they
-    are ordered here, times only, so ``maxFilesPerTrigger`` bounds the memory); an
-    event older than the entry in force counts as a repeat.  Null times never store.
+    are ordered here; times beyond ``HELD_TIMES`` of a key wait in a temporary file);
+    an event older than the entry in force counts as a repeat.  Null times never store.
     """
-    valid = pd.Timedelta(hours=hours)
+    valid = pd.Timedelta(hours=hours) // pd.Timedelta(microseconds=1)
     schema = events.select(*keys, at).schema
 
     def admit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState):
-        times = sorted(t for part in parts for t in part[at].dropna())
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        stored = []
-        for time in times:
-            if last is None or time - last > valid:
-                stored.append(time)
-                last = time
-        if stored:
-            state.update((last.value // 1000,))
-            yield pd.DataFrame([(*key, time) for time in stored], columns=[*keys, at])
+        times = (p[at].dropna().to_numpy("datetime64[us]").view(np.int64) for p in parts)
+        with tempfile.SpooledTemporaryFile(1) as file:  # on disk once written
+            runs = sorted_runs(times, file, HELD_TIMES)
+            found = storing_times(runs, state.get[0] if state.exists else None, valid)
+            while stored := list(islice(found, 10_000)):
+                state.update((stored[-1],))
+                yield pd.DataFrame(
+                    [(*key, pd.Timestamp(time, unit="us")) for time in stored], columns=[*keys, at]
+                )
 
     return events.groupBy(*keys).applyInPandasWithState(
         admit, schema, "last bigint", "append", GroupStateTimeout.NoTimeout

@@ -62,6 +62,42 @@ def test_files_stream_in_with_their_hash(spark, tmp_path):
     assert [(r.case_id, r.document_id.rsplit("/", 1)[1]) for r in rows] == [("CASE-1", "a.pdf")]
 
 
+def test_times_of_a_hot_key_wait_on_disk(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, 10**7, n) for n in (0, 400, 1, 700, 300, 90, 5)]
+    want, last = [], None
+    for time in sorted(np.concatenate(parts).tolist()):
+        if last is None or time - last > 50_000:
+            want.append(time)
+            last = time
+    for held in (1, 500, 10**6):
+        with open(tmp_path / f"runs{held}", "w+b") as file:
+            runs = intake.sorted_runs(iter(parts), file, held)
+            assert sum(len(r) for r in runs if not isinstance(r, np.memmap)) < held
+            assert list(intake.storing_times(runs, None, 50_000)) == want
+            assert list(intake.storing_times(runs, want[3], 50_000)) == want[4:]
+    # a whole stream, whose key is beyond the bound
+    monkeypatch.setattr(intake, "HELD_TIMES", 1000)
+    rows = spark.range(30_000).select(
+        F.lit("k").alias("k"), F.timestamp_micros(F.col("id") * 7919 % 30_000 * 60_000_000).alias("ts")
+    )
+    rows.write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in"))
+    query = (
+        intake.expiring_dedupe(events, ["k"])
+        .writeStream.format("parquet")
+        .option("checkpointLocation", str(tmp_path / "cp"))
+        .option("path", str(tmp_path / "out"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select(F.unix_micros("ts") / 60_000_000).collect()
+    assert sorted(int(r[0]) for r in got) == list(range(0, 30_000, 24 * 60 + 1))
+
+
 def test_live_status_keeps_the_latest(spark):
     rows = spark.createDataFrame([("p", "a", 1), ("p", "b", 2)], "k STRING, status STRING, o INT")
     assert intake.live_status(rows, "k", ["o"]).select(F.col("status")).first().status == "b"
