@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from legajo.llm import (
     bpe,
     decontaminate,
+    divergence,
     exact_dedup,
     html_text,
     language,
+    mixture,
     orc_tokens,
     quality,
     simhash,
@@ -152,3 +154,44 @@ LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of its equal texts."""
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op11_source_mixture")
+def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the weighted mix of all sources takes of every document."""
+    return mixture.mix(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op12_source_divergence",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    t AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT row) >= 10),
+    langs AS (SELECT lang, sum(total)::HUGEINT AS n, count(*)::HUGEINT AS v FROM kept GROUP BY 1),
+    used AS (SELECT t.lang, t.source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+    sizes AS (SELECT g.lang, g.source, coalesce(sum(c), 0)::HUGEINT AS n FROM g
+      LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source GROUP BY 1, 2),
+    p AS (SELECT s.lang, s.source, k.term, coalesce(u.c, 0) AS c,
+        1 + (1000000000::HUGEINT * (coalesce(u.c, 0) + 2)) // (s.n + 2 * l.v) AS p,
+        1 + (1000000000::HUGEINT * (k.total + 2)) // (l.n + 2 * l.v) AS q
+      FROM sizes s JOIN kept k ON k.lang = s.lang JOIN langs l ON l.lang = s.lang
+      LEFT JOIN used u ON u.lang = s.lang AND u.source = s.source AND u.term = k.term),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+      FROM p WHERE c > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
+)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between the sources of every language, and the terms that mark them."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
