@@ -18,6 +18,7 @@ from legajo.llm import (
     language,
     mixture,
     orc_tokens,
+    prefix_trie,
     quality,
     simhash,
     token_counts,
@@ -195,3 +196,9 @@ def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences between the sources of every language, and the terms that mark them."""
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@register("op13_prefix_trie")
+def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations with its roll-ups."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
