@@ -92,9 +92,9 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: int, rounds: int = 60)
     where they would leave it.
     """
     scale = histogram.groupBy(F.col("source").alias("_source")).agg(
-        (
-            F.sum(big("size") * big("size") * big("n")).cast("double")
-            / F.sum(big("size") * big("n")).cast("double")
+        F.try_divide(
+            F.sum(big("size") * big("size") * big("n")).cast("double"),
+            F.sum(big("size") * big("n")).cast("double"),
         ).alias("mean")
     )
     full = F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)
@@ -138,7 +138,7 @@ def _stepped(state: DataFrame, sums: DataFrame) -> DataFrame:
     tilt, gap = F.col("tilt"), F.col("got") - F.col("target")
     low = F.when(gap < 0, tilt).otherwise(F.col("low"))
     high = F.when(gap > 0, tilt).otherwise(F.col("high"))
-    newton = tilt - gap / (F.col("slope") / F.col("mean") / UNIT)
+    newton = tilt - F.try_divide(gap * F.col("mean") * UNIT, F.col("slope"))
     outwards = F.when(gap < 0, tilt + F.abs(tilt) + 1).otherwise(tilt - F.abs(tilt) - 1)
     lower, upper = F.coalesce("_low", outwards), F.coalesce("_high", outwards)
     fits = (newton > lower) & (newton < upper)

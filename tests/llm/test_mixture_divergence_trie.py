@@ -108,6 +108,10 @@ def test_rates_solve_the_dual(spark):
     histogram = stored(spark.createDataFrame(rows, "source string, size bigint, n bigint"), "h")
     whole = int((sizes * numbers).sum())
     mean = (sizes**2 * numbers).sum() / whole
+
+    def words_taken(tilt):
+        return (sizes * numbers * np.exp(np.minimum(tilt * sizes / mean, np.log(2)))).sum()
+
     for portion in (0.02, 0.4, 1.0, 1.3, 1.97):
         goal = portion * whole
         targets = spark.createDataFrame(
@@ -117,9 +121,9 @@ def test_rates_solve_the_dual(spark):
         low, high = -1e4, 1e4
         for _ in range(200):
             middle = (low + high) / 2
-            got = (sizes * numbers * np.exp(np.minimum(middle * sizes / mean, np.log(2)))).sum()
-            low, high = (middle, high) if got < goal else (low, middle)
-        assert solved.tilt == pytest.approx(low, rel=1e-3, abs=1e-4)
+            low, high = (middle, high) if words_taken(middle) < goal else (low, middle)
+        assert abs(words_taken(solved.tilt) - goal) <= 0.3  # words
+        assert abs(solved.tilt - low) <= 0.01 * max(1, abs(low))
 
 
 # --- divergence --------------------------------------------------------------------------------
