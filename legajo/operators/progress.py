@@ -1,39 +1,48 @@
 """Progress of case runs: smoothed stage times, remaining time, elapsed time.
 
-All three follow event order inside a case.  Cases are cut into time pieces
-(days by default) so that a case with a third of all events spreads over its
-pieces; between pieces travels one row per (case, stage, piece).
+All three follow event order inside a case.  Events are range-partitioned by case
+and time, so that a case with a third of all events, or of a day's events, spreads
+over many pieces of bounded size; between pieces travels one row per (case, stage,
+piece).  The smoothed time is a parallel prefix scan: a finished stage is the affine
+map ``x -> keep * x + smoothing * duration``, ``SIDE`` maps make a block, a block is
+again one affine map, and so on up; every value is folded from the carry of its block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.fixed_values import SMOOTHING, STAGE_SECONDS, STAGES
-from legajo.operators.scaling import running_last
+from legajo.operators.scaling import ranged_pieces, running_last, same_keys
 from legajo.session import ensure_checkpoint_dir
 
 KEEP = 1.0 - SMOOTHING
-# 0.75 ** 160 is far below double precision, so older terms cannot matter
-FRAME = 160
+#: Rows of a block and blocks of the block above it.
+SIDE = 64
+PLACE = ["ts", "event_id"]
 
 
-def _decay(n: Column) -> Column:
-    return F.pow(F.lit(KEEP), n.cast("double"))
+def in_pieces(events: DataFrame, piece: Column | None = None) -> DataFrame:
+    """The events with ``_piece``: ranges of (case, time), or the given column."""
+    if piece is not None:
+        return events.withColumn("_piece", piece)
+    return ranged_pieces(events, ["case_id"], PLACE, "_piece")
 
 
-def stage_durations(events: DataFrame, piece: Column | None = None) -> DataFrame:
+def stage_durations(cut: DataFrame) -> DataFrame:
     """Adds duration_us to 'done' events that have an earlier 'started'.
 
-    Needs case_id, stage, status, ts and a unique event_id.
+    Needs case_id, stage, status, ts, a unique event_id and the ``_piece`` of each event.
     """
     at = F.unix_micros("ts")
     started = running_last(
-        events,
+        cut,
         ["case_id", "stage"],
-        piece if piece is not None else F.to_date("ts"),
-        ["ts", "event_id"],
+        F.col("_piece"),
+        PLACE,
         {"started_us": F.when(F.col("status") == "started", at)},
     )
     return started.withColumn(
@@ -42,52 +51,103 @@ def stage_durations(events: DataFrame, piece: Column | None = None) -> DataFrame
     ).drop("started_us")
 
 
-def smoothed_times(durations: DataFrame, piece: Column | None = None) -> DataFrame:
-    """Adds avg_us, the running smoothed duration, to events that finish a stage.
+def _folded(values: Column, start: Column) -> Column:
+    return F.aggregate(values, start, lambda acc, d: acc * KEEP + d * SMOOTHING)
+
 
-    Inside a piece the average is decay^n * carried + sum of recent terms; the
-    carried average comes from folding the (n, sum) of earlier pieces.  Events
-    without a duration ride along in window partitions of their own.
+def block_carries(blocks: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """(keys, block, carry): the composed maps of all earlier blocks of the key, applied to 0.
+
+    ``blocks`` has the map x -> a x + b of every block from 0; that of block 0 is
+    constant.  ``most`` is the largest number of blocks of a key.
     """
-    keys = ["case_id", "stage", "_piece"]
-    cut = durations.withColumns(
-        {
-            "_piece": piece if piece is not None else F.to_date("ts"),
-            "_done": F.col("duration_us").isNotNull(),
-        }
+    over = F.expr(f"block div {SIDE}")
+    before = Window.partitionBy(*keys, "_over").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    inside = Window.partitionBy(*keys, "_done").orderBy("ts", "event_id")
-    recent = F.collect_list("duration_us").over(inside.rowsBetween(-(FRAME - 1), 0))
-    placed = (
-        cut.withColumn("_recent", recent)
-        .withColumn("_n", F.row_number().over(inside))
-        .withColumn("_first", F.first("duration_us").over(inside))
-        .withColumn(
-            "_sum",
-            F.aggregate("_recent", F.lit(0.0), lambda acc, d: acc * KEEP + d * SMOOTHING),
-        )
-        .drop("_recent")
+    placed = blocks.withColumn("_over", over).withColumn(
+        "_held", F.collect_list(F.struct("a", "b")).over(before)  # fewer than SIDE
     )
-    ends = (
-        placed.filter("_done")
-        .groupBy(*keys)
-        .agg(
-            F.max("_n").alias("n"),
-            F.max_by("_sum", "_n").alias("sum"),
-            F.first("_first").alias("first"),
+    start = F.lit(0.0)
+    if most > SIDE:
+        maps = placed.groupBy(*keys, "_over").agg(
+            F.sort_array(F.collect_list(F.struct("block", "a", "b"))).alias("maps")
         )
+        above = block_carries(
+            maps.select(
+                *keys,
+                F.col("_over").alias("block"),
+                F.aggregate("maps", F.lit(1.0), lambda acc, m: acc * m["a"]).alias("a"),
+                F.aggregate("maps", F.lit(0.0), lambda acc, m: acc * m["a"] + m["b"]).alias("b"),
+            ),
+            keys,
+            -(-most // SIDE),
+        ).select(
+            *[F.col(k).alias(f"_key_{k}") for k in keys],
+            F.col("block").alias("_key__over"),
+            F.col("carry").alias("_start"),
+        )
+        placed = placed.join(above, same_keys([*keys, "_over"]))
+        start = F.col("_start")
+    carry = F.aggregate("_held", start, lambda acc, m: acc * m["a"] + m["b"])
+    return placed.select(*keys, "block", carry.alias("carry"))
+
+
+def smoothed(rows: DataFrame, keys: Sequence[str], value: str, name: str, most: int) -> DataFrame:
+    """Adds the running smoothed value along ``_ordinal`` (from 1 in each key).
+
+    ``most`` is the number of rows of the largest key.
+    """
+    cut = rows.withColumn("_block", F.expr(f"(_ordinal - 1) div {SIDE}"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_ordinal")
+    held = cut.withColumn("_held", F.collect_list(value).over(inside))  # SIDE at most
+    start = F.col("_held")[0]
+    if most > SIDE:
+        values = F.transform("at", lambda x: x["value"])
+        whole = cut.groupBy(*keys, F.col("_block").alias("block")).agg(
+            F.sort_array(F.collect_list(F.struct("_ordinal", F.col(value).alias("value")))).alias("at")
+        )
+        opening = F.col("block") == 0
+        blocks = whole.select(
+            *keys,
+            "block",
+            F.when(opening, 0.0).otherwise(F.pow(F.lit(KEEP), F.size("at").cast("double"))).alias("a"),
+            _folded(values, F.when(opening, values[0]).otherwise(0.0)).alias("b"),
+        )
+        carries = block_carries(blocks, keys, -(-most // SIDE)).filter("block > 0").select(
+            *[F.col(k).alias(f"_key_{k}") for k in keys],
+            F.col("block").alias("_key__block"),
+            "carry",
+        )
+        held = held.join(carries, same_keys([*keys, "_block"]), "left")
+        start = F.coalesce("carry", start)
+    return held.withColumn(name, _folded(F.col("_held"), start)).select(*rows.columns, name)
+
+
+def smoothed_times(measured: DataFrame) -> DataFrame:
+    """Adds avg_us, the running smoothed duration, to events that finish a stage.
+
+    Needs ``duration_us`` and ``_piece``, and is read several times: give it stored.
+    """
+    keys = ["case_id", "stage"]
+    done = measured.filter(F.col("duration_us").isNotNull())
+    counts = done.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    most = counts.groupBy(*keys).agg(F.sum("_n").alias("n")).agg(F.max("n")).first()[0] or 0
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *[F.col(k).alias(f"_key_{k}") for k in (*keys, "_piece")],
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
     )
-    before = Window.partitionBy("case_id", "stage").orderBy("_piece").rowsBetween(-FRAME, -1)
-    carried = F.aggregate(
-        F.collect_list(F.struct("n", "sum", "first")).over(before),
-        F.lit(None).cast("double"),
-        lambda acc, p: F.coalesce(acc, p["first"]) * _decay(p["n"]) + p["sum"],
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*PLACE)
+    numbered = (
+        done.withColumn("_place", F.row_number().over(inside))
+        .join(offsets, same_keys([*keys, "_piece"]))
+        .withColumn("_ordinal", F.col("_place") + F.col("_before"))
+        .select(*measured.columns, "_ordinal")
     )
-    carries = ends.select(*keys, carried.alias("_carry"))
-    average = F.coalesce("_carry", "_first") * _decay(F.col("_n")) + F.col("_sum")
-    return placed.join(carries, keys, "left").withColumn(
-        "avg_us", F.when(F.col("_done"), average)
-    ).select(*durations.columns, "avg_us")
+    averaged = smoothed(numbered, keys, "duration_us", "avg_us", most).drop("_ordinal")
+    others = measured.filter(F.col("duration_us").isNull())
+    return averaged.unionByName(others.withColumn("avg_us", F.lit(None).cast("double")))
 
 
 def progress_report(events: DataFrame, piece: Column | None = None) -> DataFrame:
@@ -95,8 +155,8 @@ def progress_report(events: DataFrame, piece: Column | None = None) -> DataFrame
     # each step reads its input twice (pieces and rows), so both inputs are
     # written once instead of being computed again per reader
     ensure_checkpoint_dir(events.sparkSession)
-    measured = stage_durations(events, piece).checkpoint()
-    averaged = smoothed_times(measured, piece).checkpoint()
+    measured = stage_durations(in_pieces(events, piece)).checkpoint()
+    averaged = smoothed_times(measured).checkpoint()
     known = {
         f"avg_{s}": F.when(F.col("stage") == s, F.col("avg_us")) for s in STAGES
     }
@@ -104,8 +164,8 @@ def progress_report(events: DataFrame, piece: Column | None = None) -> DataFrame
     with_all = running_last(
         averaged,
         ["case_id"],
-        piece if piece is not None else F.to_date("ts"),
-        ["ts", "event_id"],
+        F.col("_piece"),
+        PLACE,
         known,
     )
     starts = events.groupBy("case_id").agg(F.min("ts").alias("_start"))
@@ -139,7 +199,8 @@ def remaining_ms(averages_us: dict[str, Column]) -> Column:
 
 def final_averages(events: DataFrame, piece: Column | None = None) -> DataFrame:
     """Smoothed milliseconds per (case, stage) after the last event."""
-    averaged = smoothed_times(stage_durations(events, piece), piece)
+    ensure_checkpoint_dir(events.sparkSession)
+    averaged = smoothed_times(stage_durations(in_pieces(events, piece)).checkpoint())
     return averaged.filter("avg_us IS NOT NULL").groupBy("case_id", "stage").agg(
         F.count(F.lit(1)).alias("n_done"),
         F.floor(F.max_by("avg_us", F.struct("ts", "event_id")) / 1000).alias("avg_ms"),

@@ -15,6 +15,29 @@ from pyspark.sql import functions as F
 from legajo.session import ensure_checkpoint_dir
 
 
+def same_keys(keys: Sequence[str]) -> Column:
+    """Each key equals the column ``_key_`` and its name; null keys are a group too."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return same
+
+
+def ranged_pieces(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "_piece"
+) -> DataFrame:
+    """The rows range-partitioned on (group, order), with the number of their range.
+
+    A hot group spreads over many ranges, each of a bounded share of all rows.  Ranges of
+    a group follow its order.  The rows are checkpointed, so that every use sees the
+    same cuts.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return (
+        df.repartitionByRange(*groups, *order).withColumn(name, F.spark_partition_id()).checkpoint()
+    )
+
+
 def dense_ordinals(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "ordinal"
 ) -> DataFrame:
@@ -100,10 +123,7 @@ def running_last(
         *[F.col(k).alias(f"_key_{k}") for k in (*keys, "_bucket")],
         *[f"_carry_{n}" for n in values],
     )
-    same = F.lit(True)
-    for k in (*keys, "_bucket"):  # null keys are a group too
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    result = cut.join(named, same)
+    result = cut.join(named, same_keys([*keys, "_bucket"]))
     for name in values:
         result = result.withColumn(
             name,

@@ -127,6 +127,63 @@ def test_smoothing_longer_than_the_frame(spark):
     assert got.avg_ms == pytest.approx(expected * 1000, abs=1.01)
 
 
+@pytest.mark.parametrize("side", [2, 4, 64])
+def test_scan_over_several_levels_of_blocks(spark, monkeypatch, side):
+    monkeypatch.setattr(prg, "SIDE", side)
+    picker = random.Random(11)
+    rows, expected = [], {}
+    for case, n in (("a", 300), ("b", 65), ("c", 1), (None, 5)):
+        average = None
+        for i in range(n):
+            d = float(picker.randrange(10**9))
+            average = d if average is None else average * 0.75 + d * 0.25
+            rows.append((case, i + 1, d))
+            expected[case, i + 1] = average
+    frame = spark.createDataFrame(rows, "k STRING, _ordinal BIGINT, d DOUBLE").repartition(5)
+    got = prg.smoothed(frame, ["k"], "d", "avg", 300).collect()
+    assert len(got) == len(rows)
+    for row in got:
+        assert row.avg == pytest.approx(expected[row.k, row._ordinal], rel=1e-13)
+
+
+def test_busy_day_of_one_case_spreads(spark):
+    """A third of the day's events in one case: no piece holds more than its share of rows."""
+    at = F.timestamp_micros(F.lit(1_700_000_000_000_000) + (F.col("id") * 7919 % 24_000) * 1_000_000)
+    frame = spark.range(24_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), F.col("id") % 500))
+        .alias("case_id"),
+        F.col("id").alias("event_id"),
+        F.lit("ocr").alias("stage"),
+        F.when(F.col("id") % 2 == 0, "started").otherwise("done").alias("status"),
+        at.alias("ts"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = prg.in_pieces(frame)
+        sizes = [r["count"] for r in cut.groupBy("case_id", "_piece").count().collect()]
+        report = prg.progress_report(frame)
+        got = {r.event_id: (r.elapsed_ms, r.avg_stage_ms) for r in report.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) <= 2 * 24_000 / 8
+    started, average, first, expected = {}, {}, {}, {}
+    rows = sorted(frame.select("case_id", "event_id", "status", F.unix_micros("ts").alias("t")).collect(),
+                  key=lambda r: (r.t, r.event_id))
+    for r in rows:
+        first.setdefault(r.case_id, r.t)
+        if r.status == "started":
+            started[r.case_id] = r.t
+        elif r.case_id in started:
+            d = r.t - started[r.case_id]
+            old = average.get(r.case_id)
+            average[r.case_id] = d if old is None else 0.75 * old + 0.25 * d
+        expected[r.event_id] = ((r.t - first[r.case_id]) // 1000, average.get(r.case_id))
+    for event, (elapsed, smooth) in got.items():
+        assert elapsed == expected[event][0]
+        want = expected[event][1]
+        assert smooth is None if want is None else abs(smooth - want / 1000) < 1.01
+
+
 def test_lookup_expires_after_a_day(spark):
     rows = [
         ("k", 1, "w", START), ("k", 2, "r", START + timedelta(hours=24)),
