@@ -43,6 +43,8 @@ ASKED_BROADCAST = 1_000_000
 CELLS, CHUNK = 1 << 22, 1 << 13
 #: Shingles counted at once in a task.
 COUNTED = 1 << 18
+#: Prefix shingles that one task compares, about.
+BUCKET = 400_000
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -342,11 +344,11 @@ def similar_pairs(
     )
 
 
-def shingle_levels(docs: DataFrame, words: int, cells: int, text_col: str) -> bytes:
+def shingle_levels(docs: DataFrame, words: int, cells: int, text_col: str) -> tuple[bytes, int]:
     """How common the shingles are: a byte per counter, growing with the log of its count.
 
     A shingle belongs to the counter of its last bits.  The table has the same
-    size for any number of documents.
+    size for any number of documents.  Also the number of shingles of all sets.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,37 +379,91 @@ def shingle_levels(docs: DataFrame, words: int, cells: int, text_col: str) -> by
         for data in parts.column("counts"):
             total += np.frombuffer(zstandard.decompress(data.as_py()), np.uint32)
         levels = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
-        return pa.table({"place": parts.column("place")[:1], "levels": [levels.tobytes()]})
+        return pa.table(
+            {"place": parts.column("place")[:1], "levels": [levels.tobytes()], "n": [int(total.sum())]}
+        )
 
     schema = pa.schema([("place", pa.int32()), ("counts", pa.binary())])
     rows = (
         docs.select(text_bytes(text_col).alias("text"))
         .mapInArrow(counted, "place int, counts binary")
         .groupBy("place")
-        .applyInArrow(summed, "place int, levels binary")
+        .applyInArrow(summed, "place int, levels binary, n bigint")
         .collect()  # a byte per counter
     )
     table = bytearray(cells)
     for r in rows:
         table[r["place"] * CHUNK : (r["place"] + 1) * CHUNK] = r["levels"]
-    return bytes(table)
+    return bytes(table), sum(r["n"] for r in rows)
+
+
+def dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key, from bits that the counters of shingles do not use."""
+    return (keys.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)
 
 
 def prefixes(
-    docs: DataFrame, levels: bytes, words: int, similarity: float, id_col: str, text_col: str
+    docs: DataFrame,
+    levels: bytes,
+    buckets: int,
+    words: int,
+    similarity: float,
+    id_col: str,
+    text_col: str,
 ) -> DataFrame:
-    """(node, n, prefix): per row of docs the size of its set of shingles and the first of them.
+    """(bucket, keys, nodes, sizes, places): the first shingles of every row of docs, in arrays.
 
     Of two sets with the similarity one holds at least ``similarity`` times the
     shingles of the larger, so the prefixes have one in common.  Texts without
-    words share the prefix zero.
+    words share the prefix zero.  ``size`` is that of the set, ``place`` that of the
+    shingle in the prefix.
+
+    Keys that several rows of a task share are in bucket -1, and once more, with place
+    -1, in the bucket of the key: so a key reaches its bucket once from a task.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels, np.uint8)
+        ids, sizes, firsts = [], [], []
+        size = 0
+
+        def arrays(bucket: list[int], parts: list[np.ndarray], entries: list[pa.Array]) -> pa.RecordBatch:
+            ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+            columns = [c.take(pa.array(np.concatenate(parts))) for c in entries]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket, pa.int32()), *(pa.ListArray.from_arrays(ends, c) for c in columns)],
+                names=["bucket", "keys", "nodes", "sizes", "places"],
+            )
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            if not firsts:
+                return
+            counts = [len(f) for f in firsts]
+            keys = np.concatenate(firsts)
+            places = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+            lengths = np.repeat(np.asarray(sizes, np.int32), counts)
+            nodes = pa.concat_arrays(ids).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+            several = times[which] > 1
+            at = np.flatnonzero(several)
+            if len(at):
+                yield arrays([-1], [at], [pa.array(keys), nodes, pa.array(lengths), pa.array(places)])
+            marks = at[np.unique(keys[at], return_index=True)[1]]
+            places[marks] = -1
+            once = np.concatenate([np.flatnonzero(~several), marks])
+            bucket = dealt(keys[once], buckets)
+            order = np.argsort(bucket, kind="stable")
+            found, starts = np.unique(bucket[order], return_index=True)
+            yield arrays(
+                found.astype(np.int32).tolist(),
+                np.split(once[order], starts[1:]),
+                [pa.array(keys), nodes, pa.array(lengths), pa.array(places)],
+            )
+            ids.clear(), sizes.clear(), firsts.clear()
+
         for batch in slices(batches):
-            sizes, firsts = [], []
+            ids.append(batch.column(0))
             for data in batch.column(1).to_pylist():
                 found = np.unique(shingle_hashes(data or b"", words))
                 n = len(found)
@@ -415,18 +471,36 @@ def prefixes(
                 order = np.argsort(level[found & np.uint64(len(level) - 1)], kind="stable")
                 first = found[order[: n - ceil(similarity * n - 1e-9) + 1]]
                 firsts.append(first.view(np.int64) if n else np.zeros(1, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int32()),
-                    pa.array(firsts, pa.list_(pa.int64())),
-                ],
-                names=["node", "n", "prefix"],
-            )
+                size += len(firsts[-1])
+            if size >= COUNTED:
+                yield from passed_on()
+                size = 0
+        yield from passed_on()
 
     return docs.select(id_col, text_bytes(text_col).alias("text")).mapInArrow(
-        cut, f"node {id_type}, n int, prefix array<bigint>"
+        cut,
+        f"bucket int, keys array<bigint>, nodes array<{id_type}>, sizes array<int>, places array<int>",
+    )
+
+
+def shared_prefixes(prefixes: DataFrame) -> DataFrame:
+    """(key, node, n, place): the entries of stored prefixes whose key several rows have."""
+    names = ["keys", "nodes", "sizes", "places"]
+
+    def repeated(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).combine_chunks().flatten() for c in names]
+        keys, places = columns[0].to_numpy(), columns[3].to_numpy()
+        _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+        at = pa.array(np.flatnonzero((times[which] > 1) & (places >= 0)))
+        return pa.table([c.take(at) for c in columns], names=["key", "node", "n", "place"])
+
+    id_type = prefixes.schema["nodes"].dataType.elementType.simpleString()
+    schema = f"key bigint, node {id_type}, n int, place int"
+    met = (
+        prefixes.filter("bucket >= 0").groupBy("bucket").applyInArrow(repeated, schema)
     )
+    in_task = prefixes.filter("bucket < 0").select(F.inline(F.arrays_zip(*names)))
+    return met.unionByName(in_task.toDF("key", "node", "n", "place"))
 
 
 def near_groups(
@@ -445,9 +519,10 @@ def near_groups(
     number of counters of shingles, a power of two; it does not change the result.
     """
     docs = docs.filter(F.col(id_col).isNotNull())
-    levels = shingle_levels(docs, words, cells, text_col)
-    points = stored(prefixes(docs, levels, words, similarity, id_col, text_col), "prefixes")
-    met = points.select("node", "n", F.posexplode("prefix").alias("place", "key"))
+    levels, shingles = shingle_levels(docs, words, cells, text_col)
+    buckets = int(shingles * (1 - similarity)) // BUCKET + 12
+    firsts = prefixes(docs, levels, buckets, words, similarity, id_col, text_col)
+    met = stored(shared_prefixes(stored(firsts, "prefixes")), "shared-prefixes")
 
     def near(a: dict[str, Column], b: dict[str, Column]) -> Column:
         # common shingles from the first one on, which is this key for one key of the pair
