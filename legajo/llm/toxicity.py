@@ -30,6 +30,8 @@ LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 PREFIXES = (6, 5, 4)
 #: What every word loses, so that chance segments stay short.
 DRIFT = 1.0
+#: Words whose score a task remembers; most words are rare, so more would save little.
+MEMO = 50_000
 
 
 def units(word: str) -> list[str]:
@@ -91,7 +93,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.memo = model, Memo(model.word_score)
+        self.model, self.memo = model, Memo(model.word_score, MEMO)
 
     def scores(self, text: str) -> np.ndarray:
         tokens = text.lower().split()
