@@ -15,7 +15,7 @@ from legajo.operators import registry as reg
 from legajo.operators import requests as req
 from legajo.plans.bindings import table
 from legajo.plans.catalog import register
-from legajo.plans.stream_queries import new_folder
+from legajo.session import shared_folder
 from legajo.sources import files as fil
 
 
@@ -187,7 +187,7 @@ FROM (SELECT concat(coalesce(string_agg(c_name, chr(10) ORDER BY c_name), ''), c
 )
 def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files written per nation to the shared folder, then listed and summed."""
-    folder = new_folder(spark)
+    folder = shared_folder(spark, "stream")
     customers = table(spark, sf_dir, "customer")
     lines = customers.groupBy("c_nationkey").agg(
         F.array_join(F.array_sort(F.collect_list("c_name")), "\n").alias("value")

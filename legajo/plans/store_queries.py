@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from legajo.plans.bindings import table
 from legajo.plans.catalog import register
-from legajo.plans.stream_queries import new_folder
+from legajo.session import shared_folder
 from legajo.sources import files as fil
 from legajo.sources import stores as sto
 
@@ -22,7 +22,7 @@ FROM documents d LEFT JOIN labels l USING (doc_id)""",
 )
 def stored_ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written by hash prefix, labelled ones again later; last write read."""
-    folder = new_folder(spark)
+    folder = shared_folder(spark, "stream")
     results = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("document_id"),
         F.sha2("text", 256).alias("file_hash"),
@@ -87,7 +87,7 @@ def delimited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def logged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs appended under generated ids, options redacted, other keys in extra."""
-    folder = new_folder(spark)
+    folder = shared_folder(spark, "stream")
     options = F.map_filter(
         F.create_map(
             F.lit("api_key"), F.lit("secreto"), F.lit("priority"), F.col("o_orderpriority"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,17 +9,11 @@ from legajo.operators.registry import content_hash
 from legajo.plans.bindings import table
 from legajo.plans.catalog import TWINS, register
 from legajo.plans.progress_queries import progress_events
-from legajo.session import ensure_checkpoint_dir
+from legajo.session import shared_folder
 from legajo.streaming import intake
 from legajo.streaming import progress as live
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-
-
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream of its files."""
     schema = table(spark, sf_dir, name).schema
@@ -35,7 +27,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register("streamed_progress_report", "K1 K2 K3 K4 A15 A16", TWINS["progress_report"])
 def streamed_progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The progress report from the stateful stream, equal to the batch form."""
-    folder = new_folder(spark)
+    folder = shared_folder(spark, "stream")
     report = live.stream_report(progress_events(table_stream(spark, sf_dir, "events")))
     live.write_log(report, f"{folder}/log", f"{folder}/state", every=None).awaitTermination()
     return spark.read.schema(live.REPORT).json(f"{folder}/log")
@@ -48,15 +40,38 @@ def streamed_progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def streamed_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents registered as they stream in, once per case and content."""
-    folder = new_folder(spark)
+    folder = shared_folder(spark, "stream")
     arrivals = table_stream(spark, sf_dir, "documents").select(
         F.col("source").alias("case_id"),
         content_hash("text").alias("file_hash"),
         F.col("doc_id").alias("document_id"),
     )
     intake.register_stream(arrivals, f"{folder}/store", f"{folder}/state").awaitTermination()
-    rows = spark.read.schema("case_id STRING, file_hash STRING, document_id BIGINT")
-    return rows.parquet(f"{folder}/store/batch=*")
+    return spark.read.parquet(f"{folder}/store")
+
+
+@register(
+    "streamed_file_registrations",
+    "K5 C1 C2 A1",
+    """SELECT DISTINCT concat('case=', s_nationkey) AS case_id,
+  sha256(concat('rating ', CAST(floor(s_acctbal / 1000) AS BIGINT), chr(10))) AS file_hash FROM supplier""",
+)
+def streamed_file_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files found as they appear, several to a micro-batch, registered once per case and content."""
+    folder = shared_folder(spark, "stream")
+    notes = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").alias("case"),
+        F.concat(F.lit("rating "), F.floor(F.col("s_acctbal") / 1000)).alias("value"),
+    )
+    (
+        notes.repartition("case")
+        .write.option("maxRecordsPerFile", 1)
+        .partitionBy("case")
+        .text(f"{folder}/uploads")
+    )
+    arrivals = intake.arriving_files(spark, f"{folder}/uploads", "upload", files_per_trigger=1000)
+    intake.register_stream(arrivals, f"{folder}/store", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/store").select("case_id", "file_hash")
 
 
 @register(
@@ -69,20 +84,12 @@ SELECT user_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS stored_us FROM store
 )
 def streamed_expiring_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries the expiring dedupe stores over the whole stream."""
-    folder = new_folder(spark)
+    folder = shared_folder(spark, "stream")
     events = table_stream(spark, sf_dir, "events").select(
         "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")
     )
-    admitted = intake.expiring_dedupe(events, ["user_id", "event_type"])
-    (
-        admitted.writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/state")
-        .option("path", f"{folder}/rows")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    rows = spark.read.schema("user_id BIGINT, event_type STRING, ts TIMESTAMP")
-    return rows.parquet(f"{folder}/rows").select(
-        "user_id", "event_type", F.unix_micros("ts").alias("stored_us")
+    keys = ["user_id", "event_type"]
+    intake.expiring_dedupe(events, keys, f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return intake.stored_entries(spark, f"{folder}/rows", events.schema).select(
+        *keys, F.unix_micros("ts").alias("stored_us")
     )

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import islice
+import sys
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from legajo.operators.admission import admitted
 from legajo.operators.cases import latest_status
 from legajo.operators.registry import content_hash
 from legajo.sources.files import supported
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def arriving_files(spark: SparkSession, folder: str, profile: str = "organiser") -> DataFrame:
+
+def arriving_files(
+    spark: SparkSession, folder: str, profile: str = "organiser", files_per_trigger: int | None = None
+) -> DataFrame:
     """Supported files as they appear, with the hash of their bytes; case = folder."""
+    limit = {"maxFilesPerTrigger": files_per_trigger} if files_per_trigger else {}
     files = (
         spark.readStream.format("binaryFile")
+        .options(**limit)
         .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
         .option("recursiveFileLookup", "true")
         .load(folder)
@@ -35,120 +44,164 @@ def arriving_files(spark: SparkSession, folder: str, profile: str = "organiser")
     )
 
 
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; the session stays as it was."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class FirstArrival(StatefulProcessor):
+    """State of one (case, content): the id it was registered with.  Only the first is passed on."""
+
+    def __init__(self, id_type: T.DataType, ttl_ms: int | None):
+        self.id_type, self.ttl_ms = id_type, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        schema = T.StructType([T.StructField("document_id", self.id_type)])
+        self.registered = handle.getValueState("registered", schema, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best = None
+        for part in rows:
+            first = part.sort_values("arrived", kind="stable").iloc[:1]
+            if best is None or first["arrived"].iloc[0] < best["arrived"].iloc[0]:
+                best = first
+        if best is None or self.registered.exists():
+            return
+        self.registered.update((best["document_id"].iloc[0],))
+        yield best.drop(columns=["arrived"])
+
+    def close(self) -> None:
+        pass
+
+
+# executors get this module's classes and functions with the job and need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def firsts_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The earliest row of each (case, content) of every Arrow batch, so that copies meet as few rows."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch]).sort_by("arrived")
+        first = table.group_by(["case_id", "file_hash"], use_threads=False).aggregate(
+            [("document_id", "first"), ("arrived", "first")]
+        )
+        named = first.select(["case_id", "file_hash", "document_id_first", "arrived_first"])
+        yield from named.rename_columns(batch.schema.names).cast(batch.schema).to_batches()
+
+
+def registrations(
+    arrivals: DataFrame, order: str = "document_id", ttl_days: float | None = None
+) -> DataFrame:
+    """(case_id, file_hash, document_id) of the first arrival of each case and content.
+
+    A keyed state remembers what is registered, in RocksDB on the executors and with the
+    changes of a micro-batch in its checkpoint; nothing stored is read again.  Inside a
+    micro-batch the earliest row by ``order`` (not null) wins.  With ``ttl_days`` a
+    registration is forgotten so long after it was made.  Null case and hash are keys too.
+    """
+    rows = arrivals.select("case_id", "file_hash", "document_id", F.col(order).alias("arrived"))
+    ttl_ms = None if ttl_days is None else int(ttl_days * 24 * 3600 * 1000)
+    output = T.StructType([f for f in rows.schema.fields if f.name != "arrived"])
+    return (
+        rows.mapInArrow(firsts_of_batches, rows.schema)
+        .groupBy("case_id", "file_hash")
+        .transformWithStateInPandas(
+            statefulProcessor=FirstArrival(rows.schema["document_id"].dataType, ttl_ms),
+            outputStructType=output,
+            outputMode="append",
+            timeMode="none" if ttl_ms is None else "processingTime",
+        )
+    )
+
+
 def register_stream(
     arrivals: DataFrame,
     store: str,
     checkpoint: str,
     order: str = "document_id",
     trigger: dict | None = None,
+    ttl_days: float | None = None,
 ) -> StreamingQuery:
     """Register each (case_id, file_hash) once, whatever is retried or re-sent.
 
-    Every micro-batch writes its own folder of the store, so a replayed batch
-    overwrites its own rows and nothing else.
+    The file sink's own log lists the files of finished micro-batches, so a replayed batch
+    adds nothing.  Read the store with ``spark.read.parquet``.  With ``ttl_days`` the query
+    runs on, so it needs a trigger that does not end.
     """
-
-    def register(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = batch.groupBy("case_id", "file_hash").agg(
-            F.min_by("document_id", order).alias("document_id")
-        )
-        known = _stored(spark, store, before=batch_id)
-        fresh = first if known is None else first.join(
-            known, ["case_id", "file_hash"], "left_anti"
+    trigger = trigger or {"availableNow": True}
+    if ttl_days is not None and "processingTime" not in trigger:
+        raise ValueError("with ttl_days no trigger that ends: give one of processingTime")
+    with state_in_rocksdb(arrivals.sparkSession):
+        return (
+            registrations(arrivals, order, ttl_days)
+            .writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .option("path", store)
+            .trigger(**trigger)
+            .start()
         )
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-
-    return (
-        arrivals.writeStream.foreachBatch(register)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
-def _stored(spark: SparkSession, store: str, before: int) -> DataFrame | None:
-    """Keys registered by earlier batches; None when there is none yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if before == 0 or not system.exists(path):
-        return None
-    schema = "case_id STRING, file_hash STRING, batch INT"
-    return (
-        spark.read.schema(schema)
-        .option("basePath", store)
-        .parquet(store)
-        .filter(F.col("batch") < before)
-        .select("case_id", "file_hash")
-    )
-
-
-#: Times of one key that are held in memory at once; more are sorted in pieces on disk.
-HELD_TIMES = 1 << 20
-
-
-def sorted_runs(parts: Iterable[np.ndarray], file, held: int) -> list[np.ndarray]:
-    """The times of all parts as sorted arrays: what exceeds ``held`` is kept in the file."""
-    waiting: list[np.ndarray] = []
-    sizes: list[int] = []
-    n = 0
-    for part in parts:
-        waiting.append(part)
-        n += len(part)
-        if n >= held:
-            run = np.sort(np.concatenate(waiting))
-            file.write(run.tobytes())
-            sizes.append(n)
-            waiting, n = [], 0
-    runs = [np.sort(np.concatenate(waiting))] if n else []
-    if sizes:
-        file.flush()
-        whole = np.memmap(file, np.int64, "r")
-        runs += np.split(whole, np.cumsum(sizes)[:-1])
-    return runs
-
-
-def storing_times(runs: list[np.ndarray], last: int | None, valid: int) -> Iterator[int]:
-    """The times that store an entry: each is the first more than ``valid`` behind the one before."""
-    while True:
-        behind = [0 if last is None else run.searchsorted(last + valid, "right") for run in runs]
-        later = [int(run[i]) for run, i in zip(runs, behind, strict=True) if i < len(run)]
-        if not later:
-            return
-        last = min(later)
-        yield last
 
 
 def expiring_dedupe(
-    events: DataFrame, keys: Sequence[str], at: str = "ts", hours: float = 24
-) -> DataFrame:
-    """(keys, at) of the events that find no valid entry of their key and store a new one.
+    events: DataFrame,
+    keys: Sequence[str],
+    store: str,
+    checkpoint: str,
+    at: str = "ts",
+    hours: float = 24,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Write (keys, at) of the events that find no valid entry of their key and store a new one.
+
+    An entry is valid for ``hours`` from the event that stored it; null keys are keys too,
+    null times never store.  The events of a key must come in time order from one
+    micro-batch to the next, inside one in any order; an event older than the entry in
+    force counts as a repeat.
 
-    An entry is valid for ``hours`` from the event that stored it.  State is the
-    time of the last stored entry per key; null keys are keys too.  The events of a
-    key must come in time order from one micro-batch to the next (inside one they
-    are ordered here; times beyond ``HELD_TIMES`` of a key wait in a temporary file);
-    an event older than the entry in force counts as a repeat.  Null times never store.
+    A micro-batch is admitted as a whole (``operators.admission``), so a hot key is spread.
+    Between batches stays a snapshot of the entries that may still be valid.  A batch
+    writes its own folder of entries and one of two snapshots, and reads the other: run
+    again, it overwrites the same.
     """
-    valid = pd.Timedelta(hours=hours) // pd.Timedelta(microseconds=1)
     schema = events.select(*keys, at).schema
 
-    def admit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState):
-        times = (p[at].dropna().to_numpy("datetime64[us]").view(np.int64) for p in parts)
-        with tempfile.SpooledTemporaryFile(1) as file:  # on disk once written
-            runs = sorted_runs(times, file, HELD_TIMES)
-            found = storing_times(runs, state.get[0] if state.exists else None, valid)
-            while stored := list(islice(found, 10_000)):
-                state.update((stored[-1],))
-                yield pd.DataFrame(
-                    [(*key, pd.Timestamp(time, unit="us")) for time in stored], columns=[*keys, at]
-                )
-
-    return events.groupBy(*keys).applyInPandasWithState(
-        admit, schema, "last bigint", "append", GroupStateTimeout.NoTimeout
+    def admit(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = None
+        if batch_id:
+            before = session.read.schema(schema).parquet(f"{checkpoint}/entries/{(batch_id - 1) % 2}")
+        folder = f"{store}/batch={batch_id}"
+        admitted(batch, keys, at, hours, before).write.mode("overwrite").parquet(folder)
+        fresh = session.read.schema(schema).parquet(folder)
+        both = fresh if before is None else fresh.unionByName(before)
+        newest = batch.agg(F.max(at)).first()[0]
+        latest = both.groupBy(*keys).agg(F.max(at).alias(at))
+        if newest is not None:  # later events are not older than this
+            latest = latest.filter(F.col(at) >= F.lit(newest) - F.expr(f"INTERVAL {hours} HOURS"))
+        latest.write.mode("overwrite").parquet(f"{checkpoint}/entries/{batch_id % 2}")
+
+    return (
+        events.select(*keys, at)
+        .writeStream.foreachBatch(admit)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
 
 
+def stored_entries(spark: SparkSession, store: str, schema: T.StructType | str) -> DataFrame:
+    """The entries written so far."""
+    return spark.read.schema(schema).parquet(f"{store}/batch=*")
+
+
 def live_status(states: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Latest state per process, for output mode 'update'."""
     return latest_status(states, key, order)

@@ -9,7 +9,7 @@ from legajo.functions.values import clean_amount, number_text
 from legajo.operators import classify, extract, feedback, findings, maintain, organise
 from legajo.operators.scaling import running_last
 from legajo.sources import files
-from legajo.streaming.intake import expiring_dedupe
+from legajo.streaming.intake import expiring_dedupe, stored_entries
 
 
 def column(spark, values, kind="string"):
@@ -129,16 +129,10 @@ def test_expiring_dedupe_in_any_layout(spark, tmp_path, per_batch):
         .option("recursiveFileLookup", "true")
         .parquet(str(tmp_path / "in"))
     )
-    query = (
-        expiring_dedupe(events, ["key"])
-        .writeStream.format("parquet")
-        .option("checkpointLocation", str(tmp_path / f"state{per_batch}"))
-        .option("path", str(tmp_path / f"out{per_batch}"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / f"out{per_batch}")).collect()
+    out = str(tmp_path / f"out{per_batch}")
+    expiring_dedupe(events, ["key"], out, str(tmp_path / f"state{per_batch}")).awaitTermination()
+    got = stored_entries(spark, out, events.schema).collect()
+    assert len(got) == 8
     for key in ("k", None):
         times = sorted((r["ts"] - start).total_seconds() / 3600 for r in got if r["key"] == key)
         assert times == [0, 25, 50, 75]

@@ -1,11 +1,16 @@
 """Streams over several micro-batches against their batch forms."""
 
 import json
+import random
 import shutil
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from legajo.operators import admission
 from legajo.operators import progress as prg
+from legajo.operators.scaling import ranged_pieces
 from legajo.schemas import PROGRESS_EVENTS
 from legajo.streaming import intake
 from legajo.streaming import progress as live
@@ -62,40 +67,95 @@ def test_files_stream_in_with_their_hash(spark, tmp_path):
     assert [(r.case_id, r.document_id.rsplit("/", 1)[1]) for r in rows] == [("CASE-1", "a.pdf")]
 
 
-def test_times_of_a_hot_key_wait_on_disk(spark, tmp_path, monkeypatch):
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    parts = [rng.integers(0, 10**7, n) for n in (0, 400, 1, 700, 300, 90, 5)]
-    want, last = [], None
-    for time in sorted(np.concatenate(parts).tolist()):
-        if last is None or time - last > 50_000:
-            want.append(time)
-            last = time
-    for held in (1, 500, 10**6):
-        with open(tmp_path / f"runs{held}", "w+b") as file:
-            runs = intake.sorted_runs(iter(parts), file, held)
-            assert sum(len(r) for r in runs if not isinstance(r, np.memmap)) < held
-            assert list(intake.storing_times(runs, None, 50_000)) == want
-            assert list(intake.storing_times(runs, want[3], 50_000)) == want[4:]
-    # a whole stream, whose key is beyond the bound
-    monkeypatch.setattr(intake, "HELD_TIMES", 1000)
-    rows = spark.range(30_000).select(
-        F.lit("k").alias("k"), F.timestamp_micros(F.col("id") * 7919 % 30_000 * 60_000_000).alias("ts")
+def test_registrations_in_any_layout(spark, tmp_path):
+    """One file to a micro-batch, or all at once: the same registrations, null keys too."""
+    rows = [("c", f"h{i % 7}", i) for i in range(60)] + [(None, "h1", 61), (None, "h1", 62), ("c", None, 63)]
+    schema = "case_id STRING, file_hash STRING, document_id BIGINT"
+    for n in range(0, len(rows), 21):
+        part = spark.createDataFrame(rows[n:n + 21], schema).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in" / f"{n:03d}"))
+    results = []
+    for per_batch in (1, 10):
+        arrivals = (
+            spark.readStream.schema(schema)
+            .option("maxFilesPerTrigger", per_batch)
+            .option("recursiveFileLookup", "true")
+            .parquet(str(tmp_path / "in"))
+        )
+        store = str(tmp_path / f"store{per_batch}")
+        intake.register_stream(arrivals, store, str(tmp_path / f"cp{per_batch}")).awaitTermination()
+        found = spark.read.parquet(store).select("case_id", "file_hash", "document_id").collect()
+        results.append(sorted(map(tuple, found), key=str))
+    want = [("c", f"h{i}", i) for i in range(7)] + [(None, "h1", 61), ("c", None, 63)]
+    assert results == [sorted(want, key=str)] * 2
+    state = "spark.sql.streaming.stateStore.providerClass"
+    assert "RocksDB" not in spark.conf.get(state)  # the session keeps its own setting
+
+
+def test_registrations_expire(spark, tmp_path):
+    """A registration older than its time to live is made again."""
+    schema = "case_id STRING, file_hash STRING, document_id BIGINT"
+    source, store = str(tmp_path / "in"), tmp_path / "store"
+
+    def arrive(n):
+        spark.createDataFrame([("c", "h", n)], schema).coalesce(1).write.mode("append").parquet(f"{source}/{n}")
+
+    def registered(n):
+        end = time.time() + 60
+        while time.time() < end:
+            if list(store.glob("*.parquet")):
+                found = [r["document_id"] for r in spark.read.schema(schema).parquet(str(store)).collect()]
+                if len(found) >= n:
+                    return sorted(found)
+            time.sleep(0.5)
+        return None
+
+    arrive(0)
+    arrivals = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
+    with pytest.raises(ValueError, match="ends"):
+        intake.register_stream(arrivals, str(store), str(tmp_path / "cp"), ttl_days=1)
+    query = intake.register_stream(
+        arrivals, str(store), str(tmp_path / "cp"), trigger={"processingTime": "1 second"},
+        ttl_days=1 / 86_400,
     )
-    rows.write.parquet(str(tmp_path / "in"))
-    events = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in"))
-    query = (
-        intake.expiring_dedupe(events, ["k"])
-        .writeStream.format("parquet")
-        .option("checkpointLocation", str(tmp_path / "cp"))
-        .option("path", str(tmp_path / "out"))
-        .trigger(availableNow=True)
-        .start()
+    try:
+        assert registered(1) == [0]
+        time.sleep(2)
+        arrive(1)
+        assert registered(2) == [0, 1]
+    finally:
+        query.stop()
+
+
+def test_admission_chain_of_a_hot_key(spark):
+    """Two thirds of the events in one key, against a walk; the hot key lies in many pieces."""
+    rng = random.Random(4)
+    rows = [("hot", rng.randrange(10**9)) for _ in range(4000)]
+    rows += [(f"k{rng.randrange(30)}", rng.randrange(10**9)) for _ in range(2000)]
+    rows += [(None, t) for t in (5, 5, 10**8, 3 * 10**8)] + [("empty", None)]
+    frame = spark.createDataFrame(rows, "k STRING, s BIGINT").select(
+        "k", F.timestamp_micros(F.col("s") * 1000).alias("ts")
     )
-    query.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).select(F.unix_micros("ts") / 60_000_000).collect()
-    assert sorted(int(r[0]) for r in got) == list(range(0, 30_000, 24 * 60 + 1))
+    for last in (None, {"hot": 3 * 10**8, "k1": 10**12, "elsewhere": 5}):
+        held = None if last is None else spark.createDataFrame(
+            list(last.items()), "k STRING, s BIGINT"
+        ).select("k", F.timestamp_micros(F.col("s") * 1000).alias("ts"))
+        hours = 1 / 3.6  # a million milliseconds
+        got = admission.admitted(frame, ["k"], "ts", hours, held)
+        got = sorted(((r[0], r[1]) for r in got.select("k", F.unix_millis("ts")).collect()), key=str)
+        want, entry = [], dict(last or {})
+        for k, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[1]):
+            if k not in entry or t > entry[k] + 10**6:
+                want.append((k, t))
+                entry[k] = t
+        assert got == sorted(want, key=str)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = ranged_pieces(frame, ["k"], ["ts"])
+        most = cut.groupBy("k", "_piece").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert most <= 2 * len(rows) / 8
 
 
 def test_live_status_keeps_the_latest(spark):
