@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.fixed_values import (
@@ -46,43 +46,70 @@ def default_lexicon() -> list[Rule]:
 
 
 # --- scoring ------------------------------------------------------------------
-def _confidence(rule: Rule, text: Column, name: Column) -> Column:
-    """Confidence of one type, null when a gate or the threshold rejects it."""
-    weight = F.lit(0)
-    name_hits = F.lit(0)
+def _counts(rule: Rule, text: Column, name: Column) -> Column:
+    """What of one type was found, in one long: weight, hits in the name only, optional terms, gates."""
+    weight, name_hits, passes = F.lit(0), F.lit(0), F.lit(True)
     for term in rule.keywords:
         in_text, in_name = text.contains(term.lower()), name.contains(term.lower())
         weight = weight + F.when(in_text, 2).when(in_name, 1).otherwise(0)
         name_hits = name_hits + (~in_text & in_name).cast("int")
+    for term in rule.must_have:
+        passes = passes & (text.contains(term.lower()) | name.contains(term.lower()))
+    passes = passes & ~contains_any(text, [t.lower() for t in rule.exclude])
     optional = count_hits([text], [t.lower() for t in rule.may_have])
+    total = F.lit(0).cast("bigint")
+    for place, part in enumerate((weight, name_hits, optional, passes.cast("int"))):
+        total = total + F.shiftleft(part.cast("bigint"), 12 * place)
+    return total
+
+
+def _confidence(rule: Rule, counts: Column) -> Column:
+    """Confidence of one type, null when a gate or the threshold rejects it."""
+    weight, names, optional, passes = (
+        F.shiftright(counts, 12 * place).bitwiseAND(F.lit(4095)) for place in range(4)
+    )
     possible = 2 * len(rule.keywords) + len(rule.may_have)
     if possible:
         score = F.least((weight + optional * 0.5) / F.lit(float(possible)), F.lit(1.0))
     else:
         score = F.lit(0.5 if rule.must_have else 0.0)
-    if rule.must_have:
-        score = F.greatest(score, F.lit(0.3))
-    blank = strip(text) == ""
-    score = F.when((name_hits > 0) & blank, F.greatest(score, F.lit(0.3))).otherwise(score)
-    passes = score > F.when(name_hits > 0, 0.15).otherwise(0.2)
-    for term in rule.must_have:
-        passes = passes & (text.contains(term.lower()) | name.contains(term.lower()))
-    passes = passes & ~contains_any(text, [t.lower() for t in rule.exclude])
-    return F.when(passes, score)
+    floor = F.lit(0.3) if rule.must_have else F.when((names > 0) & F.col("_blank"), 0.3).otherwise(0.0)
+    score = F.greatest(score, floor)
+    return F.when((passes > 0) & (score > F.when(names > 0, 0.15).otherwise(0.2)), score)
 
 
-def _reasons(rule: Rule, text: Column, name: Column) -> Column:
-    """One sentence per hit: required terms, keywords, optional terms."""
-    found = [F.lit(f"Contiene '{t}' (requerido)") for t in rule.must_have]
-    for term in rule.keywords:
-        found.append(
-            F.when(text.contains(term.lower()), F.lit(f"texto: '{term}'")).when(
-                name.contains(term.lower()), F.lit(f"nombre: '{term}'")
-            )
+def _reasons(rules: Sequence[Rule], text: Column, name: Column, place: Column) -> Column:
+    """One sentence per hit of the rule at a place: required terms, keywords, optional terms.
+
+    The terms are literal rows looked up by the place, so the plan holds one expression.
+    """
+    terms = F.get(
+        F.array(
+            *[
+                F.array(
+                    *[
+                        F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("term"), F.lit(t.lower()).alias("low"))
+                        for kind, some in (("must", r.must_have), ("key", r.keywords), ("may", r.may_have))
+                        for t in some
+                    ]
+                ).cast("array<struct<kind:string,term:string,low:string>>")
+                for r in rules
+            ]
+        ),
+        place,
+    )
+
+    def sentence(at: Column) -> Column:
+        in_text, in_name = text.contains(at["low"]), name.contains(at["low"])
+        quoted = F.concat(at["term"], F.lit("'"))
+        return (
+            F.when(at["kind"] == "must", F.concat(F.lit("Contiene '"), quoted, F.lit(" (requerido)")))
+            .when((at["kind"] == "key") & in_text, F.concat(F.lit("texto: '"), quoted))
+            .when((at["kind"] == "key") & in_name, F.concat(F.lit("nombre: '"), quoted))
+            .when((at["kind"] == "may") & in_text, F.concat(F.lit("puede tener: '"), quoted))
         )
-    for term in rule.may_have:
-        found.append(F.when(text.contains(term.lower()), F.lit(f"puede tener: '{term}'")))
-    return F.array_compact(F.array(*found))
+
+    return F.array_compact(F.transform(terms, sentence))
 
 
 def classify(
@@ -97,18 +124,17 @@ def classify(
     scores = F.array(
         *[
             F.struct(
-                _confidence(rule, low_text, low_name).alias("confidence"),
+                _confidence(rule, F.col(f"_counts{position}")).alias("confidence"),
                 F.lit(-position).alias("place"),
                 F.lit(rule.type_name).alias("type"),
             )
             for position, rule in enumerate(rules)
         ]
     )
-    reasons = F.array(F.lit(NO_TYPE_REASON))
-    for rule in reversed(rules):
-        reasons = F.when(
-            F.col("document_type") == rule.type_name, _reasons(rule, low_text, low_name)
-        ).otherwise(reasons)
+    found = F.col("_best.confidence").isNotNull()
+    reasons = F.when(found, _reasons(rules, low_text, low_name, -F.col("_best.place"))).otherwise(
+        F.array(F.lit(NO_TYPE_REASON))
+    )
     scored = (
         documents.withColumns(
             {
@@ -116,6 +142,8 @@ def classify(
                 "_name": F.lower(F.coalesce(F.col(name), F.lit(""))),
             }
         )
+        .withColumn("_blank", strip("_text") == "")
+        .withColumns({f"_counts{i}": _counts(r, low_text, low_name) for i, r in enumerate(rules)})
         .withColumn("_best", F.array_max(scores))
         .withColumns(
             {
@@ -134,7 +162,7 @@ def classify(
             (F.col("document_type") == SUBNUMBERED) & note.isNotNull(),
             F.array_append("reasons", note),
         ).otherwise(F.col("reasons")),
-    ).drop("_text", "_name", "_best")
+    ).drop("_text", "_name", "_best", "_blank", *[f"_counts{i}" for i in range(len(rules))])
 
 
 # --- recipient ------------------------------------------------------------------
@@ -214,10 +242,10 @@ def fallback_requests(
         key,
         F.concat_ws(
             "\n",
-            F.lit("TIPOS PERMITIDOS:"),
+            F.lit("Elige uno de estos tipos de documento:"),
             F.lit(type_guide(lexicon)),
             F.concat(F.lit("Archivo: "), F.col(name)),
-            F.lit("Contenido (muestra):"),
+            F.lit("Texto del documento:"),
             shown,
         ).alias("prompt"),
     )
@@ -276,14 +304,12 @@ def type_priority(kind: str, profile: str = "class") -> Column:
 def type_distribution(classified: DataFrame, profile: str = "module") -> DataFrame:
     """Count and percent per type, in priority order (99 when unknown)."""
     counts = classified.groupBy("document_type").agg(F.count(F.lit(1)).alias("n"))
-    total = classified.agg(F.count(F.lit(1)).alias("total"))
-    # one-row side, so the broadcast is bounded whatever the data
+    whole = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row per type
     return (
-        counts.crossJoin(F.broadcast(total))
-        .select(
+        counts.select(
             "document_type",
             "n",
-            F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("percent"),
+            F.round(F.col("n") * 100.0 / whole, 1).alias("percent"),
             type_priority("document_type", profile).alias("priority"),
         )
         .orderBy("priority", "document_type")

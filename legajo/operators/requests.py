@@ -122,7 +122,7 @@ def validation_requests(consolidated: DataFrame) -> DataFrame:
         "case_id",
         F.concat_ws(
             "\n",
-            F.lit("DATOS CONSOLIDADOS:"),
+            F.lit("Valores reunidos del caso:"),
             F.array_join(lines, "\n"),
             F.concat(F.lit("DOCUMENTOS: "), F.col("n_documents")),
             F.concat(F.lit("TIPOS: "), F.array_join("document_types", ", ")),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legajo.fixed_values import NO_TYPE_REASON, PRIORITY_PROFILES, UNKNOWN_TYPE_REASON
+from legajo.fixed_values import (
+    NO_TYPE_REASON,
+    PRIORITY_PROFILES,
+    RECIPIENT_PATTERNS,
+    UNKNOWN_TYPE_REASON,
+)
 from legajo.operators import classify as cls
 from legajo.operators import organise as org
 from legajo.plans.bindings import table
@@ -34,15 +39,23 @@ def _list(terms) -> str:
     return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in terms) + "]::VARCHAR[]"
 
 
-_LEXICON = ",\n".join(
-    f"({i}, '{r.type_name}', {_list(r.keywords)}, {_list(r.must_have)}, "
-    f"{_list(r.may_have)}, {_list(r.exclude)})"
-    for i, r in enumerate(DOCUMENT_LEXICON)
-)
+def _lexicon_sql(rules) -> str:
+    """The rules as rows; terms in lower case, and as they are written."""
+    return ",\n".join(
+        f"({i}, '{r.type_name}', {_list(t.lower() for t in r.keywords)}, "
+        f"{_list(t.lower() for t in r.must_have)}, {_list(t.lower() for t in r.may_have)}, "
+        f"{_list(t.lower() for t in r.exclude)})"
+        for i, r in enumerate(rules)
+    )
+
+
 _NAMED = """named AS (SELECT doc_id, source, text, concat(source, '_', doc_id, '.pdf') AS filename,
           lower(text) AS t, lower(concat(source, '_', doc_id, '.pdf')) AS n FROM documents)"""
-CLASSIFIED = f"""WITH lexicon(place, type_name, kw, must, may, excl) AS (VALUES {_LEXICON}),
-{_NAMED},
+
+
+def _classified_sql(rules, named: str) -> str:
+    return f"""WITH lexicon(place, type_name, kw, must, may, excl) AS (VALUES {_lexicon_sql(rules)}),
+{named},
 hits AS (SELECT *,
     list_transform(kw, lambda k: CASE WHEN contains(t, k) THEN 2 WHEN contains(n, k) THEN 1 ELSE 0 END) AS w,
     len(list_filter(may, lambda k: contains(t, k))) AS n_may,
@@ -71,6 +84,9 @@ classified AS (SELECT d.doc_id, d.source, d.text, d.filename,
 """
 
 
+CLASSIFIED = _classified_sql(DOCUMENT_LEXICON, _NAMED)
+
+
 @register(
     "classified_documents",
     "E1 E2 E3 E4 E5 E6 E7 E8",
@@ -87,6 +103,87 @@ def classified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SHIPPED = cls.default_lexicon()
+_GUIDES = [r.type_name for r in _SHIPPED].index(cls.SUBNUMBERED)
+
+
+def _terms(column: str) -> list[list[str]]:
+    return [list(getattr(rule, column)) for rule in _SHIPPED]
+
+
+def _nested(column: str) -> str:
+    return "[" + ", ".join(_list(terms) for terms in _terms(column)) + "]"
+
+
+def claim_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with terms of one of the shipped types written below it.
+
+    The type goes by doc_id; two of 18 documents get none.  Every fifth document has its
+    first keyword in the file name, every seventh no text of its own.
+    """
+    kind = F.pmod("doc_id", F.lit(18)).cast("int")
+
+    def of_kind(column: str) -> Column:
+        lists = F.array(*[F.array(*[F.lit(t) for t in terms]).cast("array<string>") for terms in _terms(column)])
+        return F.coalesce(F.get(lists, kind), F.array().cast("array<string>"))
+
+    def some(column: str, step: int) -> Column:
+        return F.filter(of_kind(column), lambda _, i: F.pmod(i + F.col("doc_id"), F.lit(step)) != 0)
+
+    written = F.concat_ws(
+        "\n",
+        F.when(F.col("doc_id") % 7 != 0, F.col("text")).otherwise(""),
+        F.array_join(of_kind("must_have"), " y "),
+        F.array_join(some("keywords", 3), ", "),
+        F.array_join(some("may_have", 2), "; "),
+        F.when(kind == _GUIDES, F.concat(F.lit("Destinatario: CLIENTE "), "doc_id")),
+    )
+    first = F.when(F.col("doc_id") % 5 == 0, F.get(of_kind("keywords"), F.lit(0)))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "source",
+        written.alias("text"),
+        F.concat_ws("_", F.lit("doc"), first, F.concat("doc_id", F.lit(".pdf"))).alias("filename"),
+    )
+
+
+_LETTERS = f"""picked AS (SELECT *, doc_id % 18 AS kind,
+    coalesce(list_extract({_nested('must_have')}, (doc_id % 18 + 1)::INT), []::VARCHAR[]) AS p_must,
+    coalesce(list_extract({_nested('keywords')}, (doc_id % 18 + 1)::INT), []::VARCHAR[]) AS p_kw,
+    coalesce(list_extract({_nested('may_have')}, (doc_id % 18 + 1)::INT), []::VARCHAR[]) AS p_may FROM documents),
+lettered AS (SELECT doc_id, source, concat_ws(E'\n', CASE WHEN doc_id % 7 <> 0 THEN text ELSE '' END,
+    array_to_string(p_must, ' y '),
+    array_to_string(list_filter(p_kw, lambda x, i: (i - 1 + doc_id) % 3 <> 0), ', '),
+    array_to_string(list_filter(p_may, lambda x, i: (i - 1 + doc_id) % 2 <> 0), '; '),
+    CASE WHEN kind = {_GUIDES} THEN concat('Destinatario: CLIENTE ', doc_id) END) AS text,
+  concat_ws('_', 'doc', CASE WHEN doc_id % 5 = 0 THEN p_kw[1] END, concat(doc_id, '.pdf')) AS filename FROM picked),
+named AS (SELECT *, lower(text) AS t, lower(filename) AS n FROM lettered)"""
+_RECIPIENT = "coalesce(" + ", ".join(
+    f"CASE WHEN length(trim(regexp_extract(text, '(?i){p}', 1), E' \\t\\r')) BETWEEN 4 AND 99 "
+    f"THEN trim(regexp_extract(text, '(?i){p}', 1), E' \\t\\r') END"
+    for p in RECIPIENT_PATTERNS
+) + ")"
+
+
+@register(
+    "classified_letters",
+    "E1 E2 E3 E4 E5 E6 E7 E8 E11",
+    _classified_sql(_SHIPPED, _LETTERS)
+    + f"""SELECT doc_id, document_type, round(confidence, 6) AS confidence,
+  concat_ws(' | ', reasons, CASE WHEN document_type = '{cls.SUBNUMBERED}'
+    THEN concat('Destinatario detectado: ', {_RECIPIENT}) END) AS reasons
+FROM classified""".replace("concat('Destinatario detectado: ', ", "('Destinatario detectado: ' || "),
+)
+def classified_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type, confidence and reasons by the shipped lexicon, all its types reached."""
+    return cls.classify(claim_letters(spark, sf_dir)).select(
+        "doc_id",
+        "document_type",
+        F.round("confidence", 6).alias("confidence"),
+        F.array_join("reasons", " | ").alias("reasons"),
+    )
+
+
 _COUNTED = " , ".join(
     f"({' + '.join(f'''(contains(t, '{w}') OR contains(n, '{w}'))::INT''' for w in words)}) AS n_{kind}"
     for kind, words in DOCUMENT_DETECTOR.items()
@@ -146,9 +243,9 @@ def recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
     "fallback_requests",
     "E9",
     CLASSIFIED
-    + "SELECT doc_id, md5(array_to_string(['TIPOS PERMITIDOS:', "
+    + "SELECT doc_id, md5(array_to_string(['Elige uno de estos tipos de documento:', "
     + "'" + cls.type_guide(DOCUMENT_LEXICON).replace("'", "''") + "'"
-    + """, concat('Archivo: ', filename), 'Contenido (muestra):', text], E'\\n')) AS prompt_md5
+    + """, concat('Archivo: ', filename), 'Texto del documento:', text], E'\\n')) AS prompt_md5
 FROM classified WHERE document_type = 'otro'""",
 )
 def fallback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
