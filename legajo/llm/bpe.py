@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import decode, text_bytes
+from legajo.llm.common import decode, give_memory_back, text_bytes
 
 #: Bytes of text after which a block is closed (a longer text is a block of its own).
 BLOCK_BYTES = 48 << 20
@@ -154,7 +154,7 @@ def split_blocks(
                     schema=codes_schema,
                 )
                 low, chunk = high, chunk + 1
-        pa.default_memory_pool().release_unused()  # workers are used again
+        give_memory_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -296,6 +296,6 @@ def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> Dat
                     [*cut.columns, pa.array(texts, pa.binary())],
                     names=[*cut.schema.names, "decoded"],
                 )
-        pa.default_memory_pool().release_unused()
+        give_memory_back()
 
     return encoded.mapInArrow(decoded, f"{ddl}, `decoded` binary")
