@@ -108,7 +108,7 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["id"].eqNullSafe(right["id"]) & (left["dkey"] == right["dkey"])
 
 
-def contaminated(
+def documents_found(
     docs: DataFrame,
     benchmark: DataFrame,
     words: int = 5,
@@ -119,13 +119,10 @@ def contaminated(
     item_id: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """One row per document and benchmark item found in it: id, item, similarity, start.
-
-    ``start`` is the first shingle (and word) of the most similar window, the
-    earliest of equal ones.  A document shorter than an item is one window.  Null
-    and empty texts and items match nothing; null ids are kept, and rows equal in
-    id and text count once.  Other columns are not read.
-    """
+    """(id, dkey, item_id, s, value): the windows that reach the similarity, by id and text hash."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    benchmark = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    id_col, text_col, item_id, item_text = "id", "text", "item_id", "text"
     items = hashed(benchmark, [F.col(item_id).alias("item_id")], item_text, words)
     items = items.filter(F.size("hashes") > 0).withColumnRenamed("dkey", "item")
     items = stored(items.withColumn("n", F.size("hashes")), "items")
@@ -191,10 +188,35 @@ def contaminated(
         .filter(reaches(F.col("shared"), F.col("m"), F.col("n"), similarity))
     )
     value = F.col("shared") / (F.col("m") + F.col("n") - F.col("shared"))
+    return shared.join(items.select("item", "item_id").distinct(), "item").select(
+        "id", "dkey", "item_id", "s", value.alias("value")
+    )
+
+
+def contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    words: int = 5,
+    similarity: float = 0.8,
+    radius: int = 20,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """One row per document and benchmark item found in it: id, item, similarity, start.
+
+    ``start`` is the first shingle (and word) of the most similar window, the
+    earliest of equal ones.  A document shorter than an item is one window.  Null
+    and empty texts and items match nothing; null ids are kept, and rows equal in
+    id and text count once.  Other columns are not read, so their names cannot clash.
+    """
+    found = documents_found(
+        docs, benchmark, words, similarity, radius, id_col, text_col, item_id, item_text
+    )
     return (
-        shared.join(items.select("item", "item_id").distinct(), "item")
-        .groupBy("id", "item_id")
-        .agg(F.max(F.struct(value.alias("similarity"), (-F.col("s")).alias("back"))).alias("best"))
+        found.groupBy("id", "item_id")
+        .agg(F.max(F.struct(F.col("value").alias("similarity"), (-F.col("s")).alias("back"))).alias("best"))
         .select(
             F.col("id").alias(id_col),
             "item_id",
@@ -236,14 +258,23 @@ def window_starts(hits: DataFrame, similarity: float) -> DataFrame:
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **options,
 ) -> DataFrame:
     """The rows of docs without a benchmark item; all columns as they were.
 
-    Rows that share an id with a contaminated row go too.
+    Rows are told apart by id and text, so a contaminated row takes no row along that
+    only shares its id, null or not.  Other columns may have any names.
     """
-    found = contaminated(docs, benchmark, id_col=id_col, **options)
-    gone = stored(found.select(F.col(id_col).alias("_gone")).distinct(), "contaminated")
-    return docs.join(
-        small_side(gone, BROADCAST_ROWS), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti"
+    found = documents_found(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    gone = stored(found.select("id", "dkey").distinct(), "contaminated")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(id_col).alias("_id"),
+        F.xxhash64(text_or_empty(text_col)).alias("_key"),
     )
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("dkey"))
+    return rows.join(small_side(gone, BROADCAST_ROWS), same, "left_anti").select("row.*")

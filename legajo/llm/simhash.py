@@ -518,7 +518,10 @@ def near_groups(
     which is linked by any of its texts; null ids are left out.  ``cells`` is the
     number of counters of shingles, a power of two; it does not change the result.
     """
-    docs = docs.filter(F.col(id_col).isNotNull())
+    docs = docs.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text")
+    )
+    id_col, text_col = "id", "text"
     levels, shingles = shingle_levels(docs, words, cells, text_col)
     buckets = int(shingles * (1 - similarity)) // BUCKET + 12
     firsts = prefixes(docs, levels, buckets, words, similarity, id_col, text_col)
@@ -540,10 +543,14 @@ def near_groups(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the smallest id stays.
 
-    All columns stay as they were, rows with null id too.
+    All columns stay as they were, whatever their names; rows with null id stay too.
+    Rows of one id are one document and stay or go together.
     """
     groups = near_groups(docs, id_col=id_col, **options)
-    gone = stored(groups.filter("node <> root").select(F.col("node").alias("_gone")), "near-copies")
-    return docs.join(
-        small_side(gone, ASKED_BROADCAST), F.col(id_col) == F.col("_gone"), "left_anti"
+    gone = stored(groups.filter("node <> root").select("node"), "near-copies")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id")
     )
+    return rows.join(
+        small_side(gone, ASKED_BROADCAST), F.col("_id") == F.col("node"), "left_anti"
+    ).select("row.*")

@@ -24,7 +24,7 @@ from legajo.llm import (
     token_counts,
     toxicity,
 )
-from legajo.llm.common import cuts_at_spaces, shared_folder
+from legajo.llm.common import cuts_at_spaces, shared_folder, stored
 
 LONG = "The quick brown fox, number 12, jumps over  the lazy dog.\n\t" * 3000
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -47,7 +47,11 @@ TEXTS = [
     (None, "no id here"),
     (14, "x.\nY a,\nb !? 'll"),
 ]
-CLASHING = ["_key", "_maybe", "content", "id", "label", "head", "node", "block", "h", "key"]
+CLASHING = [
+    "_key", "_maybe", "content", "id", "label", "head", "node", "block", "h", "key", "_id", "_gone", "_asked",
+    "dkey", "row", "hashes", "_words", "item", "item_id", "pos", "n", "m", "s", "fp", "root", "left", "right",
+    "shingles", "prefix", "bucket", "keys", "place", "low", "_row", "_text", "_sha", "_at", "_block", "_bits",
+]
 
 
 @pytest.fixture(scope="module")
@@ -492,3 +496,21 @@ ARTICLE = "<p>One paragraph of the text.</p><p>Two more words here.</p>"
 def test_frames_and_foreign_elements(page):
     want = "One paragraph of the text.\nTwo more words here."
     assert html_text.main_text(page.format(ARTICLE)) == want
+
+
+def test_clean_rows_that_share_an_id_stay(spark):
+    """Rows of a null or repeated id go only with their own text, and names of columns do not matter."""
+    item = " ".join(f"item{i}" for i in range(30))
+    rows = [(None, f"before {item} behind"), (None, "clean and short"), (1, item), (1, "clean too"), (2, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").select(
+        "*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)]
+    )
+    frame = stored(frame, "clean-rows")
+    benchmark = spark.createDataFrame([(9, item, "x")], "item_id bigint, text string, id string")
+    kept = decontaminate.drop_contaminated(frame, benchmark)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [
+        (0, "clean and short"), (1, "clean too"), (2, ""),
+    ]
+    near = simhash.drop_near_duplicates(frame)
+    assert near.columns == frame.columns and near.count() == len(rows)
