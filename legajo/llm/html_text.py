@@ -94,20 +94,23 @@ def is_side(name: str, attrs: str) -> bool:
 def pieces(page: str) -> list[Piece]:
     """The page as tags (empty text) and texts, in page order."""
     out: list[Piece] = []
-    stack: list[tuple[str, bool]] = []  # open element, lies in a side element
+    stack: list[tuple[str, bool, str]] = []  # open element, lies in a side element, block that holds text
+    open_: Counter[str] = Counter()  # open elements by name: no step searches the stack in vain
     at = 0
 
     def text(raw: str) -> None:
         if raw:
-            side = stack[-1][1] if stack else False
-            holder = next((n for n, _ in reversed(stack) if n in BLOCKS or n == "a"), "")
+            _, side, holder = stack[-1] if stack else ("", False, "")
             out.append(Piece(html.unescape(raw), holder, False, side))
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        open_[name] -= 1
+        return name
+
     def close(name: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                del stack[i:]
-                break
+        while pop() != name:
+            pass
 
     for m in MARKUP.finditer(page):
         text(page[at : m.start()])
@@ -121,20 +124,22 @@ def pieces(page: str) -> list[Piece]:
         closing = bool(m["close"] or m["close2"])
         blocks = name in BLOCKS
         if closing:
-            if any(n == name for n, _ in stack):
+            if open_[name]:
                 out.append(Piece("", name, blocks, stack[-1][1]))
                 close(name)
             continue
         if blocks and stack and stack[-1][0] == "p":
-            stack.pop()  # a block ends an open paragraph
-        elif name in ENDS_PARAGRAPH and any(n == "p" for n, _ in stack):
+            pop()  # a block ends an open paragraph
+        elif name in ENDS_PARAGRAPH and open_["p"]:
             close("p")
         if name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
+            pop()
         side = (stack[-1][1] if stack else False) or is_side(name, m["attrs"] or "")
         out.append(Piece("", name, blocks, side))
         if name not in VOID and not (m["attrs"] or "").rstrip().endswith("/"):
-            stack.append((name, side))
+            holder = name if blocks or name == "a" else stack[-1][2] if stack else ""
+            stack.append((name, side, holder))
+            open_[name] += 1
     text(page[at:])
     return out
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -514,3 +515,16 @@ def test_clean_rows_that_share_an_id_stay(spark):
     ]
     near = simhash.drop_near_duplicates(frame)
     assert near.columns == frame.columns and near.count() == len(rows)
+
+
+def test_deep_pages_take_linear_time():
+    """200,000 open tags of one name, of changing names, and closing tags that fit nothing."""
+    start = time.perf_counter()
+    for page in (
+        "<div>" * 200_000 + "deep text",
+        "<i><div><b>" * 70_000 + "</span>" * 70_000 + "deep text",
+        "<p><span>" * 100_000 + "deep text" + "</em></p>" * 100_000,
+    ):
+        found = html_text.pieces(page)
+        assert any(p.text == "deep text" for p in found)
+    assert time.perf_counter() - start < 60
