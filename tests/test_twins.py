@@ -6,6 +6,8 @@ from compare_twins import compare, connect
 from legajo.plans import catalog
 
 catalog.load()
+#: queries that have no SQL twin; every other one must equal its own
+WITHOUT_TWIN = {"full_case_run"}
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +18,7 @@ def connection(small):
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_equals_twin(spark, connection, small, name):
     verdict = compare(spark, connection, name, small)
-    assert verdict.startswith(("equal", "rows only")), verdict
+    assert verdict.startswith("rows only" if name in WITHOUT_TWIN else "equal"), verdict
 
 
 def test_entry_contract():
