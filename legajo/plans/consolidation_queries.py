@@ -73,12 +73,16 @@ def field_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "conflict_options",
     "H7",
-    DECIDED("class")
-    + """
-SELECT o.case_id, o.field, o.value, o.source_document, o.document_type, o.priority,
-       d.value AS selected, d.reasoning
-FROM placed o JOIN decided d ON o.case_id = d.case_id AND o.field = d.field
-WHERE d.n_options > 1""",
+    OPTIONS("class")
+    + """,
+chosen AS (SELECT *, count(*) OVER (PARTITION BY case_id, field) AS n_options,
+    first_value(value) OVER w AS selected,
+    concat('Seleccionado de ', first_value(source_document) OVER w, ' (', first_value(document_type) OVER w,
+           ') por mayor prioridad') AS reasoning
+  FROM options WINDOW w AS (PARTITION BY case_id, field ORDER BY priority, ordinal
+    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT case_id, field, value, source_document, document_type, priority, selected, reasoning
+FROM chosen WHERE n_options > 1""",
 )
 def conflict_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every option of every conflict, beside what was chosen and why."""
@@ -163,19 +167,19 @@ ruled AS (SELECT *, CASE
   WHEN field = 'monto_reclamacion' AND contains(lower(source_document), 'peritaje') THEN 3
   END AS rule
   FROM (SELECT * REPLACE (concat(document_type, '_', source_document) AS source_document) FROM options)),
-ranked AS MATERIALIZED (SELECT *, count(*) OVER g AS n_options, count(*) OVER v AS n_value,
-    min(ordinal) OVER v AS first_ordinal,
-    row_number() OVER (PARTITION BY case_id, field ORDER BY rule NULLS LAST, ordinal) AS rule_place
-  FROM ruled
-  WINDOW g AS (PARTITION BY case_id, field), v AS (PARTITION BY case_id, field, value)),
-common AS (SELECT *, row_number() OVER (PARTITION BY case_id, field
-    ORDER BY n_value DESC, first_ordinal, ordinal) AS common_place FROM ranked),
-picked AS (SELECT c.case_id, c.field, c.n_options,
-    CASE WHEN r.rule IS NOT NULL THEN r.value ELSE c.value END AS value,
-    CASE WHEN r.rule IS NOT NULL THEN r.source_document ELSE c.source_document END AS source_document,
-    r.rule
-  FROM common c JOIN ranked r ON c.case_id = r.case_id AND c.field = r.field AND r.rule_place = 1
-  WHERE c.common_place = 1)
+by_value AS (SELECT case_id, field, value, count(*) AS n, min(ordinal) AS first_ordinal,
+    arg_min(source_document, ordinal) AS first_source,
+    min({'rule': rule, 'ordinal': ordinal, 'source': source_document}) FILTER (rule IS NOT NULL) AS best
+  FROM ruled GROUP BY case_id, field, value),
+by_field AS (SELECT case_id, field, CAST(sum(n) AS BIGINT) AS n_options,
+    min({'less': -n, 'ordinal': first_ordinal, 'value': value, 'source': first_source}) AS common,
+    min({'rule': best.rule, 'ordinal': best.ordinal, 'value': value, 'source': best.source})
+      FILTER (best IS NOT NULL) AS ruled
+  FROM by_value GROUP BY case_id, field),
+picked AS (SELECT case_id, field, n_options, ruled.rule AS rule,
+    CASE WHEN ruled IS NOT NULL THEN ruled.value ELSE common.value END AS value,
+    CASE WHEN ruled IS NOT NULL THEN ruled.source ELSE common.source END AS source_document
+  FROM by_field)
 SELECT case_id, field, value, source_document,
        CASE WHEN n_options = 1 THEN 1.0 WHEN rule IS NOT NULL THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence,
        CASE WHEN n_options = 1 THEN concat('Único valor de ', source_document)
