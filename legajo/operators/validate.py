@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from legajo.fixed_values import FIELD_RULES, REQUIRED_FIELDS
 from legajo.functions.text import squeeze
+from legajo.operators.ranges import covering_counts
 from legajo.functions.values import checked_date, date_error, float_error, policy_error, to_number
 from legajo.operators.consolidate import may_supply
 
@@ -189,3 +190,25 @@ def coherence_violations(
     return wide.select("case_id", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
 
 
+
+
+def term_violations(
+    wide: DataFrame, terms: DataFrame, start: str = "vigencia_inicio", end: str = "vigencia_fin"
+) -> DataFrame:
+    """Rows (case_id, rule) of cases that occurred in no term of their policy, or whose policy is invalid.
+
+    A policy may have any number of ``terms`` (numero_poliza, start, end as dates, null
+    for an open end), renewals for instance.  A policy without terms breaks no rule.
+    """
+    dated = wide.select("case_id", "numero_poliza", checked_date("fecha_ocurrencia").alias("occurred"))
+    known = terms.select(F.col("numero_poliza").alias("_known")).distinct()
+    counted = covering_counts(dated, terms, "case_id", ["numero_poliza"], "occurred", start, end)
+    outside = (
+        counted.filter("occurred IS NOT NULL AND n_covering = 0")
+        .join(known, F.col("numero_poliza") == F.col("_known"), "left_semi")
+        .select("case_id", F.lit("ocurrencia_fuera_de_vigencia").alias("rule"))
+    )
+    invalid = wide.filter(
+        F.col("numero_poliza").isNotNull() & policy_error(F.col("numero_poliza")).isNotNull()
+    ).select("case_id", F.lit("poliza_invalida").alias("rule"))
+    return outside.unionByName(invalid)

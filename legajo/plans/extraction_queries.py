@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.fixed_values import ALLOWED_FIELDS
@@ -441,6 +441,53 @@ def coherence_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chk.coherence_violations(con.wide_cases(cases, CLAIM_FIELDS))
 
 
+@register(
+    "term_violations",
+    "G11 G2",
+    """WITH claims AS (SELECT CAST(o_orderkey AS VARCHAR) AS case_id, CAST(o_orderdate AS DATE) AS occurred,
+    CASE WHEN o_orderkey % 13 = 0 THEN concat('POL#', o_custkey) WHEN o_orderkey % 17 = 0 THEN NULL
+         ELSE concat('POL-', o_custkey) END AS policy FROM orders),
+terms AS (SELECT concat('POL-', c_custkey) AS policy, CAST(CASE WHEN c_custkey % 11 = 0 THEN NULL
+      ELSE DATE '1992-01-01' + CAST(c_custkey % 700 AS INTEGER) END AS DATE) AS low,
+    CAST(DATE '1993-06-01' + CAST(c_custkey % 900 AS INTEGER) AS DATE) AS high FROM customer WHERE c_custkey % 5 <> 0
+  UNION ALL SELECT concat('POL-', c_custkey), CAST(DATE '1996-01-01' + CAST(c_custkey % 500 AS INTEGER) AS DATE),
+    CAST(CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE DATE '1997-01-01' + CAST(c_custkey % 500 AS INTEGER) END AS DATE)
+  FROM customer WHERE c_custkey % 5 <> 0)
+SELECT case_id, 'ocurrencia_fuera_de_vigencia' AS rule FROM claims c
+WHERE EXISTS (SELECT 1 FROM terms t WHERE t.policy = c.policy) AND NOT EXISTS (SELECT 1 FROM terms t
+  WHERE t.policy = c.policy AND (low IS NULL OR occurred >= low) AND (high IS NULL OR occurred <= high))
+UNION ALL SELECT case_id, 'poliza_invalida' FROM claims WHERE policy LIKE 'POL#%'""",
+)
+def term_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims outside every term of their policy, renewals and open terms included."""
+    order, customer = F.col("o_orderkey"), F.col("c_custkey")
+    claims = table(spark, sf_dir, "orders").select(
+        order.cast("string").alias("case_id"),
+        F.col("o_orderdate").cast("date").cast("string").alias("fecha_ocurrencia"),
+        F.when(order % 13 == 0, F.concat(F.lit("POL#"), "o_custkey"))
+        .when(order % 17 != 0, F.concat(F.lit("POL-"), "o_custkey"))
+        .alias("numero_poliza"),
+    )
+    insured = table(spark, sf_dir, "customer").filter(customer % 5 != 0)
+
+    def after(day: str, days: int) -> Column:
+        return F.date_add(F.lit(day).cast("date"), (customer % days).cast("int"))
+
+    policy = F.concat(F.lit("POL-"), customer).alias("numero_poliza")
+    terms = insured.select(
+        policy,
+        F.when(customer % 11 != 0, after("1992-01-01", 700)).alias("vigencia_inicio"),
+        after("1993-06-01", 900).alias("vigencia_fin"),
+    ).unionByName(
+        insured.select(
+            policy,
+            after("1996-01-01", 500).alias("vigencia_inicio"),
+            F.when(customer % 7 != 0, after("1997-01-01", 500)).alias("vigencia_fin"),
+        )
+    )
+    return chk.term_violations(claims, terms)
+
+
 # --- last resort and requests --------------------------------------------------------------------
 @register(
     "emergency_values",

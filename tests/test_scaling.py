@@ -218,3 +218,28 @@ def test_consolidation_with_one_case_holding_most_documents(spark):
     best = min((i * 7919 % 30011, i) for i in range(30000) if i % 3)[1]
     assert (hot.n_options, hot.source_document, hot.value) == (20000, f"d{best}", f"v{best % 5}")
     assert decided.count() == 10001
+
+
+def test_ranges_against_all_pairs(spark):
+    """Open ends, empty and single-day ranges, days at the edges, null keys, a hot key."""
+    from legajo.operators.ranges import covering_counts
+
+    picker = random.Random(9)
+    day = lambda n: None if n is None else (START + timedelta(days=n)).date()
+    points = [(i, picker.choice(["hot", "hot", "a", None]), day(picker.randrange(400))) for i in range(300)]
+    points += [(300, "a", None), (301, "none", day(3))]
+    ranges = [("hot", day(picker.randrange(400)), day(picker.randrange(400))) for _ in range(60)]
+    ranges += [("a", None, day(20)), ("a", day(350), None), (None, None, None), ("a", day(7), day(7))]
+    got = covering_counts(
+        spark.createDataFrame(points, "id INT, k STRING, d DATE"),
+        spark.createDataFrame(ranges, "k STRING, low DATE, high DATE"),
+        "id", ["k"], "d", "low", "high",
+    ).collect()
+    want = {
+        i: sum(
+            k == key and d is not None and (low is None or low <= d) and (high is None or d <= high)
+            for key, low, high in ranges
+        )
+        for i, k, d in points
+    }
+    assert {r.id: r.n_covering for r in got} == want
