@@ -9,6 +9,7 @@ from legajo.plans.bindings import table
 from legajo.plans.catalog import register
 from legajo.session import shared_folder
 from legajo.sources import files as fil
+from legajo.sources import snapshots
 from legajo.sources import stores as sto
 
 
@@ -111,3 +112,30 @@ def logged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "document_type",
         F.col("run_id").isNotNull().alias("has_id"),
     )
+
+
+@register(
+    "replaced_cases",
+    "A13 A6 A18",
+    """WITH docs AS (SELECT CAST(l_orderkey AS VARCHAR) AS case_id, CAST(l_linenumber AS INTEGER) AS place,
+    CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS amount, l_orderkey AS k FROM lineitem),
+again AS (SELECT DISTINCT case_id FROM docs WHERE k % 3 = 0 AND place <= 2)
+SELECT case_id, place, amount, 'first' AS run FROM docs WHERE case_id NOT IN (SELECT case_id FROM again)
+UNION ALL SELECT case_id, place, concat(amount, ' MXN'), 'second' FROM docs WHERE k % 3 = 0 AND place <= 2""",
+)
+def replaced_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case records written, a third of the cases written again with fewer rows, and read back."""
+    path = shared_folder(spark, "cases")
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("case_id"),
+        F.col("l_linenumber").cast("int").alias("place"),
+        F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("amount"),
+        F.lit("first").alias("run"),
+    )
+    snapshots.create(spark, path)
+    snapshots.replace_cases(items, path)
+    again = items.filter((F.col("case_id").cast("bigint") % 3 == 0) & (F.col("place") <= 2)).withColumns(
+        {"amount": F.concat("amount", F.lit(" MXN")), "run": F.lit("second")}
+    )
+    snapshots.replace_cases(again, path)
+    return snapshots.read(spark, path, items.schema)
