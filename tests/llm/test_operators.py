@@ -198,6 +198,42 @@ def test_exact_groups(docs, empty, blocks):
     assert exact_dedup.drop_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1, 1 << 19])
+def test_filter_grows_with_the_texts(spark, broadcast):
+    """Many more texts than the smallest filter has blocks: few false alarms, no repeat missed."""
+    once = spark.range(60_000).select(F.col("id").alias("_id"), F.xxhash64("id").alias("_key"))
+    twice = F.explode(F.array(F.lit(1), F.lit(2)))
+    keys = once.unionByName(once.filter("_id < 500").select("*", twice.alias("_turn")).drop("_turn"))
+    flagged = exact_dedup.flagged_rows(keys, broadcast)
+    assert flagged.count() == 61_000
+    assert flagged.filter("_id < 500 and not _maybe").count() == 0
+    assert flagged.filter("_id >= 500 and _maybe").count() < 0.05 * 60_000
+
+
+def test_one_text_in_a_third_of_the_rows(spark):
+    """A text above the share that is sent back by broadcast, and rows equal in id and text."""
+    folder = shared_folder(spark, "test-hot")
+    many = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 1, F.lit("Hot text")).otherwise(
+            F.concat(F.lit("text "), (F.col("id") / 3).cast("int").cast("string"))
+        ).alias("text"),
+        F.create_map(F.lit("a"), F.col("id")).alias("_row"),
+    )
+    many.write.parquet(folder)
+    many = spark.read.parquet(folder)
+    for blocks in (1, 1 << 19):
+        groups = exact_dedup.duplicate_groups(many, blocks=blocks)
+        assert groups.count() == 9000
+        hot = groups.filter("group_size = 3000")
+        assert {(r["n"], r["k"]) for r in hot.groupBy("keep_id").agg(
+            F.count("*").alias("n"), F.count_if("kept").alias("k")).collect()} == {(3000, 1)}
+        kept = exact_dedup.drop_duplicates(many, blocks=blocks)
+        assert kept.count() == 3001 and kept.select("text").distinct().count() == 3001
+        assert kept.filter("text = 'Hot text'").first()["doc_id"] == 8998
+        assert kept.filter("doc_id = -1").count() == 0
+
+
 def fingerprint(text, words=4):
     parts = (text or "").encode().lower().split()
     shingles = [b" ".join(parts[i : i + words]) for i in range(len(parts) - words + 1)]
