@@ -14,6 +14,8 @@ Large groups never give all their pairs.  Under each key first only the smallest
 fingerprint is compared with the others; the links found are reduced to
 components; then only pairs under one key in different components are compared.
 That finds the same components, as a link inside a component changes nothing.
+Texts of one template may lie on both sides of the bound; for those, further rounds
+compare another node of each key with the others before the pairs that are left.
 
 Near-duplicates by Jaccard similarity meet by a prefix filter instead, which misses
 no pair: in one order of all shingles, two sets of similarity t share one of their
@@ -43,6 +45,8 @@ ASKED_BROADCAST = 1_000_000
 CELLS, CHUNK = 1 << 22, 1 << 13
 #: Shingles counted at once in a task.
 COUNTED = 1 << 18
+#: Further rounds that compare one node of each key with the others, for near-duplicate texts.
+ROUNDS = 4
 #: Prefix shingles that one task compares, about.
 BUCKET = 400_000
 GOLDEN = 0x9E3779B97F4A7C15
@@ -223,11 +227,13 @@ def met_groups(
     held: list[str],
     near: Callable[[dict[str, Column], dict[str, Column]], Column],
     verify: Callable[[DataFrame], DataFrame],
+    rounds: int = 0,
 ) -> DataFrame:
     """(node, root) of all linked nodes of the rows (key, node, held columns).
 
     Nodes that meet under a key are linked if ``near``, of the held columns of
-    both, and then ``verify`` keep the pair.
+    both, and then ``verify`` keep the pair.  ``rounds`` bounds the further rounds of
+    one node per key; it does not change the result.
     """
     firsts = met.groupBy("key").agg(
         F.min("node").alias("first"),
@@ -245,20 +251,37 @@ def met_groups(
         .distinct()
     )
     links = stored(verify(stored(stars, "pairs")), "verified")
-    groups = components(links)
-    rooted = stored(
-        shared.select("key", "node", *held)
-        .join(groups, "node", "left")
-        .withColumn("root", F.coalesce("root", "node")),
-        "rooted",
-    )
-    mixed_keys = (
-        rooted.groupBy("key")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .filter("low <> high")
-        .select("key")
-    )
-    open_ = rooted.join(mixed_keys, "key", "left_semi")
+    for turn in range(rounds + 1):
+        rooted = stored(
+            shared.select("key", "node", *held)
+            .join(components(links), "node", "left")
+            .withColumn("root", F.coalesce("root", "node")),
+            "rooted",
+        )
+        mixed_keys = (
+            rooted.groupBy("key")
+            .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+            .filter("low <> high")
+            .select("key")
+        )
+        open_ = rooted.join(mixed_keys, "key", "left_semi")
+        if turn == rounds:
+            break
+        hub = F.max_by(F.struct("node", "root", *held), F.xxhash64("node", F.lit(turn)))
+        hubs = open_.groupBy("key").agg(hub.alias("hub"))
+        hub_near = near(columns(""), {c: F.col(f"hub.{c}") for c in held})
+        stars = (
+            open_.join(hubs, "key")
+            .filter((F.col("root") != F.col("hub.root")) & hub_near)
+            .select(
+                F.least("node", "hub.node").alias("left"), F.greatest("node", "hub.node").alias("right")
+            )
+            .distinct()
+        )
+        found = stored(verify(stored(stars, "pairs")), "verified")
+        if found.isEmpty():
+            break
+        links = links.union(found)
     other = open_.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", *held, "root")])
     across = (
         open_.join(
@@ -537,6 +560,7 @@ def near_groups(
         ["n", "place"],
         near,
         lambda pairs: similar_pairs(pairs, docs, words, similarity, id_col, text_col),
+        ROUNDS,
     )
 
 
