@@ -46,7 +46,7 @@ CELLS, CHUNK = 1 << 22, 1 << 13
 #: Shingles counted at once in a task.
 COUNTED = 1 << 18
 #: Further rounds that compare one node of each key with the others, for near-duplicate texts.
-ROUNDS = 4
+ROUNDS = 3
 #: Prefix shingles that one task compares, about.
 BUCKET = 400_000
 GOLDEN = 0x9E3779B97F4A7C15
