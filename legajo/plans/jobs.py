@@ -6,12 +6,15 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from legajo.fixed_values import REQUIRED_FIELDS
 from legajo.operators import consolidate as con
 from legajo.operators import extract as ext
 from legajo.operators import report as rep
 from legajo.operators import validate as chk
+from legajo.session import stored
+from legajo.sources import snapshots
 
 
 class CaseTables(NamedTuple):
@@ -57,8 +60,8 @@ def split_stored(
     documents: DataFrame, results: DataFrame, key: str = "document_id"
 ) -> tuple[DataFrame, DataFrame]:
     """Documents with a stored OCR result, and those without."""
-    stored = results.select(key).distinct()
-    return documents.join(stored, key, "left_semi"), documents.join(stored, key, "left_anti")
+    known = results.select(key).distinct()
+    return documents.join(known, key, "left_semi"), documents.join(known, key, "left_anti")
 
 
 def replay_cases(
@@ -73,3 +76,65 @@ def replay_cases(
     _, missing = split_stored(documents, results, key)
     extracted = ext.fields_from_pairs(ready, "pairs", fields)
     return run_cases(extracted, fields, order), missing
+
+
+#: Log of the replayed cases: the digest of the rows that a run replayed.
+REPLAYED = "case_id STRING, n_rows BIGINT, low DECIMAL(38,0), high DECIMAL(38,0), run BIGINT"
+
+
+def case_digests(rows: DataFrame) -> DataFrame:
+    """(case_id, n_rows, low, high): equal for equal multisets of rows, in whatever order.
+
+    Sums of two hashes per row combine before the shuffle, so no case is sorted or held.
+    Columns may be nested, but hold no maps.
+    """
+    columns = sorted(c for c in rows.columns if c != "case_id")
+    return rows.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).cast("decimal(38,0)").alias("low"),
+        F.sum(F.xxhash64(F.lit("high"), *columns).cast("decimal(20,0)"))
+        .cast("decimal(38,0)")
+        .alias("high"),
+    )
+
+
+def replay_changed(
+    documents: DataFrame,
+    results: DataFrame,
+    path: str,
+    fields: Sequence[str] = REQUIRED_FIELDS,
+    order: Sequence[str] = ("doc_seq",),
+    key: str = "document_id",
+) -> tuple[int, DataFrame]:
+    """Replay only cases whose documents or results changed since they were last replayed.
+
+    Reports are kept in a replacing table below ``path``, digests in a log that is
+    written after them: a run that dies in between replays the same cases again and
+    puts the same reports in place.  A case that has no stored result any more keeps its
+    report.  Returns the run's number and the reports of all cases, with the run that made each.
+    """
+    spark = documents.sparkSession
+    log_path = f"{path}/replayed"
+    spark.createDataFrame([], REPLAYED).write.mode("append").parquet(log_path)
+    log = spark.read.schema(REPLAYED).parquet(log_path)
+    run = (log.agg(F.max("run")).first()[0] or 0) + 1
+    last = log.groupBy("case_id").agg(
+        F.max_by(F.struct("n_rows", "low", "high"), "run").alias("last")
+    )
+    now = case_digests(documents.join(results, key))
+    changed = stored(
+        now.join(last.withColumnRenamed("case_id", "_case"), F.expr("case_id <=> _case"), "left")
+        .filter(~F.struct("n_rows", "low", "high").eqNullSafe(F.col("last")))
+        .select("case_id", "n_rows", "low", "high", F.lit(run).cast("bigint").alias("run")),
+        "changed-cases",
+    )
+    cases = changed.select(F.col("case_id").alias("_case"))
+    again = documents.join(cases, F.expr("case_id <=> _case"), "left_semi")
+    reports = replay_cases(again, results, fields, order, key)[0].reports.withColumn(
+        "run", F.lit(run).cast("bigint")
+    )
+    if run == 1:
+        snapshots.create(spark, f"{path}/reports")
+    snapshots.replace_cases(reports, f"{path}/reports")
+    changed.write.mode("append").parquet(log_path)
+    return run, snapshots.read(spark, f"{path}/reports", reports.schema)

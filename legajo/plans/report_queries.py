@@ -18,7 +18,8 @@ from legajo.plans.bindings import (
 )
 from legajo.plans.catalog import register
 from legajo.plans.claims_sql import DECIDED
-from legajo.plans.jobs import run_cases
+from legajo.plans.jobs import replay_changed, run_cases, split_stored
+from legajo.session import shared_folder
 
 _WIDE = (
     DECIDED("class")
@@ -99,3 +100,52 @@ def full_case_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messy extractions through cleaning, consolidation and report rows."""
     tables = run_cases(rich_claim_documents(spark, sf_dir), RICH_FIELDS, CLAIM_ORDER)
     return tables.reports
+
+
+_REPLAYED = (
+    DECIDED("class").replace(
+        "ON l_orderkey = o_orderkey)", "ON l_orderkey = o_orderkey WHERE l_linenumber <= 6)"
+    )
+    + """, wide AS (SELECT case_id, max(CASE WHEN field = 'numero_siniestro' THEN value END) AS claim,
+    max(CASE WHEN field = 'nombre_asegurado' THEN value END) AS insured, max(CASE WHEN field = 'numero_poliza' THEN value END) AS policy,
+    max(CASE WHEN field = 'monto_reclamacion' THEN value END) AS amount, max(CASE WHEN field = 'fecha_ocurrencia' THEN value END) AS occurred,
+    max(CASE WHEN field = 'fecha_reclamacion' THEN value END) AS claimed FROM decided GROUP BY case_id),
+ready AS (SELECT case_id, max(l_linenumber) AS top, min(l_linenumber) AS bottom FROM docs GROUP BY case_id),
+gone AS (SELECT CAST(l_orderkey AS VARCHAR) AS case_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE l_linenumber > 6 GROUP BY 1)
+"""
+)
+
+
+@register(
+    "resumed_replay",
+    "J9 A13 A18",
+    _REPLAYED
+    + """SELECT r.case_id, claim AS numero_siniestro, insured AS nombre_asegurado, policy AS numero_poliza,
+  coalesce(CAST(CAST(amount AS DOUBLE) AS VARCHAR), '0.00') AS monto_reclamacion,
+  coalesce(strftime(CAST(occurred AS DATE), '%d/%m/%Y'), 'NO ESPECIFICADO') AS fecha_ocurrencia,
+  coalesce(strftime(CAST(claimed AS DATE), '%d/%m/%Y'), 'NO ESPECIFICADO') AS fecha_reclamacion,
+  CASE WHEN top > 3 THEN 2 ELSE 1 END AS run, coalesce(n, 0) AS n_missing
+FROM ready r LEFT JOIN wide w ON r.case_id = w.case_id LEFT JOIN gone g ON r.case_id = g.case_id""",
+)
+def resumed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases replayed from stored results, and only the changed ones again after more results."""
+    claims = claim_documents(spark, sf_dir).withColumn(
+        "document_id", F.concat_ws("/", "case_id", "source_document")
+    )
+    documents = claims.drop(*CLAIM_FIELDS)
+    pairs = F.array(*[F.struct(F.lit(f).alias("key"), F.col(f).alias("value")) for f in CLAIM_FIELDS])
+    results = claims.filter("l_linenumber <= 6").select(
+        "document_id", F.filter(pairs, lambda p: p["value"].isNotNull()).alias("pairs")
+    )
+    early = claims.filter("l_linenumber <= 3").select("document_id")
+    path = shared_folder(spark, "replay")
+    replay_changed(documents, results.join(early, "document_id", "left_semi"), path, CLAIM_FIELDS, CLAIM_ORDER)
+    _, reports = replay_changed(documents, results, path, CLAIM_FIELDS, CLAIM_ORDER)
+    _, missing = split_stored(documents, results)
+    lacking = missing.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_missing"))
+    return (
+        reports.select("case_id", *CLAIM_FIELDS, "run")
+        .join(lacking, "case_id", "left")
+        .fillna(0, ["n_missing"])
+    )
