@@ -11,6 +11,7 @@ from legajo.session import shared_folder
 from legajo.sources import files as fil
 from legajo.sources import snapshots
 from legajo.sources import stores as sto
+from legajo.sources import tolerant as tol
 
 
 @register(
@@ -139,3 +140,74 @@ def replaced_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     snapshots.replace_cases(again, path)
     return snapshots.read(spark, path, items.schema)
+
+
+@register(
+    "tolerant_ocr_json",
+    "A4 A7",
+    """SELECT source AS case_id,
+  CASE WHEN lang = 'fr' THEN 'malformed' WHEN doc_id % 7 = 3 THEN 'wrong type' ELSE 'read' END AS state,
+  count(*) AS n_records, sum(CASE WHEN lang <> 'fr' AND doc_id % 7 <> 3 THEN length(text) END) AS n_chars,
+  count(*) FILTER (WHERE doc_id % 5 = 1 AND lang <> 'fr') AS n_changed FROM documents GROUP BY ALL""",
+)
+def tolerant_ocr_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OCR results as JSON of several engine versions, some cut or mistyped, read without loss."""
+    folder = shared_folder(spark, "ocr-json")
+    documents = table(spark, sf_dir, "documents")
+    pages = F.when(F.col("doc_id") % 7 == 3, F.lit("dos")).otherwise(F.lit("2"))
+    record = F.struct(
+        F.col("doc_id").alias("document_id"), F.col("text").alias("raw_text"),
+        F.when(F.col("doc_id") % 5 == 1, F.lit("v2")).alias("engine_build"),
+    )
+    mistyped = F.to_json(F.struct("record.*", pages.alias("page_count")))
+    typed = F.to_json(F.struct("record.*", F.lit(2).alias("page_count")))
+    text = F.when(F.col("doc_id") % 7 == 3, mistyped).otherwise(typed)
+    whole = documents.withColumn("record", record).withColumn("json", text)
+    # without its last character the object does not end
+    cut = F.when(F.col("lang") == "fr", F.expr("left(json, length(json) - 1)")).otherwise(F.col("json"))
+    whole.select(cut.alias("value"), F.col("source").alias("case_id")).write.partitionBy(
+        "case_id"
+    ).text(folder)
+    records = tol.json_records(spark, folder, "document_id BIGINT, raw_text STRING, page_count INT")
+    case = F.url_decode(F.regexp_replace(F.regexp_extract("file", "case_id=([^/]*)/", 1), r"\+", "%2B"))
+    return (
+        records.withColumn("case_id", case)
+        .groupBy("case_id", "state")
+        .agg(
+            F.count(F.lit(1)).alias("n_records"),
+            F.sum(F.length("record.raw_text")).alias("n_chars"),
+            F.count_if(F.array_contains("unknown_keys", "engine_build")).alias("n_changed"),
+        )
+    )
+
+
+@register(
+    "tolerant_event_log",
+    "A15",
+    """WITH lines AS (SELECT user_id, event_type, value, event_id % 11 = 2 AS broken FROM events)
+SELECT event_type, count(*) FILTER (NOT broken) AS n_read, count(*) FILTER (broken) AS n_rejected,
+  max(user_id) FILTER (NOT broken) AS top_case FROM lines GROUP BY event_type""",
+)
+def tolerant_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A progress log of JSON lines; lines that a dying writer cut are kept as rejects."""
+    folder = shared_folder(spark, "event-log")
+    line = F.to_json(F.struct(F.col("event_type").alias("stage"), F.col("user_id").alias("case"), "event_id"))
+    cut = F.when(F.col("event_id") % 11 == 2, F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
+    events = table(spark, sf_dir, "events").withColumn("line", line)
+    events.select(cut.alias("value")).write.text(folder)
+    records = tol.json_records(spark, folder, "stage STRING, case BIGINT, event_id BIGINT")
+    read = tol.readable(records).select("stage", "case", F.lit(True).alias("fine"))
+    kept = tol.rejected(records).select(
+        F.regexp_extract("text", '"stage":"([^"]*)"', 1).alias("stage"),
+        F.lit(None).cast("bigint").alias("case"),
+        F.lit(False).alias("fine"),
+    )
+    return (
+        read.unionByName(kept)
+        .groupBy(F.col("stage").alias("event_type"))
+        .agg(
+            F.count_if("fine").alias("n_read"),
+            F.count_if(~F.col("fine")).alias("n_rejected"),
+            F.max("case").alias("top_case"),
+        )
+    )
