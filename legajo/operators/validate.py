@@ -73,6 +73,8 @@ def validate_extractions(
 ) -> DataFrame:
     """Masked and validated fields plus ``errors`` (field, message) per document.
 
+    ``as_given`` (field, value) keeps the whole value of each field that a transform or
+    word cap changed.
     Types that are unknown or list nothing are not masked here.  An invalid
     value stays as it came.  Readings, messages and values are computed in
     three projections, so each is evaluated once per row.
@@ -117,8 +119,22 @@ def validate_extractions(
         )
         for f in fields
     }
+    cut = [f for f in fields if FIELD_RULES.get(f, {}).keys() & {"digits", "max_words"}]
+    given = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("field"),
+                F.when(~values[f].eqNullSafe(F.col(f)) & allowed[f], F.col(f)).alias("value"),
+            )
+            for f in cut
+        ]
+    ).cast("array<struct<field: string, value: string>>")
     return told.withColumns(
-        {**values, "errors": F.filter(messages, lambda e: e["message"].isNotNull())}
+        {
+            **values,
+            "errors": F.filter(messages, lambda e: e["message"].isNotNull()),
+            "as_given": F.filter(given, lambda g: g["value"].isNotNull()),
+        }
     ).drop(
         *[f"_year_{f}" for f in dates],
         *[f"_number_{f}" for f in numbers],
@@ -130,6 +146,11 @@ def violations(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
     return validated.select(*keys, F.inline("errors"))
 
 
+def values_as_given(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The whole values behind those that validation shortened, one row each."""
+    return validated.select(*keys, F.inline("as_given"))
+
+
 def error_texts(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`field: message` list per document, at most one entry per field."""
     texts = F.transform(

@@ -323,6 +323,22 @@ def validated_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "values_as_given",
+    "G5 G7",
+    RICH_SQL
+    + f""", given AS (SELECT case_id, source_document, document_type, 'numero_siniestro' AS field, numero_siniestro AS value,
+    left(regexp_replace(numero_siniestro, '\\D', '', 'g'), 14) AS kept FROM rich
+  UNION ALL SELECT case_id, source_document, document_type, 'bien_reclamado', bien_reclamado,
+    concat('lote ', l_linenumber, ' de mercancia tarifa') FROM rich)
+SELECT case_id, source_document, document_type, field, value FROM given WHERE value <> kept
+  AND (CASE document_type {_ALLOWED} END IS NULL OR list_contains(CASE document_type {_ALLOWED} END, field))""",
+)
+def values_as_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole values of the fields that validation shortens."""
+    return chk.values_as_given(_validated(spark, sf_dir), KEYS)
+
+
 @register(
     "field_quality",
     "G7",

@@ -149,6 +149,21 @@ def test_claim_number_keeps_digits(spark):
         assert len(row.errors) == bad
 
 
+def test_shortened_values_are_kept_as_given(spark):
+    rows = [
+        ("x", "ABC12345678901234", "uno dos tres cuatro cinco seis"), ("x", "12345678901234", "uno dos"),
+        ("x", "12345678901234567", None), ("x", "12", "a b c d e"),
+    ]
+    frame = spark.createDataFrame(
+        rows, "document_type STRING, numero_siniestro STRING, bien_reclamado STRING"
+    )
+    checked = chk.validate_extractions(frame, ["numero_siniestro", "bien_reclamado"])
+    kept = {(r.field, r.value) for r in chk.values_as_given(checked, []).collect()}
+    assert kept == {
+        ("numero_siniestro", rows[0][1]), ("bien_reclamado", rows[0][2]), ("numero_siniestro", rows[2][1])
+    }
+
+
 def test_most_common_value_takes_the_first_on_ties(spark):
     rows = [("c", i, f"d{i}", "t", v) for i, v in enumerate("xyyx")]
     frame = spark.createDataFrame(
