@@ -15,13 +15,10 @@ from legajo.streaming import progress as live
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a stream of its files."""
+    """The table as a stream of its files, be it one file or a folder of files."""
     schema = table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet*")
-        .parquet(sf_dir)
-    )
+    # a pattern, as a stream takes a plain path for that of a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @register("streamed_progress_report", "K1 K2 K3 K4 A15 A16", TWINS["progress_report"])
@@ -63,9 +60,12 @@ def streamed_file_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_nationkey").alias("case"),
         F.concat(F.lit("rating "), F.floor(F.col("s_acctbal") / 1000)).alias("value"),
     )
+    tasks = max(8, notes.count() // 500)  # a fixed number, as small rows would all be put in one
     (
-        notes.repartition("case")
+        notes.repartition(tasks)
         .write.option("maxRecordsPerFile", 1)
+        # tasks put their files in place themselves; names are the same if one runs again
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
         .partitionBy("case")
         .text(f"{folder}/uploads")
     )

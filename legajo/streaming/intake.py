@@ -21,6 +21,8 @@ from legajo.operators.registry import content_hash
 from legajo.sources.files import supported
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows a task adds to those it holds before it looks for copies among them.
+HELD_ROWS = 100_000
 
 
 def arriving_files(
@@ -59,7 +61,7 @@ def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
 class FirstArrival(StatefulProcessor):
     """State of one (case, content): the id it was registered with.  Only the first is passed on."""
 
-    def __init__(self, id_type: T.DataType, ttl_ms: int | None):
+    def __init__(self, id_type: T.DataType, ttl_ms: int):
         self.id_type, self.ttl_ms = id_type, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -96,6 +98,23 @@ def firsts_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from named.rename_columns(batch.schema.names).cast(batch.schema).to_batches()
 
 
+def firsts_of_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The earliest row of each (case, content) of a partition; holds one row for each."""
+    held: list[pa.RecordBatch] = []
+    rows = reduced = 0
+    for batch in firsts_of_batches(batches):
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > 2 * reduced + HELD_ROWS:
+            held = list(firsts_of_batches(one_batch(held)))
+            rows = reduced = sum(b.num_rows for b in held)
+    yield from firsts_of_batches(one_batch(held))
+
+
+def one_batch(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from pa.Table.from_batches(batches).combine_chunks().to_batches() if batches else ()
+
+
 def registrations(
     arrivals: DataFrame, order: str = "document_id", ttl_days: float | None = None
 ) -> DataFrame:
@@ -103,21 +122,24 @@ def registrations(
 
     A keyed state remembers what is registered, in RocksDB on the executors and with the
     changes of a micro-batch in its checkpoint; nothing stored is read again.  Inside a
-    micro-batch the earliest row by ``order`` (not null) wins.  With ``ttl_days`` a
-    registration is forgotten so long after it was made.  Null case and hash are keys too.
+    micro-batch the earliest row by ``order`` (not null) wins: a partition holds all rows of
+    its keys and passes one on, and of those Spark drops the ones known from before.  With
+    ``ttl_days`` a registration is forgotten so long after it was made, by a processor of
+    our own.  Null case and hash are keys too.
     """
-    rows = arrivals.select("case_id", "file_hash", "document_id", F.col(order).alias("arrived"))
-    ttl_ms = None if ttl_days is None else int(ttl_days * 24 * 3600 * 1000)
-    output = T.StructType([f for f in rows.schema.fields if f.name != "arrived"])
-    return (
-        rows.mapInArrow(firsts_of_batches, rows.schema)
-        .groupBy("case_id", "file_hash")
-        .transformWithStateInPandas(
-            statefulProcessor=FirstArrival(rows.schema["document_id"].dataType, ttl_ms),
-            outputStructType=output,
-            outputMode="append",
-            timeMode="none" if ttl_ms is None else "processingTime",
-        )
+    keys = ["case_id", "file_hash"]
+    rows = arrivals.select(*keys, "document_id", F.col(order).alias("arrived"))
+    firsts = rows.mapInArrow(firsts_of_batches, rows.schema)
+    if ttl_days is None:
+        one_each = firsts.repartition(*keys).mapInArrow(firsts_of_partitions, rows.schema)
+        return one_each.dropDuplicates(keys).drop("arrived")
+    return firsts.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=FirstArrival(
+            rows.schema["document_id"].dataType, int(ttl_days * 24 * 3600 * 1000)
+        ),
+        outputStructType=T.StructType([f for f in rows.schema.fields if f.name != "arrived"]),
+        outputMode="append",
+        timeMode="processingTime",
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from legajo.operators import admission
 from legajo.operators import progress as prg
 from legajo.operators.scaling import ranged_pieces
+from legajo.plans.stream_queries import streamed_registrations
 from legajo.schemas import PROGRESS_EVENTS
 from legajo.streaming import intake
 from legajo.streaming import progress as live
@@ -92,6 +93,15 @@ def test_registrations_in_any_layout(spark, tmp_path):
     assert "RocksDB" not in spark.conf.get(state)  # the session keeps its own setting
 
 
+def test_table_streams_from_a_folder_of_files(spark, tmp_path):
+    """A table may be one file or a folder of files."""
+    rows = [(i, f"text {i % 5}", f"case {i % 2}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = streamed_registrations(spark, str(tmp_path)).select("case_id", "document_id").collect()
+    assert sorted(map(tuple, got)) == sorted((f"case {i % 2}", i) for i in range(10))
+
+
 def test_registrations_expire(spark, tmp_path):
     """A registration older than its time to live is made again."""
     schema = "case_id STRING, file_hash STRING, document_id BIGINT"
