@@ -69,7 +69,7 @@ def streamed_file_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .partitionBy("case")
         .text(f"{folder}/uploads")
     )
-    arrivals = intake.arriving_files(spark, f"{folder}/uploads", "upload", files_per_trigger=1000)
+    arrivals = intake.arriving_files(spark, f"{folder}/uploads", "upload", files_per_trigger=10_000)
     intake.register_stream(arrivals, f"{folder}/store", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/store").select("case_id", "file_hash")
 
