@@ -193,6 +193,8 @@ def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 ],
                 names=["block", "sign", "first", "lengths", "ids"],
             )
+        known.clear()
+        give_memory_back()
 
     return words.mapInArrow(
         encoded,
@@ -205,11 +207,14 @@ def assemble(codes: DataFrame, words: DataFrame) -> DataFrame:
     id_type = codes.schema["doc_ids"].dataType.elementType.simpleString()
 
     def joined(codes: pa.Table, words: pa.Table) -> pa.Table:
+        build_encoding.cache_clear()  # all words are encoded when their ids arrive
         if not codes.num_rows:
             raise ValueError("the documents differ between two reads; store them first")
         words = words.sort_by("first")
         lengths = flat_values(words.column("lengths"), np.int64)
         ids = flat_values(words.column("ids"), np.dtype("<i4"))
+        del words
+        give_memory_back()
         starts = np.cumsum(lengths) - lengths
         tables = []
         for row in codes.sort_by("chunk").to_batches(max_chunksize=1):

@@ -20,7 +20,9 @@ compare another node of each key with the others before the pairs that are left.
 Near-duplicates by Jaccard similarity meet by a prefix filter instead, which misses
 no pair: in one order of all shingles, two sets of similarity t share one of their
 first n - ceil(t n) + 1 shingles (n: the size of the set).  Any order will do; rare
-shingles come first, so that common passages bring few strangers together.
+shingles come first, so that common passages bring few strangers together.  Most of
+them differ in few bits of their fingerprints, so fingerprint links, verified on the
+texts, come first, and the prefix filter compares what those have not brought together.
 """
 
 from __future__ import annotations
@@ -228,12 +230,14 @@ def met_groups(
     near: Callable[[dict[str, Column], dict[str, Column]], Column],
     verify: Callable[[DataFrame], DataFrame],
     rounds: int = 0,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """(node, root) of all linked nodes of the rows (key, node, held columns).
 
     Nodes that meet under a key are linked if ``near``, of the held columns of
     both, and then ``verify`` keep the pair.  ``rounds`` bounds the further rounds of
-    one node per key; it does not change the result.
+    one node per key; it does not change the result.  ``known`` has groups (node, root)
+    that are linked already, whose pairs are not verified again.
     """
     firsts = met.groupBy("key").agg(
         F.min("node").alias("first"),
@@ -250,7 +254,16 @@ def met_groups(
         .select(F.col("first").alias("left"), F.col("node").alias("right"))
         .distinct()
     )
+    if known is not None:
+        for end in ("left", "right"):
+            roots = known.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+            stars = stars.join(roots, end, "left")
+        # null: in no group yet
+        apart = ~F.coalesce(F.col("left_root") == F.col("right_root"), F.lit(False))
+        stars = stars.filter(apart).select("left", "right")
     links = stored(verify(stored(stars, "pairs")), "verified")
+    if known is not None:
+        links = links.union(known.filter("node <> root").select("root", "node"))
     for turn in range(rounds + 1):
         rooted = stored(
             shared.select("key", "node", *held)
@@ -526,6 +539,19 @@ def shared_prefixes(prefixes: DataFrame) -> DataFrame:
     return met.unionByName(in_task.toDF("key", "node", "n", "place"))
 
 
+def print_groups(
+    docs: DataFrame, words: int, radius: int, verify: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """(node, root) of the rows (id, text) linked by fingerprints whose texts ``verify`` keeps."""
+    prints = stored(
+        fingerprints(docs, words, 1, "id", "text").select(
+            F.col("id").alias("node"), F.col("fp")[0].alias("head")
+        ),
+        "fingerprints",
+    )
+    return link_groups(prints, block_keys(F.col("head"), radius, prints.count()), radius, verify)
+
+
 def near_groups(
     docs: DataFrame,
     words: int = 5,
@@ -533,18 +559,29 @@ def near_groups(
     cells: int = CELLS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    print_words: int = 4,
+    radius: int = 4,
 ) -> DataFrame:
     """(node, root) of the documents linked by near-duplicate texts.
 
     Links are all pairs with a Jaccard similarity of at least ``similarity`` on sets
     of word shingles, verified on the texts.  Rows of one id count as one document,
-    which is linked by any of its texts; null ids are left out.  ``cells`` is the
-    number of counters of shingles, a power of two; it does not change the result.
+    which is linked by any of its texts; null ids are left out.
+
+    Fingerprints of ``print_words``-word shingles within ``radius`` bits are linked first;
+    the prefix filter then finds the pairs whose fingerprints lie farther apart.  These
+    two numbers and ``cells``, the number of counters of shingles (a power of two), do not
+    change the result.
     """
     docs = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text")
     )
     id_col, text_col = "id", "text"
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return similar_pairs(pairs, docs, words, similarity, id_col, text_col)
+
+    known = stored(print_groups(docs, print_words, radius, verify), "print-groups")
     levels, shingles = shingle_levels(docs, words, cells, text_col)
     buckets = int(shingles * (1 - similarity)) // BUCKET + 12
     firsts = prefixes(docs, levels, buckets, words, similarity, id_col, text_col)
@@ -559,8 +596,9 @@ def near_groups(
         met,
         ["n", "place"],
         near,
-        lambda pairs: similar_pairs(pairs, docs, words, similarity, id_col, text_col),
+        verify,
         ROUNDS,
+        known,
     )
 
 

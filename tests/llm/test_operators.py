@@ -319,6 +319,25 @@ def test_near_duplicates_at_the_bound(spark, options):
     assert got == {i: root[i] for pair in pairs for i in pair}
 
 
+def test_near_duplicates_go_through_fingerprints(spark, monkeypatch):
+    """Fingerprint links are verified and kept; the prefix filter adds what they miss."""
+    base = [f"word{i}" for i in range(150)]
+    texts = [" ".join(base), " ".join([*base[:149], "x"]), " ".join([*base[:130], *"abcdefgh"])]
+    texts += ["a b c d", " ".join(f"other{i}" for i in range(90))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    links, calls = simhash.print_groups, []
+
+    def spied(*args):
+        groups = links(*args)
+        calls.append({r["node"]: r["root"] for r in groups.collect()})
+        return groups
+
+    monkeypatch.setattr(simhash, "print_groups", spied)
+    got = {r["node"]: r["root"] for r in simhash.near_groups(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0}
+    assert calls == [{0: 0, 1: 0}]
+
+
 def test_benchmark_items(spark, docs, empty):
     items = spark.createDataFrame(
         [
