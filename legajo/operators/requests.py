@@ -21,7 +21,7 @@ from legajo.fixed_values import (
 from legajo.functions.text import lookup
 from legajo.operators.consolidate import conflicts, decisions, document_type
 from legajo.operators.extract import prepared_text
-from legajo.operators.scaling import dense_ordinals
+from legajo.operators.scaling import beside_fields, dense_ordinals
 
 # fixed values: notes added to the request of a field or of a document type
 FIELD_NOTES = {
@@ -97,16 +97,22 @@ def open_requests(
 
 
 def conflict_request_lines(
-    option_rows: DataFrame, order: Sequence[str] = ("doc_seq",)
+    option_rows: DataFrame, order: Sequence[str] = ("doc_seq",), together: int = 100_000
 ) -> DataFrame:
     """Numbered option lines of each conflict, in priority order, one row per line.
 
-    Lines stay rows: a conflict with very many options never becomes one value.
+    Lines stay rows: a conflict with very many options never becomes one value, and one
+    with more than ``together`` is numbered by several tasks.
     """
     groups = ["case_id", "field"]
     sizes = option_rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_options"))
-    wanted = option_rows.join(sizes.filter("n_options > 1"), groups)
-    placed = dense_ordinals(wanted, groups, ["priority", *order], "place")
+    wanted = beside_fields(option_rows, sizes.filter("n_options > 1"), ["n_options"])
+    in_order = Window.partitionBy(*groups).orderBy("priority", *order)
+    small = F.col("n_options") <= together
+    placed = wanted.filter(small).withColumn("place", F.row_number().over(in_order).cast("bigint"))
+    if not sizes.filter(~small).isEmpty():
+        large = dense_ordinals(wanted.filter(~small), groups, ["priority", *order], "place")
+        placed = placed.unionByName(large)
     line = F.concat(
         F.col("place"), F.lit(". Valor: '"), F.col("value"), F.lit("' Fuente: "),
         F.col("source_document"), F.lit(" Tipo: "), F.col("document_type"),
