@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legajo.operators.report import risk_band
+from legajo.operators.scaling import beside_fields
 
 ANSWER = (
     "fraud_score DOUBLE, "
@@ -27,18 +28,12 @@ def discrepancies(option_rows: DataFrame, order: Sequence[str] = ("doc_seq",)) -
     One row per further distinct value, so the output grows with the distinct
     values and never with the pairs of documents.
     """
-    place = F.struct(*order)
     values = option_rows.groupBy("case_id", "field", "value").agg(
         F.count(F.lit(1)).alias("n_documents"),
         F.min(F.struct(*order, "source_document")).alias("first"),
     )
-    firsts = option_rows.groupBy("case_id", "field").agg(
-        F.min_by(F.struct("value", "source_document"), place).alias("base"),
-        F.min("value").alias("_low"),
-        F.max("value").alias("_high"),
-    ).filter("_low <> _high")
     return (
-        values.join(firsts, ["case_id", "field"])
+        beside_fields(values, first_values(option_rows, order), ["base"])
         .filter(F.col("value") != F.col("base.value"))
         .select(
             "case_id",
@@ -52,6 +47,29 @@ def discrepancies(option_rows: DataFrame, order: Sequence[str] = ("doc_seq",)) -
     )
 
 
+def first_values(option_rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(case_id, field, base): the first value and its document of fields with several values."""
+    return (
+        option_rows.groupBy("case_id", "field")
+        .agg(
+            F.min_by(F.struct("value", "source_document"), F.struct(*order)).alias("base"),
+            F.min("value").alias("_low"),
+            F.max("value").alias("_high"),
+        )
+        .filter("_low <> _high")
+        .select("case_id", "field", "base")
+    )
+
+
+def discrepant_rows(option_rows: DataFrame, order: Sequence[str] = ("doc_seq",)) -> DataFrame:
+    """The rows behind all discrepancies: those that differ from the first value of their field."""
+    return (
+        beside_fields(option_rows, first_values(option_rows, order), ["base"])
+        .filter(F.col("value") != F.col("base.value"))
+        .drop("base")
+    )
+
+
 def affected_documents(option_rows: DataFrame, found: DataFrame) -> DataFrame:
     """The documents behind each differing value, in long form."""
     wanted = found.select("case_id", "field", F.col("value_b").alias("value"))

@@ -49,9 +49,7 @@ SELECT case_id, field, value, source_document FROM given JOIN base USING (case_i
 )
 def discrepant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents behind every differing value."""
-    rows = _all_options(spark, sf_dir)
-    found = fnd.discrepancies(rows, CLAIM_ORDER)
-    return fnd.affected_documents(rows, found).select(
+    return fnd.discrepant_rows(_all_options(spark, sf_dir), CLAIM_ORDER).select(
         "case_id", "field", "value", "source_document"
     )
 

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from legajo.operators import progress as prg
+from legajo.operators import requests
 from legajo.operators.organise import resolve_collisions
 from legajo.operators.registry import expiring_lookup
 from legajo.operators.scaling import dense_ordinals, running_last
+from legajo.plans import consolidation_queries, extraction_queries, finding_queries
 
 START = datetime(2024, 1, 1)
 
@@ -243,3 +245,51 @@ def test_ranges_against_all_pairs(spark):
         for i, k, d in points
     }
     assert {r.id: r.n_covering for r in got} == want
+
+
+def exchanges(frame):
+    """The exchanges of the plan for tables too large to be broadcast."""
+    conf = frame.sparkSession.conf
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = conf.get(name)
+    conf.set(name, "-1")
+    try:
+        plan = frame.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        conf.set(name, before)
+    return [line.split("Exchange", 1)[1] for line in plan.splitlines() if "Exchange " in line]
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        finding_queries.cross_document_discrepancies,
+        finding_queries.discrepant_documents,
+        extraction_queries.conflict_requests,
+        consolidation_queries.conflict_options,
+    ],
+)
+def test_fields_of_a_case_are_joined_in_place(spark, small, query):
+    """Rows dealt by case are not dealt again by case and field."""
+    found = exchanges(query(spark, small))
+    assert found and not [e for e in found if "field" in e or "rangepartitioning" in e]
+
+
+def test_conflicts_of_many_options_are_numbered_alike(spark):
+    rows = [("c", f"f{i % 3}", f"v{i}", i % 5, f"d{i}", "otro", i) for i in range(90)]
+    rows += [("c", "single", "v", 1, "d", "otro", 1)]
+    options = spark.createDataFrame(
+        rows,
+        "case_id string, field string, value string, priority int, source_document string,"
+        " document_type string, doc_seq int",
+    )
+    whole, cut = (
+        sorted(map(tuple, requests.conflict_request_lines(options, together=n).collect()))
+        for n in (100, 3)
+    )
+    assert whole == cut and len(whole) == 90
+
+
+def test_few_terms_of_a_policy_need_no_blocks(spark, small):
+    plan = extraction_queries.term_violations(spark, small)._jdf.queryExecution().toString()
+    assert "explode" not in plan
