@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legajo.fixed_values import DEFAULT_OCR_MODEL, MAX_OCR_BYTES, OCR_MODELS
-from legajo.functions.text import ColumnLike, as_column, contains_any, squeeze, strip
+from legajo.functions.text import ColumnLike, as_column, bound, contains_any, squeeze, strip
 
 
 # --- key-values ------------------------------------------------------------------
@@ -35,9 +35,13 @@ def normal_pairs(pairs: ColumnLike) -> Column:
 def merged_pairs(fields: ColumnLike, pairs: ColumnLike) -> Column:
     """One map: among ``fields`` the last wins, then ``pairs`` add first-seen keys."""
     ordered = F.concat(F.reverse(normal_pairs(fields)), normal_pairs(pairs))
-    keys = F.transform(ordered, lambda p: p["key"])
-    first = F.filter(ordered, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.map_from_entries(first)
+
+    def first(entries: Column) -> Column:
+        return F.filter(
+            entries, lambda p, i: F.array_position(entries["key"], p["key"]) == i + 1
+        )
+
+    return F.map_from_entries(bound(ordered, first))
 
 
 # --- canonical rows ------------------------------------------------------------------

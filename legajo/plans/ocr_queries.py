@@ -75,7 +75,10 @@ def merged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(props, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))),
     )
     merged = events.select("event_id", ocr.merged_pairs(fields, pairs).alias("pairs"))
-    return merged.select("event_id", F.explode("pairs").alias("key", "value"))
+    # explode alone adds a filter on the map, which builds it once more
+    return merged.select("event_id", F.explode_outer("pairs").alias("key", "value")).filter(
+        "key IS NOT NULL"
+    )
 
 
 _ENTITY_SQL = """WITH found AS (SELECT doc_id, 'Email' AS category, unnest(regexp_extract_all(text, '\\S+@\\S+')) AS content,
