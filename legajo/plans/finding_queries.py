@@ -116,20 +116,7 @@ UNION ALL SELECT case_id, 'validation', 'repuve ok', NULL FROM usable""",
 )
 def answer_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Child rows of the answers: indicators, inconsistencies, validations."""
-    analyses = fnd.normal_answers(_answers(spark, sf_dir))
-    indicators = fnd.indicator_rows(analyses).select(
-        "case_id", F.lit("indicator").alias("kind"), F.col("description").alias("detail"), "doc_index"
-    )
-    inconsistencies = fnd.inconsistency_rows(analyses).select(
-        "case_id", F.lit("inconsistency").alias("kind"),
-        F.concat_ws(" ", "field", "severity", "value_a").alias("detail"),
-        F.explode_outer("affected_docs").alias("doc_index"),
-    )
-    validations = fnd.validation_rows(analyses).select(
-        "case_id", F.lit("validation").alias("kind"),
-        F.concat_ws(" ", "type", "result").alias("detail"), F.lit(None).cast("int").alias("doc_index"),
-    )
-    return indicators.unionByName(inconsistencies).unionByName(validations)
+    return fnd.finding_rows(fnd.normal_answers(_answers(spark, sf_dir)))
 
 
 @register(
