@@ -21,7 +21,7 @@ from legajo.fixed_values import (
 from legajo.functions.text import lookup
 from legajo.operators.consolidate import conflicts, decisions, document_type
 from legajo.operators.extract import prepared_text
-from legajo.operators.scaling import beside_fields, dense_ordinals
+from legajo.operators.scaling import beside_fields, dense_ordinals, ordinals
 
 # fixed values: notes added to the request of a field or of a document type
 FIELD_NOTES = {
@@ -164,13 +164,17 @@ def case_payload(
     documents: DataFrame, order: Sequence[str] = ("doc_seq",), text: str = "raw_text"
 ) -> DataFrame:
     """Compact rows an analysis request is made of: 0-based index, type, text length."""
-    placed = dense_ordinals(documents, ["case_id"], order, "_place")
-    return placed.select(
+    others = [c for c in ("entities", "key_value_pairs") if c in documents.columns]
+    compact = documents.select(
         "case_id",
-        (F.col("_place") - 1).alias("doc_index"),
+        *order,
         F.coalesce("document_type", F.lit("otro")).alias("document_type"),
         F.length(F.coalesce(F.col(text), F.lit(""))).alias("text_length"),
-        *[c for c in ("entities", "key_value_pairs") if c in documents.columns],
+        *others,
+    )
+    placed = ordinals(compact, ["case_id"], order, "_place")
+    return placed.select(
+        "case_id", (F.col("_place") - 1).alias("doc_index"), "document_type", "text_length", *others
     )
 
 
