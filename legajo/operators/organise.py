@@ -29,7 +29,7 @@ from legajo.functions.text import (
     safe_name,
     stem,
 )
-from legajo.operators.scaling import dense_ordinals
+from legajo.operators.scaling import dense_ordinals, ordinals
 
 SUBNUMBERED = "guias_y_facturas"
 UNSAFE = r'[<>:"/\\|?*]'
@@ -177,7 +177,7 @@ def resolve_collisions(
         .groupBy("_base")
         .agg(F.array_sort(F.collect_set("_taken")).alias("_taken"))
     )
-    ranked = dense_ordinals(folders, [name], order, "_n")
+    ranked = ordinals(folders, [name], order, "_n")
     shift = F.aggregate(
         F.coalesce("_taken", F.array().cast("array<int>")),
         F.col("_n"),

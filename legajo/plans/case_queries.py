@@ -13,6 +13,7 @@ from legajo.plans.bindings import CLAIM_FIELDS, CLAIM_ORDER, claim_documents, ta
 from legajo.plans.catalog import register
 from legajo.plans.claims_sql import DECIDED
 from legajo.plans.registry_queries import store_statistics
+from legajo.session import stored
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,12 +268,14 @@ FROM (SELECT case_id, folder, row_number() OVER (PARTITION BY folder ORDER BY ca
 )
 def final_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folder of each case from its decided header fields, made unique."""
+    fields = ["nombre_asegurado", "monto_reclamacion"]
     cases = con.wide_cases(
-        con.consolidate(claim_documents(spark, sf_dir), CLAIM_FIELDS, CLAIM_ORDER), CLAIM_FIELDS
+        con.consolidate(claim_documents(spark, sf_dir), fields, CLAIM_ORDER), fields
     )
     stamp = F.lit("20240101000000")
-    folders = cases.select(
-        "case_id", org.folder_name("nombre_asegurado", "monto_reclamacion", stamp).alias("folder")
+    # written once: counted and numbered below
+    folders = stored(
+        cases.select("case_id", org.folder_name(*fields, stamp).alias("folder")), "folders"
     )
     existing = folders.groupBy("folder").count().filter("count > 2").select("folder")
     return org.resolve_collisions(folders, existing, ["case_id"])
