@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from legajo.fixed_values import LOSS_KEYWORDS, LOSS_TYPES, MONTHS, NULL_TOKENS
-from legajo.functions.text import ColumnLike, as_column, is_blank, strip
+from legajo.functions.text import ColumnLike, as_column, bound, is_blank, strip
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 PLAIN_NUMBER = r"^-?(\d+\.?\d*|\.\d+)$"
@@ -14,8 +14,9 @@ PLAIN_NUMBER = r"^-?(\d+\.?\d*|\.\d+)$"
 
 def to_number(value: ColumnLike, pattern: str = NUMBER) -> Column:
     """Text to double, null unless the whole trimmed text is a number."""
-    text = strip(value)
-    return F.when(text.rlike(pattern), text.try_cast("double"))
+    return bound(
+        strip(value), lambda text: F.when(text.rlike(pattern), text.try_cast("double"))
+    )
 
 
 def null_if_token(value: ColumnLike) -> Column:
@@ -27,22 +28,32 @@ def null_if_token(value: ColumnLike) -> Column:
 def first_pass_amount(value: ColumnLike) -> Column:
     """Digits and separators only, thousands commas dropped; text if unreadable."""
     column = as_column(value)
-    kept = F.regexp_replace(column, r"[^\d.,\-]", "")
-    number = to_number(F.replace(kept, F.lit(","), F.lit("")), PLAIN_NUMBER)
-    fallback = F.when(kept == "", column).otherwise(kept)
-    return F.struct(number.alias("number"), fallback.alias("text"))
+
+    def reading(kept: Column) -> Column:
+        number = to_number(F.replace(kept, F.lit(","), F.lit("")), PLAIN_NUMBER)
+        fallback = F.when(kept == "", column).otherwise(kept)
+        return F.struct(number.alias("number"), fallback.alias("text"))
+
+    return bound(F.regexp_replace(column, r"[^\d.,\-]", ""), reading)
 
 
 def clean_amount(value: ColumnLike) -> Column:
     """Both cleaning passes in order; double or null."""
-    first = first_pass_amount(value)
+    return bound(first_pass_amount(value), second_pass_amount)
+
+
+def second_pass_amount(first: Column) -> Column:
+    """The number of the first pass, else its text read with either decimal sign."""
+
+    def second(kept: Column) -> Column:
+        latin = F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        both = kept.contains(",") & kept.contains(".")
+        return F.when(both, to_number(latin, PLAIN_NUMBER)).otherwise(
+            to_number(F.replace(kept, F.lit(","), F.lit("")), PLAIN_NUMBER)
+        )
+
     kept = F.regexp_replace(first["text"], r"[^\d.,\-]", "")
-    latin = F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    both = kept.contains(",") & kept.contains(".")
-    second = F.when(both, to_number(latin, PLAIN_NUMBER)).otherwise(
-        to_number(F.replace(kept, F.lit(","), F.lit("")), PLAIN_NUMBER)
-    )
-    return F.coalesce(first["number"], second)
+    return F.coalesce(first["number"], bound(kept, second))
 
 
 def guided_amount(value: ColumnLike) -> Column:
@@ -53,7 +64,10 @@ def guided_amount(value: ColumnLike) -> Column:
 
 def number_text(value: ColumnLike) -> Column:
     """A double as the shortest text that reads back: 1234.5, 1234.0, 1e+16, 5e-05."""
-    number = as_column(value)
+    return bound(as_column(value), _number_text)
+
+
+def _number_text(number: Column) -> Column:
     shown = number.cast("string")
     plain = F.regexp_replace(
         F.regexp_replace(shown.try_cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", ".0"
@@ -75,11 +89,17 @@ def money(value: ColumnLike) -> Column:
 
 def display_money(value: ColumnLike) -> Column:
     """`$1,234.50 MXN` when the whole text is an amount, else squeezed text."""
-    text = F.regexp_replace(strip(F.coalesce(as_column(value), F.lit(""))), r"(?U)\s+", " ")
-    number = F.regexp_replace(text, r"[^\d.]", "").try_cast("double")
-    formatted = F.concat(F.lit("$"), F.format_number(number, 2), F.lit(" MXN"))
-    readable = text.rlike(r"^\$?\s?\d[\d,.]*$") & number.isNotNull()
-    return F.when(text == "", F.lit("")).when(readable, formatted).otherwise(text)
+
+    def shown(text: Column) -> Column:
+        number = F.regexp_replace(text, r"[^\d.]", "").try_cast("double")
+        formatted = F.concat(F.lit("$"), F.format_number(number, 2), F.lit(" MXN"))
+        readable = text.rlike(r"^\$?\s?\d[\d,.]*$")
+        return F.when(text == "", F.lit("")).otherwise(
+            F.coalesce(F.when(readable, formatted), text)
+        )
+
+    given = strip(F.coalesce(as_column(value), F.lit("")))
+    return bound(F.regexp_replace(given, r"(?U)\s+", " "), shown)
 
 
 # --- dates --------------------------------------------------------------------
@@ -88,25 +108,32 @@ def _parsed(text: Column, guard: str, pattern: str) -> Column:
 
 
 def _two_digit_year(text: Column, guard: str, pattern: str) -> Column:
-    parsed = _parsed(text, guard, pattern)
-    return F.when(F.year(parsed) > 2068, F.add_months(parsed, -1200)).otherwise(parsed)
+    return bound(
+        _parsed(text, guard, pattern),
+        lambda day: F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day),
+    )
 
 
 def checked_date(value: ColumnLike) -> Column:
     """First of the five accepted formats that is a real calendar day."""
-    text = strip(value)
-    return F.coalesce(
-        _parsed(text, r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-        _parsed(text, r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-        _parsed(text, r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-        _parsed(text, r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-        _parsed(text, r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    return bound(
+        strip(value),
+        lambda text: F.coalesce(
+            _parsed(text, r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+            _parsed(text, r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+            _parsed(text, r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+            _parsed(text, r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+            _parsed(text, r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+        ),
     )
 
 
 def display_date(value: ColumnLike) -> Column:
     """DD/MM/YYYY from six formats or the first date of a range, else the text."""
-    text = strip(F.coalesce(as_column(value), F.lit("")))
+    return bound(strip(F.coalesce(as_column(value), F.lit(""))), _display_date)
+
+
+def _display_date(text: Column) -> Column:
     known = F.coalesce(
         _parsed(text, r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
         _parsed(text, r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
@@ -116,28 +143,39 @@ def display_date(value: ColumnLike) -> Column:
         _two_digit_year(text, r"^\d{1,2}-\d{1,2}-\d{2}$", "d-M-yy"),
     )
     day = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
-    range_start = F.regexp_extract(text, f"({day}).{{0,12}}({day})", 1)
-    from_range = _parsed(range_start, r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy")
+    from_range = bound(
+        F.regexp_extract(text, f"({day}).{{0,12}}({day})", 1),
+        lambda start: _parsed(start, r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    )
     return F.coalesce(F.date_format(F.coalesce(known, from_range), "dd/MM/yyyy"), text)
 
 
 def slashed_date(value: ColumnLike) -> Column:
     """Month names to numbers, then DD/MM/YYYY by shape alone (no calendar check)."""
-    text = as_column(value)
+    column = as_column(value)
+    numbered = column
     for name, number in MONTHS.items():
-        text = F.replace(text, F.lit(name), F.lit(number))
-    iso = F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}", 0)
-    day_first = F.regexp_extract(text, r"^\d{1,2}/\d{1,2}/\d{4}", 0)
-    parts = F.split(day_first, "/")
-    padded = F.concat_ws(
-        "/", F.lpad(F.get(parts, 0), 2, "0"), F.lpad(F.get(parts, 1), 2, "0"), F.get(parts, 2)
-    )
-    return (
-        F.when(as_column(value) == "", F.lit(None))
-        .when(iso != "", F.regexp_replace(iso, r"(\d{4})-(\d{2})-(\d{2})", "$3/$2/$1"))
-        .when(day_first != "", padded)
-        .otherwise(text)
-    )
+        numbered = F.replace(numbered, F.lit(name), F.lit(number))
+
+    def padded(day_first: Column) -> Column:
+        parts = F.split(day_first, "/")
+        return F.concat_ws(
+            "/", F.lpad(F.get(parts, 0), 2, "0"), F.lpad(F.get(parts, 1), 2, "0"), F.get(parts, 2)
+        )
+
+    def slashed(text: Column) -> Column:
+        iso = F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}", 0)
+        day_first = F.regexp_extract(text, r"^\d{1,2}/\d{1,2}/\d{4}", 0)
+        return (
+            F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"),
+                   F.regexp_replace(iso, r"(\d{4})-(\d{2})-(\d{2})", "$3/$2/$1"))
+            .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), bound(day_first, padded))
+            .otherwise(text)
+        )
+
+    # names need letters: most dates hold none
+    text = F.when(column.rlike("[A-Z]{3}"), numbered).otherwise(column)
+    return F.when(column == "", F.lit(None)).otherwise(bound(text, slashed))
 
 
 def report_date(value: ColumnLike) -> Column:
@@ -230,14 +268,17 @@ def float_error(
 def loss_type(value: ColumnLike) -> Column:
     """Catalogue entry, first in catalogue order, then keyword map, else the text."""
     column = as_column(value)
-    text = F.lower(column)
-    result = F.when(is_blank(column), F.lit(None))
-    for entries in LOSS_TYPES.values():
-        for entry in entries:
-            low = entry.lower()
-            result = result.when(
-                text.contains(low) | F.lit(low).contains(text), F.lit(entry)
-            )
-    for keyword, entry in LOSS_KEYWORDS.items():
-        result = result.when(text.contains(keyword), F.lit(entry))
-    return result.otherwise(column)
+
+    def listed(text: Column) -> Column:
+        result = F.when(is_blank(text), F.lit(None))
+        for entries in LOSS_TYPES.values():
+            for entry in entries:
+                low = entry.lower()
+                result = result.when(
+                    text.contains(low) | F.lit(low).contains(text), F.lit(entry)
+                )
+        for keyword, entry in LOSS_KEYWORDS.items():
+            result = result.when(text.contains(keyword), F.lit(entry))
+        return result
+
+    return F.when(~is_blank(column), F.coalesce(bound(F.lower(column), listed), column))

@@ -21,22 +21,21 @@ from legajo.fixed_values import (
 )
 from legajo.functions.text import (
     ColumnLike,
-    about,
     as_column,
+    bound,
     contains_any,
-    lookup,
     strip,
 )
 from legajo.functions.values import (
-    clean_amount,
     first_pass_amount,
     guided_amount,
     money,
     null_if_token,
     number_text,
+    second_pass_amount,
     slashed_date,
 )
-from legajo.operators.ocr import normal_key, normal_value
+from legajo.operators.ocr import normal_pairs
 
 
 # --- content preparation -----------------------------------------------------------
@@ -145,41 +144,32 @@ def fields_from_pairs(
     second pass takes keys within that edit distance where no key was equal.
     """
     known = synonym_map()
-    mapped = F.transform(
-        F.filter(
-            F.transform(
-                pairs,
-                lambda p: F.struct(
-                    normal_key(p["key"]).alias("key"), normal_value(p["value"]).alias("value")
-                ),
-            ),
-            lambda p: (p["key"] != "") & (p["value"] != ""),
-        ),
-        lambda p: F.struct(
-            lookup(known, p["key"]).alias("field"), p["key"].alias("key"), p["value"].alias("value")
-        ),
-    )
-    result = documents.withColumn("_mapped", mapped)
+    result = documents.withColumn("_mapped", normal_pairs(pairs))
     columns = {}
     for field in fields:
-        exact = F.filter("_mapped", about(field))
+        labels = [k for k, f in known.items() if f == field]
+        exact = F.filter("_mapped", _labelled(labels))
         value = F.get(exact, 0)["value"]
         if fuzzy:
-            labels = [k for k, f in known.items() if f == field]
-            near = F.filter("_mapped", _near_label(labels, fuzzy))
+            near = F.filter("_mapped", _near_label(labels, list(known), fuzzy))
             value = F.coalesce(value, F.get(near, 0)["value"])
         columns[field] = value
     return result.withColumns(columns).drop("_mapped")
 
 
-def _near_label(labels: Sequence[str], distance: int):
+def _labelled(labels: Sequence[str]):
+    """Predicate for pairs whose key is one of the labels."""
+    return lambda pair: pair["key"].isin(labels)
+
+
+def _near_label(labels: Sequence[str], known: Sequence[str], distance: int):
     """Predicate for unmapped pairs whose key is within the edit distance of a label."""
 
     def near(pair: Column) -> Column:
         hit = F.lit(False)
         for label in labels:
             hit = hit | (F.levenshtein(pair["key"], F.lit(label), distance) >= 0)
-        return pair["field"].isNull() & hit
+        return ~pair["key"].isin(known) & hit
 
     return near
 
@@ -189,13 +179,17 @@ def ingest_field_answers(
     answers: DataFrame, answer: str = "answer", fields: Sequence[str] = REQUIRED_FIELDS
 ) -> DataFrame:
     """Model answers (JSON text, maybe fenced) to the known fields; other keys drop."""
-    text = strip(F.col(answer))
-    fenced = F.btrim(text, F.lit("`"))
-    from_brace = F.when(
-        fenced.contains("{"), F.substring(fenced, F.instr(fenced, "{"), F.length(fenced))
-    ).otherwise(fenced)
-    body = F.when(text.startswith("```"), from_brace).otherwise(text)
-    parsed = F.from_json(body, "map<string,string>")
+
+    def from_brace(fenced: Column) -> Column:
+        return F.when(
+            fenced.contains("{"), F.substring(fenced, F.instr(fenced, "{"), F.length(fenced))
+        ).otherwise(fenced)
+
+    def body(text: Column) -> Column:
+        unfenced = bound(F.btrim(text, F.lit("`")), from_brace)
+        return F.when(text.startswith("```"), unfenced).otherwise(text)
+
+    parsed = F.from_json(bound(strip(F.col(answer)), body), "map<string,string>")
     return (
         answers.withColumn("_fields", parsed)
         .withColumns({f: F.try_element_at("_fields", F.lit(f)) for f in fields})
@@ -217,19 +211,22 @@ def clean_extractions(
 
     The decimal is null where the number does not fit; the text always stays.
     """
-    columns = {}
+    columns, helpers = {}, []
     for field in fields:
         value = F.col(field)
         if field in DATE_FIELDS:
-            columns[field] = null_if_token(strip(value))
+            columns[field] = bound(strip(value), null_if_token)
         elif field == AMOUNT_FIELD:
-            given = null_if_token(value)
-            amount = clean_amount(given)
-            columns[field] = F.coalesce(number_text(amount), first_pass_amount(given)["text"])
+            # read once, in projections of their own
+            first, amount = f"_first_{field}", f"_amount_{field}"
+            extractions = extractions.withColumn(first, first_pass_amount(null_if_token(value)))
+            extractions = extractions.withColumn(amount, second_pass_amount(F.col(first)))
+            columns[field] = F.coalesce(number_text(amount), F.col(first)["text"])
             columns[f"{field}_decimal"] = money(amount)
+            helpers += [first, amount]
         else:
             columns[field] = null_if_token(value)
-    return extractions.withColumns(columns)
+    return extractions.withColumns(columns).drop(*helpers)
 
 
 def guided_values(extractions: DataFrame, fields: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:
