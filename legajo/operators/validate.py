@@ -104,12 +104,7 @@ def validate_extractions(
             for f in fields
         }
     )
-    messages = F.array(
-        *[
-            F.struct(F.lit(f).alias("field"), F.col(f"_message_{f}").alias("message"))
-            for f in fields
-        ]
-    )
+    messages = {f: F.col(f"_message_{f}") for f in fields}
     values = {
         f: F.when(
             allowed[f],
@@ -120,20 +115,12 @@ def validate_extractions(
         for f in fields
     }
     cut = [f for f in fields if FIELD_RULES.get(f, {}).keys() & {"digits", "max_words"}]
-    given = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("field"),
-                F.when(~values[f].eqNullSafe(F.col(f)) & allowed[f], F.col(f)).alias("value"),
-            )
-            for f in cut
-        ]
-    ).cast("array<struct<field: string, value: string>>")
+    given = {f: F.when(~values[f].eqNullSafe(F.col(f)) & allowed[f], F.col(f)) for f in cut}
     return told.withColumns(
         {
             **values,
-            "errors": F.filter(messages, lambda e: e["message"].isNotNull()),
-            "as_given": F.filter(given, lambda g: g["value"].isNotNull()),
+            "errors": _present(messages, "message"),
+            "as_given": _present(given, "value"),
         }
     ).drop(
         *[f"_year_{f}" for f in dates],
@@ -142,13 +129,25 @@ def validate_extractions(
     )
 
 
+def _present(texts: dict[str, Column], name: str) -> Column:
+    """Array of (field, text) of the fields whose text is not null; no lambda, so it is compiled."""
+    none = F.array().cast(f"array<struct<field: string, {name}: string>>")
+    entries = [
+        F.when(text.isNotNull(), F.array(F.struct(F.lit(f).alias("field"), text.alias(name))))
+        .otherwise(none)
+        for f, text in texts.items()
+    ]
+    return F.flatten(F.array(*entries)) if entries else none
+
+
 def violations(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return validated.select(*keys, F.inline("errors"))
+    # inline alone adds a filter on the array, which evaluates every rule once more
+    return validated.select(*keys, F.inline_outer("errors")).filter("field IS NOT NULL")
 
 
 def values_as_given(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The whole values behind those that validation shortened, one row each."""
-    return validated.select(*keys, F.inline("as_given"))
+    return validated.select(*keys, F.inline_outer("as_given")).filter("field IS NOT NULL")
 
 
 def error_texts(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
