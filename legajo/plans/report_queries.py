@@ -84,8 +84,9 @@ FROM every e JOIN orders ON e.case_id = CAST(o_orderkey AS VARCHAR)""",
 )
 def stored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consolidated record by case, the results record where that is missing."""
+    fields = ["nombre_asegurado", "numero_poliza"]
     wide = con.wide_cases(
-        con.consolidate(claim_documents(spark, sf_dir), CLAIM_FIELDS, CLAIM_ORDER), CLAIM_FIELDS
+        con.consolidate(claim_documents(spark, sf_dir), fields, CLAIM_ORDER), fields
     )
     pending = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(
         F.col("o_orderkey").cast("string").alias("case_id")
