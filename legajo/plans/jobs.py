@@ -56,11 +56,19 @@ def run_cases(
     )
 
 
+Key = str | Sequence[str]
+
+
+def key_list(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def split_stored(
-    documents: DataFrame, results: DataFrame, key: str = "document_id"
+    documents: DataFrame, results: DataFrame, key: Key = "document_id"
 ) -> tuple[DataFrame, DataFrame]:
     """Documents with a stored OCR result, and those without."""
-    known = results.select(key).distinct()
+    key = key_list(key)
+    known = results.select(*key).distinct()
     return documents.join(known, key, "left_semi"), documents.join(known, key, "left_anti")
 
 
@@ -69,10 +77,10 @@ def replay_cases(
     results: DataFrame,
     fields: Sequence[str] = REQUIRED_FIELDS,
     order: Sequence[str] = ("doc_seq",),
-    key: str = "document_id",
+    key: Key = "document_id",
 ) -> tuple[CaseTables, DataFrame]:
     """Case run from stored OCR rows (with ``pairs``), plus the missing documents."""
-    ready = documents.join(results, key)
+    ready = documents.join(results, key_list(key))
     _, missing = split_stored(documents, results, key)
     extracted = ext.fields_from_pairs(ready, "pairs", fields)
     return run_cases(extracted, fields, order), missing
@@ -98,38 +106,56 @@ def case_digests(rows: DataFrame) -> DataFrame:
     )
 
 
+def beside_cases(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """Rows with the columns of their case in ``cases`` (one row per ``_case``), null where it lacks.
+
+    Null is a case.  An equality on its own leaves rows that lie by case where they are, which
+    a null-safe one does not, so the one row of the null case comes beside it.
+    """
+    columns = [c for c in cases.columns if c != "_case"]
+    whole = F.struct(F.lit(True).alias("_found"), *columns)
+    named = cases.filter("_case IS NOT NULL").select("_case", whole.alias("_named"))
+    unnamed = cases.filter("_case IS NULL").select(F.lit(True).alias("_null"), whole.alias("_unnamed"))
+    joined = rows.join(named, F.col("case_id") == F.col("_case"), "left").join(
+        F.broadcast(unnamed), F.col("case_id").isNull() == F.col("_null"), "left"  # a one-row side
+    )
+    return joined.withColumn("_of_case", F.coalesce("_named", "_unnamed")).select(
+        *rows.columns, "_of_case.*"
+    )
+
+
 def replay_changed(
     documents: DataFrame,
     results: DataFrame,
     path: str,
     fields: Sequence[str] = REQUIRED_FIELDS,
     order: Sequence[str] = ("doc_seq",),
-    key: str = "document_id",
+    key: Key = "document_id",
 ) -> tuple[int, DataFrame]:
     """Replay only cases whose documents or results changed since they were last replayed.
 
     Reports are kept in a replacing table below ``path``, digests in a log that is
     written after them: a run that dies in between replays the same cases again and
     puts the same reports in place.  A case that has no stored result any more keeps its
-    report.  Returns the run's number and the reports of all cases, with the run that made each.
+    report.  A ``key`` that names case_id too keeps documents and results that lie by case
+    there.  Returns the run's number and the reports of all cases, with the run that made each.
     """
     spark = documents.sparkSession
     log_path = f"{path}/replayed"
     spark.createDataFrame([], REPLAYED).write.mode("append").parquet(log_path)
     log = spark.read.schema(REPLAYED).parquet(log_path)
     run = (log.agg(F.max("run")).first()[0] or 0) + 1
-    last = log.groupBy("case_id").agg(
-        F.max_by(F.struct("n_rows", "low", "high"), "run").alias("last")
-    )
-    now = case_digests(documents.join(results, key))
+    digest = F.struct("n_rows", "low", "high")
+    last = log.groupBy(F.col("case_id").alias("_case")).agg(F.max_by(digest, "run").alias("last"))
+    now = case_digests(documents.join(results, key_list(key)))
     changed = stored(
-        now.join(last.withColumnRenamed("case_id", "_case"), F.expr("case_id <=> _case"), "left")
-        .filter(~F.struct("n_rows", "low", "high").eqNullSafe(F.col("last")))
+        beside_cases(now, last)
+        .filter(~digest.eqNullSafe(F.col("last")))
         .select("case_id", "n_rows", "low", "high", F.lit(run).cast("bigint").alias("run")),
         "changed-cases",
     )
     cases = changed.select(F.col("case_id").alias("_case"))
-    again = documents.join(cases, F.expr("case_id <=> _case"), "left_semi")
+    again = beside_cases(documents, cases).filter("_found").drop("_found")
     reports = replay_cases(again, results, fields, order, key)[0].reports.withColumn(
         "run", F.lit(run).cast("bigint")
     )

@@ -9,17 +9,20 @@ from legajo.functions.values import report_date
 from legajo.operators import consolidate as con
 from legajo.operators import report as rep
 from legajo.plans.bindings import (
+    CLAIM_COLUMNS,
     CLAIM_FIELDS,
     CLAIM_ORDER,
     RICH_FIELDS,
+    as_claims,
     claim_documents,
+    claim_items,
     rich_claim_documents,
     table,
 )
 from legajo.plans.catalog import register
 from legajo.plans.claims_sql import DECIDED
 from legajo.plans.jobs import replay_changed, run_cases, split_stored
-from legajo.session import shared_folder
+from legajo.session import joined_in_place, shared_folder, stored, stored_by
 
 _WIDE = (
     DECIDED("class")
@@ -131,20 +134,28 @@ FROM ready r LEFT JOIN wide w ON r.case_id = w.case_id LEFT JOIN gone g ON r.cas
 )
 def resumed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases replayed from stored results, and only the changed ones again after more results."""
-    claims = claim_documents(spark, sf_dir).withColumn(
+    # joined once; what follows names the case, so no document leaves its bucket again
+    items = stored_by(claim_items(spark, sf_dir).select(*CLAIM_COLUMNS), ["case_id"], "claim-items")
+    claims = as_claims(items).withColumn(
         "document_id", F.concat_ws("/", "case_id", "source_document")
     )
+    key = ["case_id", "document_id"]
     documents = claims.drop(*CLAIM_FIELDS)
     pairs = F.array(*[F.struct(F.lit(f).alias("key"), F.col(f).alias("value")) for f in CLAIM_FIELDS])
-    results = claims.filter("l_linenumber <= 6").select(
-        "document_id", F.filter(pairs, lambda p: p["value"].isNotNull()).alias("pairs")
-    )
-    early = claims.filter("l_linenumber <= 3").select("document_id")
+
+    def results(last: int) -> DataFrame:
+        return claims.filter(F.col("l_linenumber") <= last).select(
+            *key, F.filter(pairs, lambda p: p["value"].isNotNull()).alias("pairs")
+        )
+
     path = shared_folder(spark, "replay")
-    replay_changed(documents, results.join(early, "document_id", "left_semi"), path, CLAIM_FIELDS, CLAIM_ORDER)
-    _, reports = replay_changed(documents, results, path, CLAIM_FIELDS, CLAIM_ORDER)
-    _, missing = split_stored(documents, results)
-    lacking = missing.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_missing"))
+    with joined_in_place(spark):
+        replay_changed(documents, results(3), path, CLAIM_FIELDS, CLAIM_ORDER, key)
+        _, reports = replay_changed(documents, results(6), path, CLAIM_FIELDS, CLAIM_ORDER, key)
+        _, missing = split_stored(documents, results(6), key)
+        lacking = stored(
+            missing.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_missing")), "lacking"
+        )
     return (
         reports.select("case_id", *CLAIM_FIELDS, "run")
         .join(lacking, "case_id", "left")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,3 +54,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def stored_by(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """As ``stored``, in buckets of the keys: joins and groupings that name them need no exchange.
+
+    There are as many buckets as shuffle partitions, so rows that already lie by the keys are
+    written where they are.  The catalog knows the table only until it is opened.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    table = f"stored_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartition(buckets, *keys)
+    laid.write.bucketBy(buckets, *keys).option("path", folder).format("parquet").saveAsTable(table)
+    opened = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # a table with a path of its own keeps its files
+    return opened
+
+
+@contextmanager
+def joined_in_place(spark: SparkSession) -> Iterator[None]:
+    """Joins run inside keep rows where they lie if both sides lie by some of the join's keys.
+
+    Without it Spark deals both sides anew by all keys.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from legajo.plans import jobs
+from legajo.session import joined_in_place, stored_by
 
 FIELDS = ["numero_siniestro", "nombre_asegurado"]
 DOCS = "case_id STRING, document_id STRING, doc_seq INT, source_document STRING, document_type STRING"
@@ -68,3 +69,29 @@ def test_only_changed_cases_are_replayed(spark, tmp_path, monkeypatch):
     number, reports = run(a1="Ann", c1="Carla")
     assert state(reports) == want | {"a": ("Ann", number)}
     assert reports.filter(F.col("case_id") == "a").count() == 1
+
+
+def test_rows_that_lie_by_case_are_not_dealt_again(spark):
+    docs = stored_by(documents(spark, "a1", "a2", "b1"), ["case_id"], "by-case")
+    known = docs.select("case_id", "document_id")
+    last = stored_by(jobs.case_digests(known).withColumnRenamed("case_id", "_case"), ["_case"], "log")
+    with joined_in_place(spark):
+        now = jobs.case_digests(docs.join(known, ["case_id", "document_id"]))
+        rows = jobs.beside_cases(now, last.select("_case", F.col("n_rows").alias("before")))
+        exchanges = rows._jdf.queryExecution().executedPlan().toString()
+        assert {(r["case_id"], r["n_rows"], r["before"]) for r in rows.collect()} == {("a", 2, 2), ("b", 1, 1)}
+    assert "Exchange hashpartitioning" not in exchanges
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stored_")]
+
+
+def test_no_case_is_a_case(spark, tmp_path):
+    docs = documents(spark, "a1", "b1").withColumn("case_id", F.when(F.col("case_id") == "a", "a"))
+
+    def run(**known):
+        return state(jobs.replay_changed(docs, results(spark, **known), str(tmp_path / "r"), FIELDS)[1])
+
+    assert run(a1="Ana", b1="Berta") == {"a": ("Ana", 1), None: ("Berta", 1)}
+    assert run(a1="Ana", b1="Berta") == {"a": ("Ana", 1), None: ("Berta", 1)}
+    again = run(a1="Ana", b1="Beate")
+    assert again["a"] == ("Ana", 1) and again[None][0] == "Beate" and again[None][1] > 1
