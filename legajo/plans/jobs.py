@@ -43,8 +43,9 @@ def run_cases(
         else ext.clean_extractions(documents, fields)
     )
     checked = chk.validate_extractions(cleaned, fields)
-    consolidated = con.consolidate(cleaned, fields, order, profile)
-    wide = con.wide_cases(consolidated, fields)
+    decided = con.consolidate(cleaned, fields, order, profile, values=True)
+    consolidated = decided.drop(*[f"value_{f}" for f in fields])
+    wide = con.wide_cases(decided, fields)
     return CaseTables(
         extractions=cleaned,
         violations=chk.violations(checked, ["case_id", "source_document"]),

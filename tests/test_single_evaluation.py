@@ -114,3 +114,19 @@ def test_groups_are_numbered_in_place_and_large_ones_by_ranges(spark):
     payload = req.case_payload(documents)
     assert payload.columns == ["case_id", "doc_index", "document_type", "text_length"]
     assert "RepartitionByExpression" not in plan(payload) and payload.count() == 1000
+
+
+def test_reports_need_no_counts_and_no_arrays(spark, small):
+    run = plan(catalog.QUERIES["full_case_run"](spark, small))
+    assert "count(" not in run and "array(struct(" not in run
+    rows = spark.createDataFrame(
+        [("1", i, f"{i}.pdf", "poliza", v) for i, v in enumerate((None, " Ana ", "Eva"))] + [("2", 0, "0.pdf", "poliza", None)],
+        "case_id STRING, doc_seq INT, source_document STRING, document_type STRING, nombre_asegurado STRING",
+    )
+    fields = ["nombre_asegurado"]
+    plain = con.consolidate(rows, fields)
+    with_values = con.consolidate(rows, fields, values=True)
+    want = {r["case_id"]: (r["nombre_asegurado"], r["sources"], r["confidences"]) for r in con.wide_cases(plain, fields).collect()}
+    got = {r["case_id"]: (r["nombre_asegurado"], r["sources"], r["confidences"]) for r in con.wide_cases(with_values, fields).collect()}
+    assert got == want and got["1"][0] == "Ana" and got["2"][0] is None
+    assert with_values.drop("value_nombre_asegurado").schema == plain.schema
