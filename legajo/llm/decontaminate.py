@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import small_side, stored, text_or_empty
+from legajo.llm.common import scratch, small_side, stored, text_or_empty
 
 WORD = r"[\p{L}\p{N}]+"
 #: Rows of a join side that is broadcast; a larger side is shuffled.
@@ -269,8 +269,9 @@ def drop_contaminated(
     Rows are told apart by id and text, so a contaminated row takes no row along that
     only shares its id, null or not.  Other columns may have any names.
     """
-    found = documents_found(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    gone = stored(found.select("id", "dkey").distinct(), "contaminated")
+    with scratch(docs.sparkSession):
+        found = documents_found(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+        gone = stored(found.select("id", "dkey").distinct(), "contaminated", keep=True)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(id_col).alias("_id"),

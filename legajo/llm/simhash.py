@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.common import slices, small_side, stored, text_bytes
+from legajo.llm.common import scratch, slices, small_side, stored, text_bytes
 
 #: Reference fingerprints; each distance takes one byte of a packed long.
 PIVOTS = 8
@@ -608,8 +608,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
     All columns stay as they were, whatever their names; rows with null id stay too.
     Rows of one id are one document and stay or go together.
     """
-    groups = near_groups(docs, id_col=id_col, **options)
-    gone = stored(groups.filter("node <> root").select("node"), "near-copies")
+    with scratch(docs.sparkSession):
+        groups = near_groups(docs, id_col=id_col, **options)
+        gone = stored(groups.filter("node <> root").select("node"), "near-copies", keep=True)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id")
     )

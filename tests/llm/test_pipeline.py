@@ -1,11 +1,17 @@
 """The queries over the smallest tables and the pipeline's stages."""
 
+from pathlib import Path
+from urllib.parse import urlparse
+
 import corpus_pipeline
 import pytest
 from compare_twins import connect, rows_of
 from pyspark.sql import functions as F
 
+from legajo.llm import decontaminate, simhash
+from legajo.llm.common import RELEASE
 from legajo.llm.queries import ORACLES, QUERIES
+from legajo.session import ensure_checkpoint_dir
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -47,3 +53,17 @@ def test_pipeline_stages(spark, small):
     assert result.count() == before
     texts = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     assert result.join(texts, "doc_id").filter("sha <> decoded_sha256").count() == 0
+
+
+def test_stages_leave_only_what_their_result_reads(spark, small):
+    ensure_checkpoint_dir(spark)
+    shared = Path(urlparse(spark.sparkContext.getCheckpointDir()).path)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    benchmark = spark.read.parquet(f"{small}/benchmark.parquet")
+    before = set(shared.iterdir())
+    near = simhash.drop_near_duplicates(docs)
+    clean = decontaminate.drop_contaminated(docs, benchmark)
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before)
+    assert left == ["contaminated", "near-copies"]
+    assert 0 < near.count() < docs.count() and 0 < clean.count() < docs.count()
+    assert spark.conf.get(RELEASE) == "false"
