@@ -16,44 +16,29 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from legajo.llm.common import cuts_at_spaces, decode, text_bytes
+from legajo.llm.common import cuts_at_spaces, decode, give_memory_back, text_bytes
 
 TOKENS = "doc_id {}, ids array<int>, n_tokens bigint, part int, ordinal bigint"
-#: Marks that are a pre-token of their own between letters and a space or line end.
-MARKS = set(".,;:!?")
-
-
-def atoms(piece: str) -> list[str]:
-    """A space and a piece without white space around it, cut where no token reaches over.
-
-    Letters, a mark behind them and a line feed between two such words are cut;
-    any other piece is left whole for the library.
-    """
-    if piece.isalpha():
-        return [" " + piece]
-    if piece[:-1].isalpha() and piece[-1] in MARKS:
-        return [" " + piece[:-1], piece[-1]]
-    left, feed, right = piece.partition("\n")
-    if feed and right.isalpha():
-        if left.isalpha():
-            return [" " + left, feed, right]
-        if left[:-1].isalpha() and left[-1] in MARKS:
-            return [" " + left[:-1], left[-1], feed, right]
-    return [" " + piece]
+#: A space in the token texts of byte-level vocabularies.
+SPACE = "\u0120"
+#: Bytes of text that are encoded at once (a longer text alone).
+SLICE_BYTES = 8 << 20
 
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, with bounded memos of what texts share.
+    """Ids of whole texts by the tokenizers library, with a bounded memo of what texts share.
 
-    Texts are cut in front of single spaces, where no token reaches over; each
-    distinct atom of the pieces goes through the library once.
+    Texts are cut in front of single spaces, where no token reaches over; each distinct
+    piece goes through the library once.  The memo keeps pieces that some slice repeats.
     """
 
-    LIMIT = 500_000
+    LIMIT = 300_000
+    JOINED = 1_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
@@ -61,69 +46,78 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # by atom
-        self.pieces: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids with a space in front
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, texts: set[str]) -> None:
-        """Put the ids of texts that are not known yet into ``known``.
+    def can_cut(self, text: str) -> bool:
+        return not any([s in text for s in self.special]) and cuts_at_spaces(text)
 
-        A space with letters is one word to the library wherever it stands, so such
-        texts are encoded as one and told apart by the library's word numbers.
+    def each(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.asarray(one.ids, dtype="<u4").tobytes() for one in found]
+
+    def behind_spaces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of a space and each piece.
+
+        Many are encoded as one text, in which the only tokens with a space in front are
+        the pieces' first ones.
         """
-        new = [t for t in texts if t not in self.known]
-        words = [t for t in new if t[:1] == " " and t[1:].isalpha()]
-        for low in range(0, len(words), 2_000):
-            some = words[low : low + 2_000]
-            found = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            numbers = np.asarray(found.word_ids, dtype=np.int64)
-            starts = np.flatnonzero(np.diff(numbers, prepend=-1))
-            if len(starts) != len(some):
-                continue  # counted otherwise by the library: each on its own below
-            packed = np.asarray(found.ids, dtype="<u4").tobytes()
-            cuts = [*(starts * 4).tolist(), len(packed)]
-            self.known.update(
-                (text, packed[a:b]) for text, a, b in zip(some, cuts, cuts[1:], strict=False)
-            )
-        rest = [t for t in new if t not in self.known]
-        for text, one in zip(
-            rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True
-        ):
-            self.known[text] = np.asarray(one.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, equal to encoding it at once."""
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        if len(self.pieces) > self.LIMIT:
-            self.pieces.clear()
-        out: list[bytes | None] = []
-        open_ = []  # (place, head, further pieces, their ids as far as known)
-        missing: set[str] = set()
-        heads: set[str] = set()
-        look_up = self.pieces.get
-        for text in texts:
-            if any(s in text for s in self.special) or not cuts_at_spaces(text):
-                out.append(self.whole(text))
+        out: list[bytes] = []
+        for low in range(0, len(pieces), self.JOINED):
+            some = [" " + piece for piece in pieces[low : low + self.JOINED]]
+            ids = np.frombuffer(self.each(["".join(some)])[0], dtype="<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(some):  # another kind of vocabulary
+                out += self.each(some)
                 continue
-            head, *parts = text.split(" ")
-            found = list(map(look_up, parts))
-            heads.add(head)
-            missing.update(p for p, ids in zip(parts, found, strict=True) if ids is None)
-            open_.append((len(out), head, parts, found))
-            out.append(None)
-        apart = {piece: atoms(piece) for piece in missing}
-        self.learn(heads.union(*apart.values()))
-        for piece, cut in apart.items():
-            self.pieces[piece] = b"".join(map(self.known.__getitem__, cut))
-        for place, head, parts, found in open_:
-            if None in found:
-                found = map(self.pieces.__getitem__, parts)
-            out[place] = self.known[head] + b"".join(found)
+            data, cuts = ids.tobytes(), [*(starts * 4).tolist(), ids.nbytes]
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+    def look_up(self, pieces: list[str], repeated: np.ndarray) -> list[bytes]:
+        """Ids of a space and each of the distinct pieces; new ones that are repeated are kept."""
+        found = list(map(self.known.get, pieces))
+        new = [place for place, ids in enumerate(found) if ids is None]
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        for place, ids in zip(new, self.behind_spaces([pieces[i] for i in new]), strict=True):
+            found[place] = ids
+            if repeated[place]:
+                self.known[pieces[place]] = ids
+        return found
+
+    def encode(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The 32-bit ids of all texts in a row, ``end`` after each, and where each text ends.
+
+        Equal to encoding each text at once.  A text is its head, the pieces behind its
+        spaces, and the end; one that cannot be cut is a head as a whole.
+        """
+        n = len(texts)
+        cut = list(map(self.can_cut, texts))
+        heads = [t.split(" ", 1)[0] if c else t for t, c in zip(texts, cut, strict=True)]
+        shown = pa.array([t if c else "" for t, c in zip(texts, cut, strict=True)], pa.large_string())
+        split = pc.split_pattern(shown, " ")
+        first = split.offsets.to_numpy()[:-1]
+        behind = np.ones(len(split.values), dtype=bool)
+        behind[first] = False
+        coded = split.values.filter(pa.array(behind)).dictionary_encode()
+        codes, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        found = self.look_up(pieces, np.bincount(codes, minlength=len(pieces)) > 1)
+
+        begins = first + np.arange(n)  # every text has a place more, for its end
+        ends = np.append(begins[1:], len(behind) + n) - 1
+        places = np.full(len(behind) + n, len(found) + n)
+        inside = np.ones(len(places), dtype=bool)
+        inside[begins] = inside[ends] = False
+        places[inside] = codes
+        places[begins] = len(found) + np.arange(n)
+        table = pa.array([*found, *self.each(heads), end], pa.large_binary())
+        joined = table.take(pa.array(places))
+        _, offsets, data = joined.buffers()
+        cuts = np.frombuffer(offsets, dtype="<i8", count=len(joined) + 1)[ends + 1] // 4
+        return np.frombuffer(data, dtype="<i4", count=int(cuts[-1])), cuts
 
 
 @lru_cache(2)
@@ -131,6 +125,17 @@ def load_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def sized_slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Cuts of the batch with some ``size`` bytes of text in its second column."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        until = size + (ends[low - 1] if low else 0)
+        high = max(low + 1, int(np.searchsorted(ends, until, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def write_token_files(
     docs: DataFrame,
     folder: str,
@@ -152,16 +157,14 @@ def write_token_files(
         encoder = load_encoder(tokenizer_path)
         part, ordinal = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                cut = batch.slice(low, 500)
+            for cut in sized_slices(batch, SLICE_BYTES):
                 texts = [decode(t) for t in cut.column(1).to_pylist()]
-                packed = [ids + end for ids in encoder.encode(texts)]
-                offsets = np.cumsum([0] + [len(p) // 4 for p in packed], dtype=np.int32)
-                ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
+                ids, ends = encoder.encode(texts, end)
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         cut.column(0),
-                        pa.ListArray.from_arrays(pa.array(offsets), ids),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
                         pa.array(np.diff(offsets).astype(np.int64)),
                         pa.array(np.full(cut.num_rows, part, dtype=np.int32)),
                         pa.array(np.arange(ordinal, ordinal + cut.num_rows, dtype=np.int64)),
@@ -169,6 +172,7 @@ def write_token_files(
                     names=["doc_id", "ids", "n_tokens", "part", "ordinal"],
                 )
                 ordinal += cut.num_rows
+        give_memory_back()
 
     (
         docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("text"))

@@ -178,6 +178,43 @@ def test_orc_files(spark, docs, empty):
     assert orc_tokens.token_offsets(orc_tokens.read_token_files(spark, other)).count() == 0
 
 
+def test_pieces_equal_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizers_of.path("byte_bpe_50k.json")
+    known = Tokenizer.from_file(path)
+    rng = np.random.default_rng(7)
+    parts = ["word", "Word,", "été", "it's", "12", "...", "a\nB", "\n", "\t", "Ġ", "日本", "\u3000", "",
+             "\u00a0x", "\x1c", "<|endoftext|>", "<|end", "\U0001f600", "n%%%", "ß.\nÜ"]
+    texts = [" ".join(rng.choice(parts[: 8 + i % 13], rng.integers(0, 12))) for i in range(3000)]
+    texts += [t or "" for _, t in TEXTS] + ["", " ", " a", "a "]
+    monkeypatch.setattr(orc_tokens.PieceEncoder, "JOINED", 3)
+    encoder = orc_tokens.PieceEncoder(path)
+    read = []  # texts the library reads
+    each = encoder.each
+    monkeypatch.setattr(encoder, "each", lambda texts: read.append(texts) or each(texts))
+    end = np.asarray([2], "<u4").tobytes()
+    for low in range(0, len(texts), 1000):
+        some = texts[low : low + 1000]
+        ids, ends = encoder.encode(some, end)
+        got = [part.tolist() for part in np.split(ids, ends)]
+        assert got == [known.encode(t, add_special_tokens=False).ids + [2] for t in some] + [[]]
+    read.clear()
+    ids, ends = encoder.encode(["word once été", "word it's", "été it's"])
+    assert read == [[" once"], ["word", "word", "été"]]  # pieces met before are not read again
+    assert "once" not in encoder.known  # met once
+    assert ids[: ends[0]].tolist() == known.encode("word once été", add_special_tokens=False).ids
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    sizes = [3, 0, 4, 20, 1, 1, 9, 2]
+    batch = pa.record_batch({"id": list(range(8)), "text": [b"x" * n for n in sizes]})
+    cuts = [c.column(0).to_pylist() for c in orc_tokens.sized_slices(batch, 8)]
+    assert cuts == [[0, 1, 2], [3], [4, 5], [6], [7]]
+
+
 @pytest.mark.parametrize("blocks", [1, 1 << 19])
 def test_exact_groups(docs, empty, blocks):
     groups = {}
