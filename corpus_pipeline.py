@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legajo.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
-from legajo.llm.common import ship_package, stored
+from legajo.llm.common import ship_package, small_batches, stored
 
+#: Bytes of text in a block of the tokens stage: the stages before leave executors less free memory.
+TOKEN_BLOCK = 8 << 20
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -39,7 +41,9 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, packed ids, and whether they decode to the text's bytes."""
     path = public_tokenizers.path(TOKENIZER)
     # stored in between, so that a task runs one Python worker and not two behind each other
-    encoded = stored(bpe.encode(docs, path, public_tokenizers.PATTERN), "encoded")
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, block_bytes=TOKEN_BLOCK)
+    with small_batches(spark):
+        encoded = stored(ids, "encoded")
     return bpe.decode_ids(encoded, path).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

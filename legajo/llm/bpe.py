@@ -99,7 +99,13 @@ class Block:
 
 
 def split_blocks(
-    docs: DataFrame, kind: str, buckets: int, pattern: str, id_col: str, text_col: str
+    docs: DataFrame,
+    kind: str,
+    buckets: int,
+    pattern: str,
+    id_col: str,
+    text_col: str,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Rows of one kind, ``words`` or ``codes``, of the blocks of docs.
 
@@ -114,7 +120,7 @@ def split_blocks(
             for doc_id, cell in zip(batch.column(0), batch.column(1), strict=True):
                 data = cell.as_py()  # one text at a time
                 block.add(doc_id.as_py(), decode(data), len(data))
-                if block.size >= BLOCK_BYTES:
+                if block.size >= block_bytes:
                     yield block
                     block = Block(splitter, kind == "codes")
         if block.texts:
@@ -256,6 +262,7 @@ def encode(
     pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per row of docs: id and packed ``ids`` of the whole text.
 
@@ -264,13 +271,14 @@ def encode(
     repeated document ids are kept row by row.  Other columns are not read.  The
     documents are read twice and must be a table that gives the same rows in the
     same partitions, such as stored files; otherwise the job stops with an error.
+    Smaller blocks take less memory of a task and shuffle words that they share more often.
     """
     spark = docs.sparkSession
     buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = split_blocks(docs, "words", buckets, pattern, id_col, text_col)
+    words = split_blocks(docs, "words", buckets, pattern, id_col, text_col, block_bytes)
     by_word = words.repartition(buckets, "bucket")
     known = encode_words(by_word, ranks_path, pattern)
-    codes = split_blocks(docs, "codes", buckets, pattern, id_col, text_col)
+    codes = split_blocks(docs, "codes", buckets, pattern, id_col, text_col, block_bytes)
     return assemble(codes, known).withColumnRenamed("id", id_col)
 
 

@@ -110,6 +110,17 @@ def test_bpe_blocks(docs, monkeypatch):
     assert rows(decoded) == Counter((i, t or "") for i, t in TEXTS)
 
 
+def test_bpe_small_blocks(docs):
+    path = tokenizers_of.path("byte_bpe_multi_50k.tiktoken")
+    whole = bpe.encode(docs, path, tokenizers_of.PATTERN)
+    small = bpe.encode(docs, path, tokenizers_of.PATTERN, block_bytes=1)
+    assert rows(small) == rows(whole)
+    one = docs.coalesce(1)
+    blocks = bpe.split_blocks(one, "codes", 32, tokenizers_of.PATTERN, "doc_id", "text", 1)
+    filled = sum(1 for _, t in TEXTS if t)
+    assert filled <= blocks.select("block").distinct().count() <= filled + 1
+
+
 def test_bpe_one_long_run(spark):
     import tiktoken
 

@@ -8,8 +8,8 @@ import pytest
 from compare_twins import connect, rows_of
 from pyspark.sql import functions as F
 
-from legajo.llm import decontaminate, simhash
-from legajo.llm.common import RELEASE
+from legajo.llm import bpe, decontaminate, simhash
+from legajo.llm.common import BATCH, RELEASE
 from legajo.llm.queries import ORACLES, QUERIES
 from legajo.session import ensure_checkpoint_dir
 
@@ -67,3 +67,24 @@ def test_stages_leave_only_what_their_result_reads(spark, small):
     assert left == ["contaminated", "near-copies"]
     assert 0 < near.count() < docs.count() and 0 < clean.count() < docs.count()
     assert spark.conf.get(RELEASE) == "false"
+
+
+def test_token_stage_holds_little_at_once(spark, small, monkeypatch):
+    seen, before, split = [], spark.conf.get(BATCH), bpe.split_blocks
+
+    def noted(*args):
+        seen.append(args[-1])
+        return split(*args)
+
+    def kept(df, name):
+        seen.append(spark.conf.get(BATCH))
+        return df
+
+    monkeypatch.setattr(bpe, "split_blocks", noted)
+    monkeypatch.setattr(corpus_pipeline, "stored", kept)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    result = corpus_pipeline.token_stage(spark, docs, small)
+    assert seen == [8 << 20, 8 << 20, "8m"] and spark.conf.get(BATCH) == before
+    texts = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    same = result.join(texts, "doc_id").filter("sha = decoded_sha256")
+    assert same.count() == result.count() == docs.count()
